@@ -52,9 +52,8 @@ def timestamp_to_seconds(c: Column | str) -> Column:
 
 
 def safe_int(c: Column | str, default: int = 0) -> Column:
-    """Whole part of anything numeric; the default where there is none."""
-    number = finite(_col(c).try_cast("double"))
-    return F.coalesce(number.try_cast("bigint"), F.lit(default).cast("bigint"))
+    """Numbers lose their fraction; text must be a whole number; anything else is the default."""
+    return F.coalesce(_col(c).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def safe_float(c: Column | str, default: float = 0.0) -> Column:
