@@ -31,7 +31,7 @@ def canonical(value):
         number = float(value)
         if math.isnan(number):
             return ("n", "nan")
-        return ("n", repr(number + 0.0))
+        return ("n", repr(number))
     return ("s", str(value))
 
 
