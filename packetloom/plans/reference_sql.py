@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from packetloom.operators.similarity import projection
+from packetloom.schemas import FEATURES
+
 PACKETS = """packets AS (
   SELECT event_id AS packet_index, epoch_us(ts) / 1e6 AS "timestamp",
          '10.0.0.' || (user_id % 6)::VARCHAR AS src_ip,
@@ -75,6 +78,50 @@ SUMMARIES = """summaries AS (
                sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS num_malicious FROM flows GROUP BY window_id) e
   JOIN (SELECT window_id, count(*) AS num_nodes FROM nodes GROUP BY window_id) n ON e.window_id = n.window_id)"""
 
+
+
+def _embedding_sql() -> str:
+    z = ", ".join(
+        f"({f} - (SELECT avg({f}) FROM flows)) / (SELECT CASE WHEN stddev_pop({f}) < 1e-8 THEN 1 ELSE stddev_pop({f}) END FROM flows) AS z{i}"
+        for i, f in enumerate(FEATURES)
+    )
+    dims = ", ".join(
+        " + ".join(f"z{i} * ({float(w)!r})::DOUBLE" for i, w in enumerate(column)) for column in projection().T
+    )
+    return f"""embedded AS (
+  SELECT flow_id, label, list_transform(raw, lambda x: x / CASE WHEN len = 0 THEN 1 ELSE len END) AS embedding
+  FROM (SELECT *, sqrt(list_inner_product(raw, raw)) AS len FROM (
+    SELECT flow_id, label, [{dims}] AS raw FROM (SELECT flow_id, label, {z} FROM flows))))"""
+
+
+EMBEDDED = _embedding_sql()
+
+NEAREST = """nearest_normal AS (
+  SELECT flow_id, best.id AS nearest_normal_id, -best.neg AS similarity FROM (
+    SELECT a.flow_id, min({'neg': -round(list_cosine_similarity(a.embedding, b.embedding), 6), 'id': b.flow_id}) AS best
+    FROM embedded a, embedded b WHERE a.label = 1 AND b.label = 0 GROUP BY a.flow_id)),
+diffs AS (
+  SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY pct_change DESC, pos) - 1 AS position,
+         CASE WHEN cf_value < original_value THEN 'decrease' WHEN cf_value > original_value THEN 'increase' ELSE 'unchanged' END AS direction
+  FROM (SELECT flow_id, nearest_normal_id, similarity, pos, feature, original_value, cf_value, abs(original_value - cf_value) AS abs_diff,
+               round(least(abs(original_value - cf_value) / CASE WHEN original_value = 0 THEN 1e-9 ELSE abs(original_value) END * 100, 99999.99::DOUBLE), 2) AS pct_change
+        FROM (%s))),
+lines AS (
+  SELECT flow_id, nearest_normal_id, any_value(similarity) AS similarity,
+         string_agg('  - ' || feature || ': ' || printf('%%.2f', round(original_value, 2)) || ' -> ' || printf('%%.2f', round(cf_value, 2)) || ' (' ||
+                    direction || ', ' || printf('%%.1f', round(pct_change, 1)) || '%% change)', chr(10) ORDER BY position) AS body
+  FROM diffs GROUP BY flow_id, nearest_normal_id),
+cfs AS (
+  SELECT substr(sha256(flow_id || ':' || nearest_normal_id), 1, 16) AS cf_id, flow_id, nearest_normal_id, similarity AS similarity_score,
+         'Flow ' || flow_id || ' was classified as malicious.' || chr(10) || 'The nearest normal flow is ' || nearest_normal_id || ' (similarity: ' ||
+         printf('%%.4f', round(similarity, 4)) || ').' || chr(10) || chr(10) ||
+         'To change the classification to normal, the following features would need to change:' || chr(10) || chr(10) || body AS explanation_text
+  FROM lines)""" % " UNION ALL ".join(
+    f"SELECT n.flow_id, n.nearest_normal_id, n.similarity, {i} AS pos, '{f}' AS feature, a.{f}::DOUBLE AS original_value, b.{f}::DOUBLE AS cf_value "
+    "FROM nearest_normal n JOIN flows a ON n.flow_id = a.flow_id JOIN flows b ON n.nearest_normal_id = b.flow_id"
+    for i, f in enumerate(FEATURES)
+)
+
 STEPS = {
     "packets": [PACKETS],
     "labels": [PACKETS, LABELS],
@@ -82,6 +129,8 @@ STEPS = {
     "flows": [PACKETS, BOUNDS, PLACED, FLOWS],
     "severe": [PACKETS, BOUNDS, PLACED, FLOWS, SEVERE],
     "nodes": [PACKETS, BOUNDS, PLACED, FLOWS, NODES],
+    "embedded": [PACKETS, BOUNDS, PLACED, FLOWS, EMBEDDED],
+    "cfs": [PACKETS, BOUNDS, PLACED, FLOWS, EMBEDDED, NEAREST],
     "summaries": [PACKETS, BOUNDS, PLACED, FLOWS, NODES, SUMMARIES],
 }
 

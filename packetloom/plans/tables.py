@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.operators.similarity import counterfactuals, feature_embeddings, nearest_normal
 from packetloom.operators.flows import sliding_flows, with_flow_ids
 from packetloom.sources import testviews
 from packetloom.store import Store
@@ -44,6 +45,18 @@ class Tables:
 
         return self.once("flows", build)
 
+    @property
+    def embeddings(self) -> DataFrame:
+        return feature_embeddings(self.flows)
+
+    @property
+    def counterfactuals(self) -> DataFrame:
+        def build() -> DataFrame:
+            neighbours = nearest_normal(self.embeddings, self.store)
+            return self.store.save(counterfactuals(self.flows, neighbours), "counterfactuals")
+
+        return self.once("counterfactuals", build)
+
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (spark.sparkContext.applicationId, sf_dir)
