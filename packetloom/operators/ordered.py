@@ -85,16 +85,20 @@ def previous_value(
     )
 
 
-def rank_integers(df: DataFrame, key: str, out: str, bucket: int = 4096) -> DataFrame:
-    """0-based rank of unique integer keys without a global sort: keys of one bucket are ranked
-    together (at most ``bucket`` rows) and shifted by the sizes of the earlier buckets."""
+def rank_integers(
+    df: DataFrame, key: str, out: str, group: list[str] | None = None, bucket: int = 4096
+) -> DataFrame:
+    """0-based rank of integer keys, unique within ``group``, without sorting a group as a whole:
+    keys of one bucket are ranked together (at most ``bucket`` rows) and shifted by the sizes of the
+    earlier buckets."""
+    group = group or []
     cut = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(bucket)))
-    sizes = cut.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_bucket").orderBy(key)
+    inside = Window.partitionBy(*group, "_bucket").orderBy(key)
     return (
-        cut.join(sizes, "_bucket")
+        cut.join(sizes, [*group, "_bucket"])
         .withColumn(out, F.row_number().over(inside) - 1 + F.col("_before"))
         .drop("_bucket", "_before")
     )

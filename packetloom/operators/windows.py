@@ -133,17 +133,18 @@ def chronological_split(
 
 def stratified_split(sequences: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Splits attack and normal sequences separately, each in time order."""
-    parts = []
-    for attack in (True, False):
-        part = sequences.where(F.col("has_attack") == attack)
-        total = part.agg(F.count("*")).scalar()
-        parts.append(
-            rank_integers(part, "sequence_id", "_i")
-            .withColumn("_n", total)
-            .withColumn("split", _split_bucket(F.col("_i"), F.col("_n"), train, val, True))
-            .drop("_i", "_n")
+    sizes = sequences.agg(
+        F.struct(
+            F.count_if("has_attack").alias("attack"), F.count_if(~F.col("has_attack")).alias("normal")
         )
-    return parts[0].unionByName(parts[1])
+    ).scalar()
+    n = F.when(F.col("has_attack"), F.col("_sizes.attack")).otherwise(F.col("_sizes.normal"))
+    return (
+        rank_integers(sequences, "sequence_id", "_i", ["has_attack"])
+        .withColumn("_sizes", sizes)
+        .withColumn("split", _split_bucket(F.col("_i"), n, train, val, True))
+        .drop("_i", "_sizes")
+    )
 
 
 def sequence_position(windows: DataFrame, seq_len: int = 5) -> DataFrame:

@@ -1,4 +1,10 @@
 """Imports every module that registers queries."""
 
-from packetloom.plans import queries_flows, queries_graph, queries_search, queries_similarity  # noqa: F401
+from packetloom.plans import (  # noqa: F401
+    queries_flows,
+    queries_graph,
+    queries_models,
+    queries_search,
+    queries_similarity,
+)
 from packetloom.plans.registry import ORACLES, QUERIES  # noqa: F401
