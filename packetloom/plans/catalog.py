@@ -3,6 +3,7 @@
 from packetloom.plans import (  # noqa: F401
     queries_flows,
     queries_graph,
+    queries_jobs,
     queries_models,
     queries_search,
     queries_similarity,
