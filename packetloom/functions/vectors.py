@@ -25,7 +25,8 @@ def l2_norm(a: Column | str) -> Column:
 def l2_normalise(a: Column | str, floor: float = 1e-8) -> Column:
     """Unit length; vectors shorter than ``floor`` are divided by it, so zero stays zero."""
     length = F.greatest(l2_norm(a), F.lit(floor))
-    return F.transform(_col(a), lambda x: x.cast("double") / length)
+    # as an argument of the fold the length is computed once per row, inside the lambda once per element
+    return F.zip_with(_col(a), F.array_repeat(length, F.size(_col(a))), lambda x, n: x.cast("double") / n)
 
 
 def weighted_sum(columns: list[Column], weights: list[float]) -> Column:

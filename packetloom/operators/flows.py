@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.identity import flow_id
 from packetloom.operators.ordered import previous_value, rank_within
-from packetloom.operators.windows import sliding_span, tumbling_window
+from packetloom.operators.windows import sliding_span, time_bounds, tumbling_window
 from packetloom.schemas import require_columns
 from packetloom.store import Store
 
@@ -113,12 +113,13 @@ def sliding_flows(
 ) -> DataFrame:
     """Flows of overlapping windows keyed by (window, src, dst, protocol, dst_port)."""
     clean = prepare_packets(packets)
-    spanned = sliding_span(clean, size, stride, keep_tail=keep_tail)
+    bounds = time_bounds(clean)
+    spanned = sliding_span(clean, size, stride, keep_tail=keep_tail, bounds=bounds)
     slice_of = F.floor(
         (F.col("timestamp") - F.col("span_origin")) / F.lit(float(stride) / splits)
     ).cast("long")
     flows = _gap_aggregate(spanned, FLOW_KEY, {}, slice_of)
-    t_min = clean.agg(F.min("timestamp")).scalar()
+    t_min = bounds["t_min"]  # the same subquery again, so it runs once
     step = (t_min + F.lit(float(stride))) - t_min
     return flows.withColumn("window_start", t_min + F.col("window_id") * step)
 
@@ -141,7 +142,7 @@ def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int = 16) -
     for name in ("udp_length_mean", "tcp_flag_syn_rate"):
         if name not in flows.columns:
             flows = flows.withColumn(name, F.lit(0.0))
-    t_min = packets.agg(F.min("timestamp")).scalar()
+    t_min = time_bounds(packets)["t_min"]
     return flows.withColumn("window_start", t_min + F.col("window_id") * F.lit(float(delta_t)))
 
 

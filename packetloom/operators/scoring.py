@@ -59,7 +59,7 @@ def graph_convolution(flows: DataFrame, model: EdgeModel) -> DataFrame:
     """h(dst) = sum over edges of norm * (x(src) W), before the ReLU, per (window, ip)."""
     nodes = normalise(node_features(flows).select("window_id", "ip", *NODE_FEATURES), NODE_FEATURES)
     seq_len = len(model.node_weights)
-    placed = nodes.join(sequence_position(graph_summaries(flows), seq_len), "window_id")
+    placed = nodes.join(sequence_position(flows.select("window_id").distinct(), seq_len), "window_id")
     x = [F.col(f) for f in NODE_FEATURES]
     projected = {}
     for j in range(model.hidden):

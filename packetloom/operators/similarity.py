@@ -48,13 +48,12 @@ def feature_embeddings(flows: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
     """z-scored features, projected and scaled to unit length."""
     scaled = normalise(flows.select("flow_id", "label", *FEATURES), FEATURES)
     columns = [F.col(f) for f in FEATURES]
-    raw = F.array(*[weighted_sum(columns, list(w)) for w in projection(len(FEATURES), dim).T])
-    out = scaled.select("flow_id", "label", raw.alias("_raw"))
+    raw = [weighted_sum(columns, list(w)) for w in projection(len(FEATURES), dim).T]
+    out = scaled.select("flow_id", "label", F.array(*raw).alias("_raw"))
     length = F.sqrt(dot("_raw", "_raw"))
     length = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return out.withColumn("_len", length).select(
-        "flow_id", "label", F.transform("_raw", lambda x: x / F.col("_len")).alias("embedding")
-    )
+    unit = F.zip_with("_raw", F.array_repeat(length, dim), lambda x, n: x / n)
+    return out.select("flow_id", "label", unit.alias("embedding"))
 
 
 def wrong_dimension(embeddings: DataFrame, dim: int) -> DataFrame:
@@ -66,7 +65,9 @@ def wrong_dimension(embeddings: DataFrame, dim: int) -> DataFrame:
 
 
 def _unit(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias("id"), l2_normalise("embedding", 1e-300).alias("vec"))
+    """Id, unit vector, and a digest that stands for the vector in shuffles."""
+    unit = df.select(F.col(key).cast("string").alias("id"), l2_normalise("embedding", 1e-300).alias("vec"))
+    return unit.withColumn("vkey", F.md5(F.col("vec").cast("string")))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -83,18 +84,18 @@ def _best(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np
     return at, np.take_along_axis(scaled, at, axis=1)
 
 
-def _pairs(query_vecs: pd.Series, ids: np.ndarray, at: np.ndarray, scaled: np.ndarray) -> pd.DataFrame:
+def _pairs(vkeys: pd.Series, ids: np.ndarray, at: np.ndarray, scaled: np.ndarray) -> pd.DataFrame:
     k = at.shape[1]
     return pd.DataFrame(
         {
-            "vec": np.repeat(query_vecs.to_numpy(), k),
+            "vkey": np.repeat(vkeys.to_numpy(dtype=object), k),
             "neighbour": ids[at.ravel()],
             "scaled": scaled.ravel(),
         }
     )
 
 
-_RESULT = "vec array<double>, neighbour string, scaled long"
+_RESULT = "vkey string, neighbour string, scaled long"
 
 
 def _broadcast_search(vectors: DataFrame, base_rows: pd.DataFrame, k: int) -> DataFrame:
@@ -108,8 +109,8 @@ def _broadcast_search(vectors: DataFrame, base_rows: pd.DataFrame, k: int) -> Da
         step = max(1, 4_000_000 // len(ids))
         for batch in batches:
             for lo in range(0, len(batch), step):
-                part = batch["vec"].iloc[lo : lo + step]
-                yield _pairs(part, ids, *_best(_matrix(part), matrix, k))
+                part = batch.iloc[lo : lo + step]
+                yield _pairs(part["vkey"], ids, *_best(_matrix(part["vec"]), matrix, k))
 
     return vectors.mapInPandas(search, _RESULT)
 
@@ -131,7 +132,7 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _cell_search(
     vectors: DataFrame, base: DataFrame, k: int, store: Store, cells: int, block_rows: int
 ) -> DataFrame:
-    sample = base.orderBy(F.xxhash64("vec"), "id").limit(cells * 8).toPandas()  # cells * 8 rows at most
+    sample = base.orderBy("vkey", "id").limit(cells * 8).toPandas()  # cells * 8 rows at most
     pivots = _spread_pivots(_matrix(sample["vec"]), cells)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +144,7 @@ def _cell_search(
                 yield batch.assign(cell=cell, band=(r / _BAND).astype(int), r=r)
 
     placed = store.save(
-        base.mapInPandas(place, "id string, vec array<double>, cell int, band int, r double"), "knn_cells"
+        base.select("id", "vec").mapInPandas(place, "id string, vec array<double>, cell int, band int, r double"), "knn_cells"
     )
     bands = placed.groupBy("cell", "band").agg(
         F.count("*").alias("n"), F.min("r").alias("rmin"), F.max("r").alias("rmax")
@@ -168,11 +169,12 @@ def _cell_search(
         np.put_along_axis(wanted, order, (held - n[order]) < k, axis=1)
         return wanted
 
-    routes_schema = "vec array<double>, slot int"
+    routes_schema = "vkey string, vec array<double>, slot int"
 
     def routed(batch: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
         q, slot = np.nonzero(wanted)
-        return pd.DataFrame({"vec": batch["vec"].to_numpy()[q], "slot": slot.astype("int32")})
+        at = batch.iloc[q]
+        return pd.DataFrame({"vkey": at["vkey"], "vec": at["vec"], "slot": slot.astype("int32")})
 
     def first_routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,10 +202,10 @@ def _cell_search(
 
     def compare(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({"vec": [], "neighbour": [], "scaled": []})
+            return pd.DataFrame({"vkey": [], "neighbour": [], "scaled": []})
         b = b.sort_values("id", kind="stable")
         ids, matrix = b["id"].to_numpy(dtype=object), _matrix(b["vec"])
-        return _pairs(q["vec"], ids, *_best(_matrix(q["vec"]), matrix, k))
+        return _pairs(q["vkey"], ids, *_best(_matrix(q["vec"]), matrix, k))
 
     def search(routes: DataFrame) -> DataFrame:
         routes = store.save(routes, "knn_routes")
@@ -214,10 +216,11 @@ def _cell_search(
             routes.join(slot_table.select("slot", "blocks"), "slot")
             .join(visits, "slot")
             .select(
+                "vkey",
                 "vec",
                 "slot",
                 F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int").alias("chunk"),
+                F.pmod(F.xxhash64("vkey"), F.col("chunks")).cast("int").alias("chunk"),
             )
         )
         right = blocked.join(visits, "slot").select(
@@ -228,13 +231,13 @@ def _cell_search(
         return store.save(_top(found, k), "knn_found")
 
     first = search(vectors.mapInPandas(first_routes, routes_schema))
-    reached = first.groupBy("vec").agg(F.min("scaled").alias("kth"), F.count("*").alias("found"))
-    second = search(reached.mapInPandas(second_routes, routes_schema))
+    reached = first.groupBy("vkey").agg(F.min("scaled").alias("kth"), F.count("*").alias("found"))
+    second = search(vectors.join(reached, "vkey").mapInPandas(second_routes, routes_schema))
     return first.unionByName(second)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("vec").orderBy(F.col("scaled").desc(), "neighbour")
+    best = Window.partitionBy("vkey").orderBy(F.col("scaled").desc(), "neighbour")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
@@ -253,22 +256,23 @@ def nearest(
     depth = k + 1 if exclude_self else k
     asked = _unit(queries, key)
     # row_number <= depth is cut before the shuffle too, so a vector with many copies stays small
-    copies = Window.partitionBy("vec").orderBy("id")
+    copies = Window.partitionBy("vkey").orderBy("id")
     kept = (
         _unit(base, key)
         .withColumn("_c", F.row_number().over(copies))
         .where(F.col("_c") <= depth)
-        .select("id", "vec")
+        .select("id", "vec", "vkey")
     )
-    vectors = asked.select("vec").distinct()
-    head = kept.limit(broadcast_rows + 1).toPandas()  # size check; never more than broadcast_rows + 1
+    # one vector per digest; the copies of a hot vector are combined before the shuffle
+    vectors = asked.groupBy("vkey").agg(F.first("vec").alias("vec"))
+    head = kept.select("id", "vec").limit(broadcast_rows + 1).toPandas()  # size check; never more than broadcast_rows + 1
     if not len(head):
         found = vectors.sparkSession.createDataFrame([], _RESULT)
     elif len(head) <= broadcast_rows:
         found = _broadcast_search(vectors, head, depth)
     else:
         found = _cell_search(vectors, kept, depth, store, cells, block_rows)
-    out = asked.join(_top(found, depth), "vec").select(
+    out = asked.select("id", "vkey").join(_top(found, depth), "vkey").select(
         F.col("id").alias("query"), "neighbour", (F.col("scaled") / F.lit(float(_SCALE))).alias("similarity")
     )
     if exclude_self:

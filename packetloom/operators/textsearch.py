@@ -40,19 +40,28 @@ def _matches(word: Column, query: str, fuzzy: bool) -> Column:
         if limit == 0:
             hit, distance = word == q, F.lit(0)
         else:
-            distance = F.levenshtein(word, F.lit(q), limit)
+            # nested, so that only words of about the right length are compared
             near = F.abs(F.length(word) - len(q)) <= limit
-            hit = near & (distance >= 0)
+            distance = F.when(near, F.levenshtein(word, F.lit(q), limit)).otherwise(F.lit(-1))
+            hit = distance >= 0
         boost = 1 - distance / F.least(F.length(word), F.lit(len(q)))
         tests.append(F.when(hit, F.struct(F.lit(q).alias("query_word"), boost.cast("double").alias("boost"))))
     return F.array_compact(F.array(*tests))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Comparing words costs more than moving texts where the scan has fewer pieces than the cluster has
+    cores; such a table is small. Larger ones stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def search_text(
     documents: DataFrame, query: str, key: str, text: str, size: int | None = 10, fuzzy: bool = True
 ) -> DataFrame:
     """(key, score, matched words) of the best texts; the key breaks ties."""
-    split = documents.select(key, words(text).alias("_w")).withColumn("_len", F.size("_w"))
+    split = _spread(documents.select(key, text))
+    split = split.select(key, words(text).alias("_w")).withColumn("_len", F.size("_w"))
     corpus = split.agg(F.struct(F.count("*").alias("n"), F.avg("_len").alias("mean"))).scalar()
     hits = (
         split.select(key, "_len", F.explode("_w").alias("word"))

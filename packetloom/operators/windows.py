@@ -31,7 +31,12 @@ def tumbling_window(
 
 
 def sliding_span(
-    packets: DataFrame, size: float, stride: float, ts: str = "timestamp", keep_tail: bool = False
+    packets: DataFrame,
+    size: float,
+    stride: float,
+    ts: str = "timestamp",
+    keep_tail: bool = False,
+    bounds: Column | None = None,
 ) -> DataFrame:
     """Adds ``first_window`` and ``last_window``: the contiguous range of windows that contain the
     packet. Packets in no window are dropped (gaps, and the tail no whole window fits).
@@ -46,7 +51,7 @@ def sliding_span(
     last_start = t_max if keep_tail else t_max - size_c
     count = F.greatest(F.lit(1), F.ceil((last_start + F.lit(1e-9) - t_min) / stride_c))
     based = (
-        packets.withColumn("_b", time_bounds(packets, ts))
+        packets.withColumn("_b", time_bounds(packets, ts) if bounds is None else bounds)
         .withColumn("_step", (t_min + stride_c) - t_min)
         .withColumn("_count", count.cast("long"))
     )

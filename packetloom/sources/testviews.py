@@ -38,13 +38,6 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels for nine packets in ten."""
-    return (
-        packets(spark, sf_dir).where(F.col("packet_index") % 10 != 0).select("packet_index", "label")
-    )
-
-
 def dirty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with NaN, infinities and nulls planted by line number."""
     line = F.col("l_linenumber")
