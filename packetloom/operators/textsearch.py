@@ -59,7 +59,8 @@ def _spread(df: DataFrame) -> DataFrame:
 def search_text(
     documents: DataFrame, query: str, key: str, text: str, size: int | None = 10, fuzzy: bool = True
 ) -> DataFrame:
-    """(key, score, matched words) of the best texts; the key breaks ties."""
+    """(key, score, matched words) of the best texts. Scores are compared at six decimals, so that the
+    order in which parts were added up does not decide; the key breaks ties."""
     split = _spread(documents.select(key, text))
     split = split.select(key, words(text).alias("_w")).withColumn("_len", F.size("_w"))
     corpus = split.agg(F.struct(F.count("*").alias("n"), F.avg("_len").alias("mean"))).scalar()
@@ -78,7 +79,7 @@ def search_text(
         hits.join(frequency, ["query_word", "word"])
         .withColumn("_c", corpus)
         .groupBy(key)
-        .agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("word")).alias("matched"))
+        .agg(F.round(F.sum(part), 6).alias("score"), F.array_sort(F.collect_set("word")).alias("matched"))
         .orderBy(F.col("score").desc(), key)
     )
     return ranked.limit(size) if size else ranked

@@ -27,7 +27,7 @@ near AS (SELECT q, word, 1 - d / least(length(word), ql)::DOUBLE AS boost FROM (
   SELECT *, levenshtein(regexp_replace(word, '[^\\x00-\\x7F]', '~', 'g'), q) AS d FROM ({tests})) WHERE d <= edits),  -- the twin counts bytes: one per letter
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM docs),
 found AS (
-  SELECT k, sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS score,
+  SELECT k, round(sum(boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score,
          array_to_string(list_sort(list_distinct(list(word))), ',') AS matched
   FROM (SELECT k, word, any_value(dl) AS dl, count(*) AS tf FROM tokens GROUP BY k, word) JOIN near USING (word) JOIN vocabulary USING (word), corpus
   GROUP BY k ORDER BY score DESC, k LIMIT {size})"""
@@ -35,27 +35,27 @@ found AS (
 
 @query(
     "document_search",
-    "WITH " + search_sql("documents", "doc_id", "text", DOCUMENT_QUERY, 200) + " SELECT k AS doc_id, round(score, 6) AS score, matched FROM found",
+    "WITH " + search_sql("documents", "doc_id", "text", DOCUMENT_QUERY, 200) + " SELECT k AS doc_id, score, matched FROM found",
 )
 def _(t):
     found = ts.search_text(t.raw("documents"), DOCUMENT_QUERY, "doc_id", "text", size=200)
-    return found.select("doc_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
+    return found.select("doc_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
 @query(
     "narrative_search",
-    sql("cfs", "SELECT k AS cf_id, round(score, 6) AS score, matched FROM found", search_sql("cfs", "cf_id", "explanation_text", NARRATIVE_QUERY, 10)),
+    sql("cfs", "SELECT k AS cf_id, score, matched FROM found", search_sql("cfs", "cf_id", "explanation_text", NARRATIVE_QUERY, 10)),
 )
 def _(t):
     found = ts.search_text(t.counterfactuals, NARRATIVE_QUERY, "cf_id", "explanation_text")
-    return found.select("cf_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
+    return found.select("cf_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
 @query("document_highlights")
 def _(t):
     docs = t.raw("documents")
     found = ts.search_text(docs, DOCUMENT_QUERY, "doc_id", "text")
-    return ts.with_highlights(found, docs, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"), "highlight")
+    return ts.with_highlights(found, docs, "doc_id", "text").select("doc_id", "score", "highlight")
 
 
 # --- graph model ----------------------------------------------------------------------------
