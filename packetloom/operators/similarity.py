@@ -202,7 +202,9 @@ def _cell_search(
 
     def compare(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
-            return pd.DataFrame({"vkey": [], "neighbour": [], "scaled": []})
+            return pd.DataFrame(
+                {"vkey": np.array([], dtype=object), "neighbour": np.array([], dtype=object), "scaled": np.array([], dtype="int64")}
+            )
         b = b.sort_values("id", kind="stable")
         ids, matrix = b["id"].to_numpy(dtype=object), _matrix(b["vec"])
         return _pairs(q["vkey"], ids, *_best(_matrix(q["vec"]), matrix, k))

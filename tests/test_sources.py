@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.sources import files, sinks
 
@@ -70,7 +71,7 @@ def test_compaction_keeps_all_rows(spark, tmp_path):
 
 
 def test_window_table(spark, tmp_path):
-    path = sinks.write_by_window(windows(spark).withColumn("window_id", windows(spark).window_id * 100), str(tmp_path / "w"))
+    path = sinks.write_by_window(windows(spark).withColumn("window_id", F.col("window_id") * 100), str(tmp_path / "w"))
     assert sorted(d for d in os.listdir(path) if "=" in d)[0] == "window_bucket=0"
     assert spark.read.parquet(path).count() == 100
     sinks.write_by_window(windows(spark).limit(5), path)  # rewrites the first bucket only
