@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.identity import flow_id
 from packetloom.operators.ordered import previous_value, rank_within
-from packetloom.operators.windows import sliding_span, time_bounds, tumbling_window
+from packetloom.operators.windows import SlidingWindows, sliding_span, time_bounds, tumbling_window
 from packetloom.schemas import require_columns
 from packetloom.store import Store
 
@@ -40,7 +40,8 @@ def prepare_packets(packets: DataFrame) -> DataFrame:
         packets,
         ["timestamp", *FLOW_KEY, "payload_length", "packet_length", "label"],
     )
-    return packets.na.drop(subset=["src_ip", "dst_ip", "protocol"]).withColumns(
+    # plain null tests, which reach the scan
+    return packets.where("src_ip is not null and dst_ip is not null and protocol is not null").withColumns(
         {
             "dst_port": F.coalesce(F.col("dst_port").cast("int"), F.lit(0)),
             "protocol": F.col("protocol").cast("int"),
@@ -113,21 +114,17 @@ def sliding_flows(
 ) -> DataFrame:
     """Flows of overlapping windows keyed by (window, src, dst, protocol, dst_port)."""
     clean = prepare_packets(packets)
-    bounds = time_bounds(clean)
-    spanned = sliding_span(clean, size, stride, keep_tail=keep_tail, bounds=bounds)
-    slice_of = F.floor(
-        (F.col("timestamp") - F.col("span_origin")) / F.lit(float(stride) / splits)
-    ).cast("long")
-    flows = _gap_aggregate(spanned, FLOW_KEY, {}, slice_of)
-    t_min = bounds["t_min"]  # the same subquery again, so it runs once
-    step = (t_min + F.lit(float(stride))) - t_min
-    return flows.withColumn("window_start", t_min + F.col("window_id") * step)
+    windows = SlidingWindows.over(time_bounds(clean), size, stride, keep_tail)
+    slice_of = F.floor((F.col("timestamp") - windows.origin) / (float(stride) / splits)).cast("long")
+    flows = _gap_aggregate(sliding_span(clean, windows), FLOW_KEY, {}, slice_of)
+    return flows.withColumn("window_start", windows.start(F.col("window_id")))
 
 
 def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int = 16) -> DataFrame:
     """Flows of tumbling windows keyed by (window, src, dst, protocol), with UDP length and the
     share of packets that open a connection."""
-    placed = tumbling_window(packets, delta_t)
+    t_min = time_bounds(packets)[0]
+    placed = tumbling_window(packets, delta_t, t_min)
     spanned = placed.withColumns({"first_window": F.col("window_id"), "last_window": F.col("window_id")})
     spanned = spanned.drop("window_id")
     extra = {}
@@ -142,8 +139,7 @@ def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int = 16) -
     for name in ("udp_length_mean", "tcp_flag_syn_rate"):
         if name not in flows.columns:
             flows = flows.withColumn(name, F.lit(0.0))
-    t_min = time_bounds(packets)["t_min"]
-    return flows.withColumn("window_start", t_min + F.col("window_id") * F.lit(float(delta_t)))
+    return flows.withColumn("window_start", F.lit(t_min) + F.col("window_id") * F.lit(float(delta_t)))
 
 
 def syn_flag(packets: DataFrame, column: str = "tcp_flags") -> Column:

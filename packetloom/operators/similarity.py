@@ -230,7 +230,7 @@ def _cell_search(
         )
         key = ["slot", "block", "chunk"]
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, _RESULT)
-        return store.save(_top(found, k), "knn_found")
+        return store.save(_top(found, k).drop("rank"), "knn_found")
 
     first = search(vectors.mapInPandas(first_routes, routes_schema))
     reached = first.groupBy("vkey").agg(F.min("scaled").alias("kth"), F.count("*").alias("found"))
@@ -240,7 +240,7 @@ def _cell_search(
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("vkey").orderBy(F.col("scaled").desc(), "neighbour")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def nearest(
@@ -275,10 +275,11 @@ def nearest(
     else:
         found = _cell_search(vectors, kept, depth, store, cells, block_rows)
     out = asked.select("id", "vkey").join(_top(found, depth), "vkey").select(
-        F.col("id").alias("query"), "neighbour", (F.col("scaled") / F.lit(float(_SCALE))).alias("similarity")
+        F.col("id").alias("query"), "neighbour", (F.col("scaled") / F.lit(float(_SCALE))).alias("similarity"), "rank"
     )
-    if exclude_self:
-        out = out.where(F.col("query") != F.col("neighbour"))
+    if not exclude_self:
+        return out
+    out = out.where(F.col("query") != F.col("neighbour"))
     rank = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour")
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 

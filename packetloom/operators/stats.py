@@ -70,12 +70,13 @@ def percentiles(
     wanted = totals.withColumn("percent", F.explode(F.lit([float(p) for p in percents]))).withColumn(
         "rank", F.col("percent") / 100 * (F.col("total") - 1)
     )
-    # a few rows per (label, feature): a list inside the row, not a join on a range
+    # one row per class and feature, with its percentiles as a list: small by construction, so it is
+    # broadcast and the counts are not shuffled on so few keys
     wanted = wanted.groupBy("label", "feature").agg(
         F.collect_list(F.struct("percent", "rank")).alias("wanted")
     )
     hit = (
-        upto.join(wanted, ["label", "feature"])
+        upto.join(F.broadcast(wanted), ["label", "feature"])
         .withColumn("_from", F.col("upto") - F.col("n"))
         .withColumn(
             "w",
@@ -126,18 +127,18 @@ def significant_terms(
     )
 
 
-def severity_breakdown(flows: DataFrame) -> DataFrame:
+def severity_breakdown(flows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts per severity level and per traffic volume class in one pass."""
+    by = by or []
+    keep = [F.col(c) for c in by]
+    level, volume = F.col("severity_level"), F.col("traffic_volume_category")
     both = (
         with_severity(flows)
-        .groupingSets(
-            [[F.col("severity_level")], [F.col("traffic_volume_category")]],
-            F.col("severity_level"),
-            F.col("traffic_volume_category"),
-        )
+        .groupingSets([[*keep, level], [*keep, volume]], *keep, level, volume)
         .agg(F.count("*").alias("n"), F.grouping("severity_level").alias("g"))
     )
     return both.select(
+        *by,
         F.when(F.col("g") == 0, "severity").otherwise("volume").alias("breakdown"),
         F.coalesce("severity_level", "traffic_volume_category").alias("category"),
         "n",
@@ -164,24 +165,25 @@ def bucket_counts(
     return out.limit(size) if size else out
 
 
-def normalisation_stats(df: DataFrame, features: list[str]) -> Column:
-    """Mean and population deviation of each feature as one scalar subquery; no spread counts as 1."""
-    fields = []
-    for f in features:
-        fields.append(F.avg(f).alias(f"{f}_mean"))
-        sd = F.stddev_pop(f)
-        fields.append(F.when(sd < MIN_STD, F.lit(1.0)).otherwise(sd).alias(f"{f}_std"))
-    return df.agg(F.struct(*fields)).scalar()
+NormStats = dict[str, tuple[float, float]]
+
 
+def normalisation_stats(df: DataFrame, features: list[str]) -> NormStats:
+    """{feature: (mean, population deviation)} from one aggregate; no spread counts as 1. Two numbers
+    per feature, kept so that the same scaling can be applied to other data."""
+    wanted = [fn(f) for f in features for fn in (F.avg, F.stddev_pop)]
+    row = df.agg(*wanted).first()
+    out = {}
+    for i, f in enumerate(features):
+        mean, std = row[2 * i] or 0.0, row[2 * i + 1] or 0.0
+        out[f] = (float(mean), float(std) if std >= MIN_STD else 1.0)
+    return out
 
-def normalise(df: DataFrame, features: list[str], stats: Column | None = None) -> DataFrame:
+
+def normalise(df: DataFrame, features: list[str], fitted: NormStats | None = None) -> DataFrame:
     """z = (x - mean) / std, fitted on ``df`` itself unless fitted stats are given."""
-    stats = normalisation_stats(df, features) if stats is None else stats
-    return (
-        df.withColumn("_z", stats)
-        .withColumns({f: (F.col(f) - F.col(f"_z.{f}_mean")) / F.col(f"_z.{f}_std") for f in features})
-        .drop("_z")
-    )
+    fitted = normalisation_stats(df, features) if fitted is None else fitted
+    return df.withColumns({f: (F.col(f) - F.lit(fitted[f][0])) / F.lit(fitted[f][1]) for f in features})
 
 
 def class_weights(flows: DataFrame, label: str = "label") -> DataFrame:

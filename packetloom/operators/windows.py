@@ -2,76 +2,74 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import rank_integers
 
 
-def time_bounds(packets: DataFrame, ts: str = "timestamp") -> Column:
-    """(t_min, t_max) as a scalar subquery: one tiny aggregate, inlined as a literal."""
-    return (
-        packets.agg(F.min(ts).alias("t_min"), F.max(ts).alias("t_max"))
-        .select(F.struct("t_min", "t_max"))
-        .scalar()
-    )
+def time_bounds(packets: DataFrame, ts: str = "timestamp") -> tuple[float, float]:
+    """(first, last) time: one row from one aggregate. As plain numbers they keep the plans that use
+    them small, where a subquery would be repeated in every expression."""
+    row = packets.agg(F.min(ts), F.max(ts)).first()
+    return (0.0, 0.0) if row[0] is None else (float(row[0]), float(row[1]))
 
 
 def tumbling_window(
     packets: DataFrame, delta_t: float, t0: float | None = None, ts: str = "timestamp"
 ) -> DataFrame:
     """window_id = floor((t - t0) / delta), window_start = t0 + id * delta; t0 = first packet."""
-    start = F.lit(float(t0)) if t0 is not None else time_bounds(packets, ts)["t_min"]
-    return (
-        packets.withColumn("_t0", start)
-        .withColumn("window_id", F.floor((F.col(ts) - F.col("_t0")) / F.lit(float(delta_t))).cast("long"))
-        .withColumn("window_start", F.col("_t0") + F.col("window_id") * F.lit(float(delta_t)))
-        .drop("_t0")
+    origin = F.lit(time_bounds(packets, ts)[0] if t0 is None else float(t0))
+    width = F.lit(float(delta_t))
+    return packets.withColumn("window_id", F.floor((F.col(ts) - origin) / width).cast("long")).withColumn(
+        "window_start", origin + F.col("window_id") * width
     )
 
 
-def sliding_span(
-    packets: DataFrame,
-    size: float,
-    stride: float,
-    ts: str = "timestamp",
-    keep_tail: bool = False,
-    bounds: Column | None = None,
-) -> DataFrame:
+@dataclass(frozen=True)
+class SlidingWindows:
+    """Window starts are origin + w * step, w = 0 .. count - 1; a window holds start <= t < start + size."""
+
+    origin: float
+    step: float
+    count: int
+    size: float
+
+    @classmethod
+    def over(cls, bounds: tuple[float, float], size: float, stride: float, keep_tail: bool = False) -> "SlidingWindows":
+        """All windows that fit between the bounds, at least one; with ``keep_tail`` also those that
+        begin before the last packet and end after it."""
+        t_min, t_max = bounds
+        last_start = t_max if keep_tail else t_max - size
+        count = max(1, math.ceil((last_start + 1e-9 - t_min) / stride))
+        return cls(t_min, (t_min + stride) - t_min, count, float(size))
+
+    def start(self, w: Column) -> Column:
+        return F.lit(self.origin) + w * F.lit(self.step)
+
+
+def sliding_span(packets: DataFrame, windows: SlidingWindows, ts: str = "timestamp") -> DataFrame:
     """Adds ``first_window`` and ``last_window``: the contiguous range of windows that contain the
     packet. Packets in no window are dropped (gaps, and the tail no whole window fits).
 
-    Window starts are t_min + w * step with step = (t_min + stride) - t_min, membership is
-    start <= t < start + size. Each end of the range is found by arithmetic and settled by the
-    exact predicate on the neighbouring candidates, so rounding cannot move a packet.
+    Each end of the range is found by arithmetic and settled by the exact predicate on the
+    neighbouring candidates, so rounding cannot move a packet.
     """
-    size_c, stride_c = F.lit(float(size)), F.lit(float(stride))
-    t = F.col(ts)
-    t_min, t_max = F.col("_b.t_min"), F.col("_b.t_max")
-    last_start = t_max if keep_tail else t_max - size_c
-    count = F.greatest(F.lit(1), F.ceil((last_start + F.lit(1e-9) - t_min) / stride_c))
-    based = (
-        packets.withColumn("_b", time_bounds(packets, ts) if bounds is None else bounds)
-        .withColumn("_step", (t_min + stride_c) - t_min)
-        .withColumn("_count", count.cast("long"))
-    )
-
-    def start(w: Column) -> Column:
-        return t_min + w * F.col("_step")
-
-    lo = (F.floor((t - t_min - size_c) / F.col("_step")) + 1).cast("long")
-    hi = F.floor((t - t_min) / F.col("_step")).cast("long")
-    lo = (
-        F.when(start(lo - 1) + size_c > t, lo - 1).when(start(lo) + size_c > t, lo).otherwise(lo + 1)
-    )
+    t, size, start = F.col(ts), F.lit(windows.size), windows.start
+    lo = (F.floor((t - windows.origin - size) / windows.step) + 1).cast("long")
+    hi = F.floor((t - windows.origin) / windows.step).cast("long")
+    guess = packets.withColumns({"_lo": lo, "_hi": hi})
+    lo, hi = F.col("_lo"), F.col("_hi")
+    lo = F.when(start(lo - 1) + size > t, lo - 1).when(start(lo) + size > t, lo).otherwise(lo + 1)
     hi = F.when(start(hi + 1) <= t, hi + 1).when(start(hi) <= t, hi).otherwise(hi - 1)
     return (
-        based.withColumn("first_window", F.greatest(lo, F.lit(0)))
-        .withColumn("last_window", F.least(hi, F.col("_count") - 1))
-        .withColumn("_t_min", t_min)
+        guess.withColumn("first_window", F.greatest(lo, F.lit(0)))
+        .withColumn("last_window", F.least(hi, F.lit(windows.count - 1)))
         .where("first_window <= last_window")
-        .drop("_b", "_count")
-        .withColumnsRenamed({"_t_min": "span_origin", "_step": "span_step"})
+        .drop("_lo", "_hi")
     )
 
 
@@ -79,11 +77,12 @@ def sliding_windows(
     packets: DataFrame, size: float, stride: float, ts: str = "timestamp", keep_tail: bool = False
 ) -> DataFrame:
     """One row per (packet, window)."""
+    windows = SlidingWindows.over(time_bounds(packets, ts), size, stride, keep_tail)
     return (
-        sliding_span(packets, size, stride, ts, keep_tail)
+        sliding_span(packets, windows, ts)
         .withColumn("window_id", F.explode(F.sequence("first_window", "last_window")))
-        .withColumn("window_start", F.col("span_origin") + F.col("window_id") * F.col("span_step"))
-        .drop("first_window", "last_window", "span_origin", "span_step")
+        .withColumn("window_start", windows.start(F.col("window_id")))
+        .drop("first_window", "last_window")
     )
 
 

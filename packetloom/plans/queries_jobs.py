@@ -141,7 +141,7 @@ def stream_run(t) -> st.StreamTables:
 
 
 def stream_table(t, name: str, keys: list[str] | None):
-    schemas = {"results": st.RESULTS, "alerts": ALERTS, "breakdown": st.BREAKDOWN}
+    schemas = {"results": st.RESULTS, "alerts": ALERTS}
     schema = schemas.get(name) or st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None).schema
     return stream_run(t).read(t.spark, name, schema, keys)
 
@@ -204,9 +204,7 @@ def _(t):
 )
 def _(t):
     """The breakdown after the last batch."""
-    rows = stream_table(t, "breakdown", None)
-    last = rows.agg(F.max("batch_id")).scalar()
-    return rows.where(F.col("batch_id") == last).select("breakdown", "category", "n")
+    return st.cumulative_breakdown(t.spark, stream_run(t))
 
 
 @query(

@@ -21,7 +21,7 @@ from packetloom.schemas import FEATURES
 )
 def _(t):
     dims = [F.round(F.col("embedding")[i], 6).alias(f"e{i}") for i in range(si.EMBEDDING_DIM)]
-    return t.embeddings.select("flow_id", "label", *dims)
+    return si.feature_embeddings(t.flows).select("flow_id", "label", *dims)
 
 
 @query(

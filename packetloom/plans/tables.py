@@ -30,14 +30,10 @@ class Tables:
 
     @property
     def packets(self) -> DataFrame:
-        """The packet view, stored in time order: windows read few files. The index in the range key
-        splits packets of one instant."""
-
-        def build() -> DataFrame:
-            view = testviews.packets(self.spark, self.sf_dir)
-            return self.store.save(view.repartitionByRange("timestamp", "packet_index"), "packets")
-
-        return self.once("packets", build)
+        """The packet view, stored as it comes: a write without a shuffle."""
+        return self.once(
+            "packets", lambda: self.store.save(testviews.packets(self.spark, self.sf_dir), "packets")
+        )
 
     @property
     def labels(self) -> DataFrame:
@@ -55,7 +51,9 @@ class Tables:
 
     @property
     def embeddings(self) -> DataFrame:
-        return feature_embeddings(self.flows)
+        return self.once(
+            "embeddings", lambda: self.store.save(feature_embeddings(self.flows), "embeddings")
+        )
 
     @property
     def counterfactuals(self) -> DataFrame:

@@ -19,11 +19,10 @@ def latest(versions: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows with the updates put over them. Within the updates a key occurs once."""
-    both = existing.withColumn("_version", F.lit(0)).unionByName(
-        updates.withColumn("_version", F.lit(1)), allowMissingColumns=True
-    )
-    return latest(both, keys, "_version").drop("_version")
+    """Existing rows with the updates put over them; only the keys of the updates are compared. Within
+    the updates a key occurs once (``latest`` sees to it)."""
+    untouched = existing.join(updates.select(*keys), keys, "left_anti")
+    return untouched.unionByName(updates, allowMissingColumns=True)
 
 
 def write_by_window(df: DataFrame, path: str, mode: str = "overwrite") -> str:

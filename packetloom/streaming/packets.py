@@ -109,6 +109,7 @@ RESULTS = T.StructType(
 )
 BREAKDOWN = T.StructType(
     [
+        T.StructField("window_id", T.LongType()),
         T.StructField("breakdown", T.StringType()),
         T.StructField("category", T.StringType()),
         T.StructField("n", T.LongType()),
@@ -131,9 +132,13 @@ def window_processor(
         if fresh.isEmpty():
             return
         touched = fresh.select("window_id").distinct()
-        everything = tables.read(spark, "flows", flow_schema, ["window_id", "flow_id"]).drop("batch_id")
-        # scores and vectors of touched windows only
-        flows = everything.join(touched, "window_id", "left_semi").select(*flow_schema.names)
+        oldest = fresh.agg(F.min("window_id")).first()[0]
+        # only rows of windows touched now; files with older windows are skipped by their statistics
+        typed = T.StructType([*flow_schema.fields, T.StructField("batch_id", T.LongType())])
+        versions = spark.read.schema(typed).parquet(tables.path("flows")).where(F.col("window_id") >= oldest)
+        flows = latest(
+            versions.join(touched, "window_id", "left_semi"), ["window_id", "flow_id"], "batch_id"
+        ).select(*flow_schema.names)
         scores = score(flows).select("flow_id", "window_id", "prediction_score", "prediction")
         append(scores, tables.path("scores"), batch_id)
         scores = spark.read.schema(scores.schema).parquet(f"{tables.path('scores')}/batch_id={batch_id}")
@@ -151,11 +156,9 @@ def window_processor(
         results = spark.read.schema(RESULTS).parquet(f"{tables.path('results')}/batch_id={batch_id}")
         alerts = results.where(F.col("anomaly_score") >= alert_score)
         append(alerts.select(*[c for c in ALERTS.names if c != "batch_id"]), tables.path("alerts"), batch_id)
-        # the breakdown covers all flows so far, the list of worst flows this batch
-        all_scores = tables.read(spark, "scores", scores.schema, ["flow_id"]).select("flow_id", "prediction_score", "prediction")
-        scored = everything.join(all_scores, "flow_id", "left")
-        append(severity_breakdown(scored), tables.path("breakdown"), batch_id)
-        with_scores = flows.join(scores.drop("window_id"), "flow_id")
+        # counts per touched window; cumulative_breakdown adds up the newest of every window
+        with_scores = flows.join(scores.drop("window_id"), "flow_id", "left")
+        append(severity_breakdown(with_scores, ["window_id"]), tables.path("breakdown"), batch_id)
         append(
             search_anomalous_flows(with_scores, TOP_SCORE, TOP_SIZE).select("flow_id", "window_id", "prediction_score"),
             tables.path("top_flows"),
@@ -188,6 +191,13 @@ def run_available(
     return tables
 
 
+def cumulative_breakdown(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    """Severity and volume counts over all flows so far, from the newest counts of each window."""
+    rows = tables.read(spark, "breakdown", BREAKDOWN)
+    newest = rows.groupBy("window_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, ["window_id", "batch_id"]).groupBy("breakdown", "category").agg(F.sum("n").alias("n"))
+
+
 def run_kpis(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("windows"),
