@@ -78,10 +78,19 @@ def _best(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np
     """Positions and scaled similarities of the k best base rows; base is in id order, which breaks ties."""
     n = len(base)
     k = min(k, n)
-    scaled = np.rint((queries @ base.T) * _SCALE).astype(np.int64)
-    keys = scaled * n + np.arange(n - 1, -1, -1)
-    at = np.argpartition(-keys, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(queries), 1))
-    return at, np.take_along_axis(scaled, at, axis=1)
+    sims = queries @ base.T
+    sims *= _SCALE
+    np.rint(sims, out=sims)
+    if k == 1:
+        at = sims.argmax(axis=1)[:, None]  # the first of equals
+    elif k == n:
+        at = np.tile(np.arange(n), (len(queries), 1))
+    else:
+        # whole numbers below 2^53: similarity first, position second, so no two keys are equal
+        keys = sims * n
+        keys += np.arange(n - 1, -1, -1)
+        at = np.argpartition(keys, n - k, axis=1)[:, n - k :]
+    return at, np.take_along_axis(sims, at, axis=1).astype(np.int64)
 
 
 def _pairs(vkeys: pd.Series, ids: np.ndarray, at: np.ndarray, scaled: np.ndarray) -> pd.DataFrame:
@@ -112,7 +121,9 @@ def _broadcast_search(vectors: DataFrame, base_rows: pd.DataFrame, k: int) -> Da
                 part = batch.iloc[lo : lo + step]
                 yield _pairs(part["vkey"], ids, *_best(_matrix(part["vec"]), matrix, k))
 
-    return vectors.mapInPandas(search, _RESULT)
+    # comparing costs far more than moving, so a few megabytes of vectors still go to all tasks
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.repartition(tasks).mapInPandas(search, _RESULT)
 
 
 def _spread_pivots(candidates: np.ndarray, count: int) -> np.ndarray:
@@ -250,7 +261,7 @@ def nearest(
     k: int = 5,
     key: str = "flow_id",
     exclude_self: bool = False,
-    broadcast_rows: int = 20_000,
+    broadcast_values: int = 4_000_000,
     cells: int = 64,
     block_rows: int = 4096,
 ) -> DataFrame:
@@ -267,7 +278,10 @@ def nearest(
     )
     # one vector per digest; the copies of a hot vector are combined before the shuffle
     vectors = asked.groupBy("vkey").agg(F.first("vec").alias("vec"))
-    head = kept.select("id", "vec").limit(broadcast_rows + 1).toPandas()  # size check; never more than broadcast_rows + 1
+    # size check: numbers, not rows, so long vectors are covered; 4 million doubles are 32 MB
+    first = base.select(F.size("embedding")).first()
+    broadcast_rows = broadcast_values // max(1, first[0] if first else 1)
+    head = kept.select("id", "vec").limit(broadcast_rows + 1).toPandas()
     if not len(head):
         found = vectors.sparkSession.createDataFrame([], _RESULT)
     elif len(head) <= broadcast_rows:

@@ -18,9 +18,17 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 HIGHLIGHT = ("<em>", "</em>")
 
 
-def words(text: Column | str) -> Column:
+def pieces(text: Column | str) -> Column:
+    """The text cut at everything that is neither letter nor digit; the ends may be empty."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), SEPARATOR), lambda w: w != "")
+    return F.split(F.lower(text), SEPARATOR)
+
+
+def word_count(cut: str) -> Column:
+    """Pieces without the empty ones at the ends."""
+    first, last = F.element_at(cut, 1) == "", F.element_at(cut, -1) == ""
+    alone = F.size(cut) == 1
+    return F.size(cut) - first.cast("int") - F.when(alone, 0).otherwise(last.cast("int"))
 
 
 def allowed_edits(word: str) -> int:
@@ -32,32 +40,47 @@ def query_words(query: str) -> list[str]:
     return sorted({w for w in re.split(r"[\W_]+", query.lower()) if w})
 
 
+def _distance(word: Column, query: str, fuzzy: bool) -> Column:
+    """Edits between a word and a query word, -1 if too many. Only words of about the right length are
+    compared: ``when`` does not evaluate its branches ahead of time."""
+    limit = allowed_edits(query) if fuzzy else 0
+    if limit == 0:
+        return F.when(word == query, 0).otherwise(-1)
+    near = F.abs(F.length(word) - len(query)) <= limit
+    return F.when(near, F.levenshtein(word, F.lit(query), limit)).otherwise(-1)
+
+
 def _matches(word: Column, query: str, fuzzy: bool) -> Column:
     """Array of (query word, boost) that a word matches."""
     tests = []
     for q in query_words(query):
-        limit = allowed_edits(q) if fuzzy else 0
-        if limit == 0:
-            hit, distance = word == q, F.lit(0)
-        else:
-            # nested, so that only words of about the right length are compared
-            near = F.abs(F.length(word) - len(q)) <= limit
-            distance = F.when(near, F.levenshtein(word, F.lit(q), limit)).otherwise(F.lit(-1))
-            hit = distance >= 0
+        distance = _distance(word, q, fuzzy)
         boost = 1 - distance / F.least(F.length(word), F.lit(len(q)))
-        tests.append(F.when(hit, F.struct(F.lit(q).alias("query_word"), boost.cast("double").alias("boost"))))
+        hit = F.struct(F.lit(q).alias("query_word"), boost.cast("double").alias("boost"))
+        tests.append(F.when(distance >= 0, hit))
     return F.array_compact(F.array(*tests))
 
 
+def _matches_any(word: Column, query: str, fuzzy: bool) -> Column:
+    """Cheap test ahead of the structs."""
+    out = F.lit(False)
+    for q in query_words(query):
+        out = F.when(_distance(word, q, fuzzy) >= 0, True).otherwise(out)
+    return out
+
+
 def search_text(
     documents: DataFrame, query: str, key: str, text: str, size: int | None = 10, fuzzy: bool = True
 ) -> DataFrame:
     """(key, score, matched words) of the best texts. Scores are compared at six decimals, so that the
     order in which parts were added up does not decide; the key breaks ties."""
-    split = documents.select(key, words(text).alias("_w")).withColumn("_len", F.size("_w"))
+    split = documents.select(key, pieces(text).alias("_w")).withColumn("_len", word_count("_w"))
     corpus = split.agg(F.struct(F.count("*").alias("n"), F.avg("_len").alias("mean"))).scalar()
     hits = (
-        split.select(key, "_len", F.explode("_w").alias("word"))
+        # tested inside the array, so that only matching words become rows
+        split.select(
+            key, "_len", F.explode(F.filter("_w", lambda w: _matches_any(w, query, fuzzy))).alias("word")
+        )
         .withColumn("_m", F.explode(_matches(F.col("word"), query, fuzzy)))
         .groupBy(key, "word", "_m.query_word", "_m.boost")
         .agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))

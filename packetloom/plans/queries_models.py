@@ -10,6 +10,7 @@ from packetloom.plans.queries_flows import rounded
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import FEATURES, NODE_FEATURES
+from packetloom.sources import testviews
 
 DOCUMENT_QUERY = "That heron estion, onenes!"
 NARRATIVE_QUERY = "packt_count decreese normal"
@@ -38,7 +39,8 @@ found AS (
     "WITH " + search_sql("documents", "doc_id", "text", DOCUMENT_QUERY, 200) + " SELECT k AS doc_id, score, matched FROM found",
 )
 def _(t):
-    found = ts.search_text(t.raw("documents"), DOCUMENT_QUERY, "doc_id", "text", size=200)
+    docs = testviews.spread(t.raw("documents"))
+    found = ts.search_text(docs, DOCUMENT_QUERY, "doc_id", "text", size=200)
     return found.select("doc_id", "score", F.array_join("matched", ",").alias("matched"))
 
 

@@ -74,7 +74,7 @@ def _(t):
 def _(t):
     """The way for base sides too large to broadcast."""
     e = t.raw("embeddings")
-    return si.nearest(e.where("label <> 0"), e.where("label = 0"), t.store, 4, key="vec_id", broadcast_rows=0, cells=8, block_rows=16)
+    return si.nearest(e.where("label <> 0"), e.where("label = 0"), t.store, 4, key="vec_id", broadcast_values=0, cells=8, block_rows=16)
 
 
 @query("nearest_normal_flows", sql("cfs", "SELECT flow_id, nearest_normal_id, similarity_score FROM cfs"))

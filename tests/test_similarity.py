@@ -31,7 +31,7 @@ def data(seed, n, dim, copies):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"broadcast_rows": 0, "cells": 6, "block_rows": 16}, {"broadcast_rows": 0, "cells": 1, "block_rows": 5}],
+    [{}, {"broadcast_values": 0, "cells": 6, "block_rows": 16}, {"broadcast_values": 0, "cells": 1, "block_rows": 5}],
 )
 @pytest.mark.parametrize("dim", [3, 16])
 def test_nearest_is_exact(spark, store, options, dim):
@@ -44,7 +44,7 @@ def test_nearest_is_exact(spark, store, options, dim):
     assert sorted(r[2] for r in rows) == pytest.approx(sorted(r[2] for r in want), abs=2e-6)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "cells": 4, "block_rows": 8}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_values": 0, "cells": 4, "block_rows": 8}])
 def test_self_is_left_out_on_request(spark, store, options):
     m = data(3, 50, 8, 0.3)
     v = vectors(spark, range(50), m)
@@ -54,7 +54,7 @@ def test_self_is_left_out_on_request(spark, store, options):
 
 def test_fewer_base_rows_than_k(spark, store):
     m = data(4, 3, 4, 0)
-    for options in ({}, {"broadcast_rows": 0, "cells": 2}):
+    for options in ({}, {"broadcast_values": 0, "cells": 2}):
         got = si.nearest(vectors(spark, range(3), m), vectors(spark, range(2), m[:2]), store, 5, **options)
         assert got.count() == 6
 
