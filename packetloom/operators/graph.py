@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordered import rank_within
 from packetloom.schemas import FEATURES
+from packetloom.store import Store
 
 TINY = 1e-9
 
@@ -61,6 +63,18 @@ def node_set(df: DataFrame, by_window: bool = False) -> DataFrame:
     return src.union(df.select(*keys, F.col("dst_ip").alias("ip"))).distinct()
 
 
+def node_ids(df: DataFrame, store: Store) -> DataFrame:
+    """Addresses with dense ids in text order."""
+    return rank_within(node_set(df), [], ["ip"], store, "node_id")
+
+
+def edges_by_id(flows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with the ids of both ends next to their addresses."""
+    src = ids.withColumnsRenamed({"ip": "src_ip", "node_id": "src_id"})
+    dst = ids.withColumnsRenamed({"ip": "dst_ip", "node_id": "dst_id"})
+    return flows.join(src, "src_ip").join(dst, "dst_ip")
+
+
 def graph_summaries(flows: DataFrame) -> DataFrame:
     """Nodes, edges, mean degree, density and malicious share per window."""
     n, e = F.col("num_nodes"), F.col("num_edges")

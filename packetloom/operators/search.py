@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.severity import with_severity
@@ -71,6 +71,13 @@ def search_anomalous_flows(flows: DataFrame, min_score: float = 0.5, size: int =
     return search_flows(flows, clauses, size, [F.col("prediction_score").desc()])
 
 
+def top_flows_per_window(flows: DataFrame, min_score: float = 0.7, size: int = 5) -> DataFrame:
+    """The highest scored flows of every window. A limit per group is applied before the shuffle too."""
+    best = Window.partitionBy("window_id").orderBy(F.col("prediction_score").desc(), "flow_id")
+    hits = where_all(flows, [("prediction", "==", 1), ("prediction_score", ">=", min_score)])
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+
+
 def search_by_severity(
     flows: DataFrame, severity: str | None = None, size: int = 20, clauses: list[Clause] | None = None
 ) -> DataFrame:

@@ -81,6 +81,19 @@ def feature_report(flows: DataFrame, store: Store) -> DataFrame:
     return reduce(DataFrame.unionByName, sections)
 
 
+def prepare_window(
+    window_flows: DataFrame, edge_stats: stats.NormStats, node_stats: stats.NormStats
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, nodes, weighted edges with loops) of new windows, scaled with fitted stats."""
+    clean = sanitise_features(window_flows, FEATURES)
+    nodes = g.node_features(clean).select("window_id", "ip", *NODE_FEATURES)
+    return (
+        stats.normalise(clean, FEATURES, edge_stats),
+        stats.normalise(nodes, NODE_FEATURES, node_stats),
+        g.normalised_edges(clean),
+    )
+
+
 def temporal_dataset(
     packets: DataFrame, labels: DataFrame | None, size: float, stride: float, seq_len: int = 5, seq_stride: int = 1
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import graph as g
 from packetloom.operators.spectral import spectral_extremes, spectral_measures
+from packetloom.operators.search import top_flows_per_window
+from packetloom.operators.stats import bucket_counts, normalisation_stats, normalise
+from packetloom.plans.batch import prepare_window
 from packetloom.plans.queries_flows import rounded, rounded_sql
-from packetloom.plans.reference_sql import sql
+from packetloom.plans.reference_sql import NODES, SUMMARIES, sql
 from packetloom.plans.registry import query
 from packetloom.schemas import FEATURES, NODE_FEATURES
-from packetloom.operators.stats import normalise
+from packetloom.sources.testviews import trade_edges
 
 
 @query("node_features", sql("nodes", "SELECT * FROM nodes"))
@@ -258,3 +261,81 @@ def _(t):
     return spectral_extremes(spectral_measures(t.flows, t.store)).select(
         "kind", "window_id", *rounded("spectral_gap", "spectral_radius")
     )
+
+
+@query(
+    "node_ids",
+    sql(
+        "flows",
+        """SELECT flow_id, s.id AS src_id, d.id AS dst_id FROM flows f JOIN ids s ON f.src_ip = s.ip JOIN ids d ON f.dst_ip = d.ip""",
+        "ids AS (SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS id FROM (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows))",
+    ),
+)
+def _(t):
+    return g.edges_by_id(t.flows, g.node_ids(t.flows, t.store)).select("flow_id", "src_id", "dst_id")
+
+
+@query(
+    "top_flows_per_window",
+    sql(
+        "flows",
+        """SELECT window_id, rank, flow_id, prediction_score FROM (
+             SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY prediction_score DESC, flow_id) AS rank FROM flows
+             WHERE prediction = 1 AND prediction_score >= 0.7) WHERE rank <= 5""",
+    ),
+)
+def _(t):
+    return top_flows_per_window(t.flows).select("window_id", "rank", "flow_id", "prediction_score")
+
+
+@query(
+    "prepared_window",
+    sql(
+        "nodes",
+        "SELECT window_id, ip, "
+        + ", ".join(
+            f"round(({f} - (SELECT avg({f}) FROM nodes)) / (SELECT CASE WHEN stddev_pop({f}) < 1e-8 THEN 1 ELSE stddev_pop({f}) END FROM nodes), 6) AS {f}"
+            for f in NODE_FEATURES
+        )
+        + " FROM nodes WHERE window_id = 30",
+    ),
+)
+def _(t):
+    """One window, scaled with what was fitted on all of them."""
+    all_nodes = g.node_features(t.flows)
+    edge_stats, node_stats = normalisation_stats(t.flows, FEATURES), normalisation_stats(all_nodes, NODE_FEATURES)
+    _, nodes, _ = prepare_window(t.flows.where("window_id = 30"), edge_stats, node_stats)
+    return nodes.select("window_id", "ip", *rounded(*NODE_FEATURES))
+
+
+# --- a second, larger graph: suppliers and customers by month of shipment ---------------------
+
+_TRADE = """flows AS (
+  SELECT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS window_id, (year(l_shipdate) * 12 + month(l_shipdate))::DOUBLE AS window_start,
+         's' || l_suppkey AS src_ip, 'c' || o_custkey AS dst_ip, l_orderkey * 10 + l_linenumber AS edge_idx,
+         l_quantity::BIGINT AS packet_count, floor(l_extendedprice)::BIGINT AS total_bytes,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("trade_node_features", f"WITH {_TRADE}, {NODES} SELECT * FROM nodes")
+def _(t):
+    return g.node_features(trade_edges(t.spark, t.sf_dir)).drop("malicious_out")
+
+
+@query(
+    "trade_summaries",
+    f"WITH {_TRADE}, {NODES}, {SUMMARIES} SELECT window_id, num_nodes, num_edges, num_malicious, {rounded_sql('mean_degree', 'density', 'malicious_ratio')} FROM summaries",
+)
+def _(t):
+    out = g.graph_summaries(trade_edges(t.spark, t.sf_dir))
+    return out.select("window_id", "num_nodes", "num_edges", "num_malicious", *rounded("mean_degree", "density", "malicious_ratio"))
+
+
+@query(
+    "trade_bucket_counts",
+    f"WITH {_TRADE} SELECT src_ip AS key, count(*) AS doc_count, sum(total_bytes)::BIGINT AS bytes FROM flows GROUP BY 1",
+)
+def _(t):
+    edges = trade_edges(t.spark, t.sf_dir)
+    return bucket_counts(edges, "src_ip", [F.sum("total_bytes").alias("bytes")])

@@ -207,6 +207,20 @@ def _(t):
     return st.cumulative_breakdown(t.spark, stream_run(t))
 
 
+@query(
+    "stream_top_flows",
+    sql(
+        "packets",
+        """SELECT window_id, rank, flow_id FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY flow_id) AS rank FROM (
+             SELECT window_id, substr(md5(concat_ws(':', window_id, src_ip, dst_ip, src_port, dst_port, protocol)), 1, 16) AS flow_id
+             FROM stream_flows WHERE label = 1)) WHERE rank <= 5""",
+        _STREAM,
+    ),
+)
+def _(t):
+    return st.newest_per_window(t.spark, stream_run(t), "top_flows", st.TOP_FLOWS).select("window_id", "rank", "flow_id")
+
+
 @query(
     "stream_kpis",
     sql("packets", """SELECT count(*) AS windows, sum(num_flows)::BIGINT AS total_flows, round(avg(anomaly_score), 6) AS mean_score,

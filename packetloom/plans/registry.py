@@ -18,6 +18,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # event times without a zone are read as UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(tables(spark, sf_dir))
 
         run.__name__ = name

@@ -69,3 +69,22 @@ def with_test_scores(flows: DataFrame) -> DataFrame:
     return flows.withColumn("prediction_score", score).withColumn(
         "prediction", (F.col("prediction_score") >= 0.5).cast("int")
     )
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as edges from supplier to customer, one window per month of shipment."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        month.cast("long").alias("window_id"),
+        month.cast("double").alias("window_start"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src_ip"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst_ip"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_idx"),
+        F.col("l_quantity").cast("long").alias("packet_count"),
+        F.floor("l_extendedprice").cast("long").alias("total_bytes"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
+    )

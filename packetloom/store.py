@@ -12,13 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_ROOT = "spark.packetloom.store.root"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        root = root or spark.conf.get("spark.checkpoint.dir", None)
+        root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_ROOT, None)
         if not root:
             root = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("packetloom.store.root", root)
+            spark.conf.set(_OWN_ROOT, root)
         self.root = f"{root.rstrip('/')}/packetloom-{spark.sparkContext.applicationId}"
 
     def fresh_path(self, name: str) -> str:

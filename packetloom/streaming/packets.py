@@ -19,7 +19,7 @@ from packetloom.functions.cleaning import epoch_seconds
 from packetloom.functions.identity import stream_flow_id
 from packetloom.operators.graph import graph_summaries
 from packetloom.operators.scoring import window_scores
-from packetloom.operators.search import search_anomalous_flows
+from packetloom.operators.search import top_flows_per_window
 from packetloom.operators.similarity import feature_embeddings
 from packetloom.operators.stats import severity_breakdown
 from packetloom.schemas import ALERTS, PACKETS
@@ -115,6 +115,14 @@ BREAKDOWN = T.StructType(
         T.StructField("n", T.LongType()),
     ]
 )
+TOP_FLOWS = T.StructType(
+    [
+        T.StructField("window_id", T.LongType()),
+        T.StructField("flow_id", T.StringType()),
+        T.StructField("prediction_score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
+    ]
+)
 
 
 def window_processor(
@@ -159,11 +167,8 @@ def window_processor(
         # counts per touched window; cumulative_breakdown adds up the newest of every window
         with_scores = flows.join(scores.drop("window_id"), "flow_id", "left")
         append(severity_breakdown(with_scores, ["window_id"]), tables.path("breakdown"), batch_id)
-        append(
-            search_anomalous_flows(with_scores, TOP_SCORE, TOP_SIZE).select("flow_id", "window_id", "prediction_score"),
-            tables.path("top_flows"),
-            batch_id,
-        )
+        top = top_flows_per_window(with_scores, TOP_SCORE, TOP_SIZE)
+        append(top.select(*TOP_FLOWS.names), tables.path("top_flows"), batch_id)
 
     return process
 
@@ -191,11 +196,16 @@ def run_available(
     return tables
 
 
+def newest_per_window(spark: SparkSession, tables: StreamTables, name: str, schema: T.StructType) -> DataFrame:
+    """Rows of a table written by the last batch that touched their window."""
+    touched = tables.read(spark, "results", RESULTS).groupBy("window_id").agg(F.max("batch_id").alias("batch_id"))
+    return tables.read(spark, name, schema).join(touched, ["window_id", "batch_id"])
+
+
 def cumulative_breakdown(spark: SparkSession, tables: StreamTables) -> DataFrame:
     """Severity and volume counts over all flows so far, from the newest counts of each window."""
-    rows = tables.read(spark, "breakdown", BREAKDOWN)
-    newest = rows.groupBy("window_id").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, ["window_id", "batch_id"]).groupBy("breakdown", "category").agg(F.sum("n").alias("n"))
+    rows = newest_per_window(spark, tables, "breakdown", BREAKDOWN)
+    return rows.groupBy("breakdown", "category").agg(F.sum("n").alias("n"))
 
 
 def run_kpis(results: DataFrame) -> DataFrame:
