@@ -154,6 +154,7 @@ def _cell_search(
                 r = d[np.arange(len(d)), cell]
                 yield batch.assign(cell=cell, band=(r / _BAND).astype(int), r=r)
 
+    vectors = store.save(vectors, "knn_queries")  # read by both rounds
     placed = store.save(
         base.select("id", "vec").mapInPandas(place, "id string, vec array<double>, cell int, band int, r double"), "knn_cells"
     )

@@ -173,17 +173,17 @@ def _(t):
     "required_columns_cleanup",
     sql(
         "packets",
-        """SELECT packet_index, src_ip, protocol, coalesce(CASE WHEN packet_index % 5 = 0 THEN NULL ELSE dst_port END, 0) AS dst_port
-           FROM packets WHERE packet_index % 11 <> 0 AND packet_index % 13 <> 0""",
+        """SELECT packet_index, src_ip, protocol, CASE WHEN label = 1 THEN 0 ELSE dst_port END AS dst_port
+           FROM packets WHERE payload_length > 5 AND src_ip <> dst_ip""",
     ),
 )
 def _(t):
     """Nulls are planted in source, protocol and port, then dropped or filled."""
     holes = t.packets.withColumns(
         {
-            "src_ip": F.when(F.col("packet_index") % 11 != 0, F.col("src_ip")),
-            "protocol": F.when(F.col("packet_index") % 13 != 0, F.col("protocol")),
-            "dst_port": F.when(F.col("packet_index") % 5 != 0, F.col("dst_port")),
+            "src_ip": F.when(F.col("payload_length") > 5, F.col("src_ip")),
+            "protocol": F.when(F.col("src_ip") != F.col("dst_ip"), F.col("protocol")),
+            "dst_port": F.when(F.col("label") != 1, F.col("dst_port")),
         }
     )
     return fl.prepare_packets(holes).select("packet_index", "src_ip", "protocol", "dst_port")
@@ -318,8 +318,8 @@ def _(t):
 
 
 _SEQ = """seqs AS (SELECT (i - 4) AS sequence_id, window_id AS last_window, has_attack FROM (
-             SELECT window_id, mal > 0 AS has_attack, row_number() OVER (ORDER BY window_id) - 1 AS i
-             FROM (SELECT window_id, sum(label) AS mal FROM flows WHERE label = 0 OR window_id % 3 = 0 GROUP BY window_id))
+             SELECT window_id, share > avg(share) OVER () AS has_attack, row_number() OVER (ORDER BY window_id) - 1 AS i
+             FROM (SELECT window_id, sum(label) / count(*)::DOUBLE AS share FROM flows GROUP BY window_id))
            WHERE i >= 4)"""
 
 
@@ -335,9 +335,11 @@ _SEQ = """seqs AS (SELECT (i - 4) AS sequence_id, window_id AS last_window, has_
     ),
 )
 def _(t):
-    """Two windows in three lose their malicious flows, so both kinds of sequence occur."""
-    mixed = t.flows.where((F.col("label") == 0) | (F.col("window_id") % 3 == 0))
-    sequences = win.window_sequences(graph_summaries(mixed), 5, 1)
+    """Here a window counts as an attack when its malicious share is above the mean, so both kinds occur."""
+    summaries = graph_summaries(t.flows)
+    mean = summaries.agg(F.avg("malicious_ratio")).scalar()
+    marked = summaries.withColumn("num_malicious", (F.col("malicious_ratio") > mean).cast("long"))
+    sequences = win.window_sequences(marked, 5, 1)
     return win.stratified_split(sequences).select("sequence_id", "last_window", "has_attack", "split")
 
 

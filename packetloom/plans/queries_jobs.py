@@ -70,12 +70,13 @@ def _(t):
 
 @query(
     "packet_upsert",
-    sql("packets", "SELECT packet_index, src_ip, CASE WHEN packet_index % 7 = 0 THEN 1 - label ELSE label END AS label FROM packets"),
+    sql("packets", "SELECT packet_index, src_ip, CASE WHEN payload_length > 20 THEN 1 - label ELSE label END AS label FROM packets"),
 )
 def _(t):
+    """Packets with larger payloads come again, with the other label."""
     base = t.packets.select("packet_index", "src_ip", "label")
-    changed = base.where("packet_index % 7 = 0").withColumn("label", 1 - F.col("label"))
-    return sinks.upsert(base, changed, ["packet_index"])
+    again = t.packets.where("payload_length > 20").select("packet_index", "src_ip", (1 - F.col("label")).alias("label"))
+    return sinks.upsert(base, again, ["packet_index"])
 
 
 @query(

@@ -48,13 +48,13 @@ def _(t):
 
 @query(
     "flows_with_predictions",
-    sql("flows", """SELECT flow_id, label, CASE WHEN window_id % 2 = 0 THEN round(label * 0.5 + 0.25, 2)::DOUBLE END AS prediction_score,
-          CASE WHEN window_id % 2 = 0 THEN label END AS prediction FROM flows"""),
+    sql("flows", """SELECT flow_id, label, CASE WHEN packet_count > 1 THEN round(label * 0.5 + 0.25, 2)::DOUBLE END AS prediction_score,
+          CASE WHEN packet_count > 1 THEN label END AS prediction FROM flows"""),
 )
 def _(t):
-    """Predictions given for every other window."""
+    """Predictions given for flows of more than one packet."""
     score = (F.col("label") * 0.5 + 0.25).alias("prediction_score")
-    given = t.flows.where("window_id % 2 = 0").select("flow_id", score, F.col("label").alias("prediction"))
+    given = t.flows.where("packet_count > 1").select("flow_id", score, F.col("label").alias("prediction"))
     return with_predictions(t.flows, given).select("flow_id", "label", "prediction_score", "prediction")
 
 
@@ -286,12 +286,12 @@ def _(t):
     sql(
         "flows",
         """SELECT flow_id, src_ip, dst_ip FROM flows WHERE src_ip IN (SELECT ip FROM ips) OR dst_ip IN (SELECT ip FROM ips)""",
-        """ips AS (SELECT src_ip AS ip FROM flows WHERE prediction_score = 1.0 AND label = 1 AND window_id < 60
-                   UNION SELECT dst_ip FROM flows WHERE prediction_score = 1.0 AND label = 1 AND window_id < 60)""",
+        """ips AS (SELECT src_ip AS ip FROM flows WHERE prediction_score = 1.0 AND label = 1
+                   UNION SELECT dst_ip FROM flows WHERE prediction_score = 1.0 AND label = 1)""",
     ),
 )
 def _(t):
-    critical = t.flows.where("prediction_score = 1.0 and label = 1 and window_id < 60")
+    critical = t.flows.where("prediction_score = 1.0 and label = 1")
     return inc.sharing_an_address(t.flows, critical).select("flow_id", "src_ip", "dst_ip")
 
 
