@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.plans import batch
 from packetloom.plans.queries_flows import rounded
-from packetloom.plans.reference_sql import SEVERE, sql
+from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import ALERTS, FEATURES, PACKETS
 from packetloom.sources import files, sinks, testviews
@@ -62,9 +62,9 @@ def _(t):
 @query("export_manifest", f"SELECT count(*) AS total_rows, {len(PACKETS.fields)} AS columns, true AS small_files FROM events")
 def _(t):
     out = json_export(t)
-    manifest = files.export_manifest(t.spark, f"{out}/packets")
-    return manifest.select(
-        "total_rows", F.size("columns").alias("columns"), (F.col("num_files") * 1000 >= F.col("total_rows")).alias("small_files")
+    summary = files.export_summary(files.export_manifest(t.spark, f"{out}/packets"))
+    return summary.select(
+        "total_rows", F.size("columns").alias("columns"), (F.col("largest") <= 1000).alias("small_files")
     )
 
 

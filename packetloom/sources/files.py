@@ -10,14 +10,7 @@ from packetloom.operators.flows import merge_labels
 from packetloom.schemas import LABEL_FILE, PACKETS
 
 CHUNK_ROWS = 100_000  # fixed value: rows per exported file
-_MANIFEST = T.StructType(
-    [
-        T.StructField("total_rows", T.LongType()),
-        T.StructField("num_files", T.LongType()),
-        T.StructField("files", T.ArrayType(T.StringType())),
-        T.StructField("columns", T.ArrayType(T.StringType())),
-    ]
-)
+_MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("rows", T.LongType())])
 
 
 def read_packets_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -51,17 +44,20 @@ def write_packets_json(packets: DataFrame, path: str, rows_per_file: int = CHUNK
 
 
 def export_manifest(spark: SparkSession, data_path: str) -> DataFrame:
-    """Row count, files and columns of an export, as one row."""
-    per_file = (
+    """One row per file of an export with its row count."""
+    return (
         read_packets_json(spark, data_path)
         .groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("rows"))
     )
-    # one entry per file of at most CHUNK_ROWS rows, the manifest itself
-    return per_file.agg(
-        F.sum("n").alias("total_rows"),
+
+
+def export_summary(manifest: DataFrame) -> DataFrame:
+    """Rows, files, rows of the largest file and columns of an export."""
+    return manifest.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
         F.count("*").alias("num_files"),
-        F.array_sort(F.collect_list("file")).alias("files"),
+        F.max("rows").alias("largest"),
         F.lit([f.name for f in PACKETS.fields]).alias("columns"),
     )
 
@@ -72,7 +68,8 @@ def write_manifest(manifest: DataFrame, path: str) -> str:
 
 
 def read_by_manifest(spark: SparkSession, data_path: str, manifest_path: str) -> DataFrame:
-    files = spark.read.schema(_MANIFEST).json(manifest_path).select(F.explode("files")).collect()
+    # names only, the list Spark keeps of any scan
+    files = spark.read.schema(_MANIFEST).json(manifest_path).select("file").collect()
     if not files:
         raise FileNotFoundError(f"no files listed in the manifest at {manifest_path}")
     return read_packets_json(spark, *[f"{data_path}/{row[0]}" for row in files])
@@ -86,9 +83,8 @@ def convert(
     spark: SparkSession, packets_csv: str, labels_csv: str, out: str, max_rows: int | None = None,
     rows_per_file: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """CSV pair to labelled line JSON; returns the manifest."""
+    """CSV pair to labelled line JSON; returns the manifest that was written next to it."""
     merged = first_rows(load_and_merge(spark, packets_csv, labels_csv), max_rows)
     write_packets_json(merged, f"{out}/packets", rows_per_file)
-    manifest = export_manifest(spark, f"{out}/packets")
-    write_manifest(manifest, f"{out}/manifest")
-    return manifest
+    write_manifest(export_manifest(spark, f"{out}/packets"), f"{out}/manifest")
+    return spark.read.schema(_MANIFEST).json(f"{out}/manifest")

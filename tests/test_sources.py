@@ -26,15 +26,15 @@ def test_csv_pair(spark, csv_pair):
 
 def test_convert_with_row_cap(spark, csv_pair, tmp_path):
     out = str(tmp_path / "out")
-    manifest = files.convert(spark, *csv_pair, out, max_rows=2, rows_per_file=1).first()
-    assert manifest.total_rows == 2 and manifest.num_files == 2 and len(manifest["columns"]) == 15
+    summary = files.export_summary(files.convert(spark, *csv_pair, out, max_rows=2, rows_per_file=1)).first()
+    assert (summary.total_rows, summary.num_files, summary.largest, len(summary["columns"])) == (2, 2, 1, 15)
     back = files.read_by_manifest(spark, f"{out}/packets", f"{out}/manifest").orderBy("packet_index").collect()
     assert [(r.packet_index, r.label) for r in back] == [(0, 1), (1, 0)]
 
 
 def test_missing_manifest_list(spark, tmp_path):
     os.makedirs(tmp_path / "m")
-    (tmp_path / "m" / "part.json").write_text('{"total_rows": 0, "num_files": 0, "files": [], "columns": []}\n')
+    (tmp_path / "m" / "part.json").write_text("\n")
     with pytest.raises(FileNotFoundError):
         files.read_by_manifest(spark, str(tmp_path), str(tmp_path / "m"))
 
