@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import exact_dedup, simhash, substring
+from packetloom.llm import exact_dedup, licenses, secrets, simhash, substring
 from packetloom.llm.common import table
 from packetloom.store import Store
 
@@ -19,6 +19,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_units(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_license_scan"] = licenses.twin_sql()
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents"), Store(spark)))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, sf_dir, "documents"), Store(spark)).drop("_key")
