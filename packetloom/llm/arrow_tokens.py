@@ -22,12 +22,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import space_pieces
 from packetloom.store import Store
 
 LENGTH = 2048
 ROWS = 64
 END_ID = 0
-CACHED_PIECES = 200_000  # pieces whose ids a task remembers; it bounds memory and only saves work
+CACHED_PIECES = 400_000  # pieces whose ids a task remembers; it bounds memory and only saves work
 LONG_PIECE = 64  # longer ones are not remembered
 PENDING_BYTES = 2_000_000
 
@@ -124,8 +125,7 @@ class SequenceReader:
 class PieceEncoder:
     """Encodes texts with a tokenizer of the `tokenizers` library whose pre-tokeniser is byte-level with its usual pattern.
 
-    That pattern always cuts before a space that a non-space follows, so a text is cut there into
-    pieces whose ids do not depend on their neighbours. Pieces not seen lately go to the library together.
+    The ids of space_pieces do not depend on their neighbours. Pieces not seen lately go to the library together.
     """
 
     def __init__(self, vocabulary: str):
@@ -137,32 +137,29 @@ class PieceEncoder:
         self.dtype = np.uint32 if self.tokenizer.get_vocab_size() > 65536 else np.uint16
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = parts[:1]
-        for part in parts[1:]:
-            if part and not part[0].isspace():
-                out.append(" " + part)
-            else:  # white space goes on: no cut before it
-                out[-1] += " " + part
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [space_pieces(t or "") for t in texts]
         known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        new = {p for _, rest in cut for p in rest}
         if len(known) + len(new) > CACHED_PIECES:
-            known.clear()
-            new = list({p for pieces in cut for p in pieces})
-        for encoding, piece in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
+            met = new & known.keys()
+            self.known = known = {p: known[p] for p in met}
+        fresh = list(new - known.keys())
+        for piece, encoding in zip(fresh, self._library([" " + p for p in fresh])):
             known[piece] = np.array(encoding.ids, self.dtype).tobytes()
-        out = [np.frombuffer(b"".join([known[p] for p in pieces]), self.dtype) for pieces in cut]
-        for piece in new:
+        heads = self._library([first for first, _ in cut])
+        out = [
+            np.frombuffer(b"".join([np.array(head.ids, self.dtype).tobytes(), *map(known.__getitem__, rest)]), self.dtype)
+            for head, (_, rest) in zip(heads, cut)
+        ]
+        for piece in fresh:
             if len(piece) > LONG_PIECE:
                 del known[piece]
         return out
 
+    def _library(self, pieces: list[str]):
+        return self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+
 
 _INDEX = "doc_id long, file string, file_start long, n_tokens long"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +44,28 @@ def on_slices(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Ta
     return run
 
 
+_SPACE_GOES_ON = re.compile(r" (?:\s|\Z)")
+
+
+def space_pieces(text: str) -> tuple[str, list[str]]:
+    """The text cut before each space that a non-space follows: the first piece, and the others without that space.
+
+    The usual pattern of byte-level vocabularies always cuts there, so the tokens of a text are those of its pieces.
+    """
+    parts = text.split(" ")
+    if not _SPACE_GOES_ON.search(text):
+        return parts[0], parts[1:]
+    first, rest = parts[0], []
+    for part in parts[1:]:
+        if part and not part[0].isspace():
+            rest.append(part)
+        elif rest:  # white space goes on: no cut before it
+            rest[-1] += " " + part
+        else:
+            first += " " + part
+    return first, rest
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality in which two nulls agree."""
     return left.eqNullSafe(right)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import arrow_tokens, exact_dedup, licenses, secrets, simhash, substring
+from packetloom.llm import arrow_tokens, bpe_replay, exact_dedup, licenses, secrets, simhash, substring
 from packetloom.llm.common import table
 from packetloom.store import Store
 
@@ -73,3 +73,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), Store(spark)).drop("_key")
+
+
+@query
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    return bpe_replay.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
