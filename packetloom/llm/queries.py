@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import arrow_tokens, bpe_replay, exact_dedup, licenses, secrets, simhash, substring
+from packetloom.llm import arrow_tokens, bpe_replay, exact_dedup, langid, licenses, secrets, simhash, substring
 from packetloom.llm.common import table
 from packetloom.store import Store
 
@@ -65,6 +66,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_back(arrow_tokens.write_sequences(docs, Store(spark), vocabulary))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    filters = langid.fit(docs.where(~held_out), Store(spark))
+    return langid.identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), Store(spark))
