@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from packetloom.store import Store
 
 #: Text bytes that one task holds in unpacked form at a time. It bounds memory, not results.
 SLICE_BYTES = 2_000_000
+BASE = 0x9E3779B97F4A7C15  # odd, of the polynomial hash of byte spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,30 @@ def on_slices(column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Ta
     return run
 
 
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def up(base: int) -> np.ndarray:
+        steps = np.full(1 << bits, base & (2**64 - 1), np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+    return up(BASE), up(pow(BASE, -1, 2**64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+def span_hashes(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+    power, inverse = _powers(max(21, int(len(line)).bit_length()))
+    sums = np.zeros(len(line) + 1, np.uint64)
+    np.cumsum((line.astype(np.uint64) + np.uint64(1)) * power[: len(line)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
 _SPACE_GOES_ON = re.compile(r" (?:\s|\Z)")
 
 

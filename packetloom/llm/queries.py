@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import arrow_tokens, bpe_replay, exact_dedup, langid, licenses, secrets, simhash, substring
+from packetloom.llm import arrow_tokens, bpe_replay, decontaminate, exact_dedup, langid, licenses, secrets, simhash, substring
 from packetloom.llm.common import table
 from packetloom.store import Store
 
@@ -84,6 +84,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), Store(spark)).drop("_key")
 
 
+@query
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items, Store(spark)).drop("_key")
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

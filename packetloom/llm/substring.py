@@ -14,7 +14,6 @@ per distinct window, and an aggregate with map-side combining adds them up.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -22,41 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import on_slices, same, text_key
+from packetloom.llm.common import on_slices, same, span_hashes, text_key
 from packetloom.store import Store
 
 WINDOW = 35
 MMER = 8
 BUCKET_WINDOWS = 32_768
 RUN_WINDOWS = 1_024  # a longer super-k-mer (of a text that repeats itself) is cut; this bounds one string
-BASE = 0x9E3779B97F4A7C15
 FLUSH = 20_000
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def up(base: int) -> np.ndarray:
-        steps = np.full(1 << bits, base & (2**64 - 1), np.uint64)
-        steps[0] = 1
-        return np.cumprod(steps, dtype=np.uint64)
-
-    return up(BASE), up(pow(BASE, -1, 2**64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(33))
-
-
-def span_hashes(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    power, inverse = _powers(max(21, int(len(line)).bit_length()))
-    sums = np.zeros(len(line) + 1, np.uint64)
-    np.cumsum((line.astype(np.uint64) + np.uint64(1)) * power[: len(line)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * inverse[starts])
-
-
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     span, least = 1, keys
     while 2 * span <= width:
