@@ -26,7 +26,7 @@ from packetloom.store import Store
 
 WINDOW = 35
 MMER = 8
-BUCKET_WINDOWS = 32_768
+BUCKET_WINDOWS = 4_096
 RUN_WINDOWS = 1_024  # a longer super-k-mer (of a text that repeats itself) is cut; this bounds one string
 FLUSH = 20_000
 
