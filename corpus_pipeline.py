@@ -3,27 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import exact_dedup, simhash
+from packetloom.llm import bpe_replay, decontaminate, exact_dedup, langid, simhash
+from packetloom.llm.common import table
+from packetloom.llm.queries import tokenizer_path
 from packetloom.store import Store
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: what has no letter, and what no known language explains better than chance."""
+    filters = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), Store(spark))
+    return langid.keep_identified(docs, filters)
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: every copy but one of a text."""
     return exact_dedup.drop_copies(docs, Store(spark))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: every document but the first of a group of linked fingerprints."""
     return simhash.drop_near_copies(docs, Store(spark))
 
 
-STAGES = [("exact_dedup", copies), ("simhash_near_dedup", near_copies)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: what shares a template window with a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), Store(spark))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and decoded text, of all that is left."""
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    return bpe_replay.encode_documents(docs, path, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", copies),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("bpe_encoding", token_ids),
+]
 
-#: No SQL twin: SimHash components and byte-pair merges are not SQL; tests use a brute-force version.
+#: No SQL twin: language filters, fingerprint components and byte-pair merges are not SQL; a test has brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
     store = Store(spark)
     for name, stage in STAGES:
         docs = store.save(stage(spark, docs, sf_dir), name)
