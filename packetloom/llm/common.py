@@ -105,10 +105,11 @@ def text_key(text: str = "text") -> Column:
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of `docs` named by `kept` (doc_id, _key), once each where a row is repeated."""
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    rows = docs.withColumn("_key", text_key())
-    joined = rows.join(keys, same(rows["doc_id"], keys["_id"]) & (rows["_key"] == keys["_k"]))
-    return joined.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    keys = kept.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).distinct()
+    # whole rows travel in one column, so no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d"), text_key().alias("_t"))
+    joined = rows.join(keys, same(F.col("_d"), F.col("_i")) & (F.col("_t") == F.col("_k")))
+    return joined.dropDuplicates(["_d", "_t"]).select("_row.*")
 
 
 def components(links: DataFrame, store: Store) -> DataFrame:

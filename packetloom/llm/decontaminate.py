@@ -255,5 +255,5 @@ def leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
     """`docs` without the rows that share a window with an item, all columns as they were."""
     hit = store.save(leaks(docs, items, store).select("doc_id", "_key").distinct(), "leaking").toDF("_i", "_k")
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(hit, same(keyed["doc_id"], hit["_i"]) & (keyed["_key"] == hit["_k"]), "left_anti").drop("_key")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d"), text_key().alias("_t"))
+    return rows.join(hit, same(F.col("_d"), F.col("_i")) & (F.col("_t") == F.col("_k")), "left_anti").select("_row.*")
