@@ -2,9 +2,10 @@
 (how well connected) and the largest eigenvalue magnitude of the adjacency (how far one node reaches).
 
 Windows with at most ``node_cap`` nodes are solved densely, one window per group, so a group holds
-at most node_cap^2 matrix entries. Larger windows are iterated (Lanczos, power iteration), where one
-step for all of them is a join and a sum; every step is written to the shared folder, so lineage
-stays short.
+at most node_cap^2 matrix entries. Larger windows are iterated: nodes on no cycle are taken away first,
+then a power iteration gives the radius of what is left and a Lanczos recurrence the gap. One
+step for all windows is a join and a sum; every step is written to the shared folder, so lineage
+stays short. Iteration goes on until the residual of every window is within the tolerance.
 """
 
 from __future__ import annotations
@@ -20,6 +21,16 @@ from packetloom.store import Store
 SCHEMA = "window_id long, spectral_gap double, spectral_radius double"
 
 
+def _dense_radius(adj: np.ndarray) -> float:
+    """Only the part with cycles counts; eigenvalues of the rest are 0, but come out as noise."""
+    while len(adj):
+        keep = adj.any(axis=0) & adj.any(axis=1)
+        if keep.all():
+            return float(np.abs(np.linalg.eigvals(adj)).max())
+        adj = adj[np.ix_(keep, keep)]
+    return 0.0
+
+
 def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes = np.unique(pdf[["src_ip", "dst_ip"]].to_numpy().ravel())
     row = np.searchsorted(nodes, pdf["src_ip"].to_numpy())
@@ -33,7 +44,7 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "window_id": [int(pdf["window_id"].iloc[0])],
             "spectral_gap": [float(gaps[1]) if len(nodes) > 1 else 0.0],
-            "spectral_radius": [float(np.abs(np.linalg.eigvals(adj)).max())],
+            "spectral_radius": [_dense_radius(adj)],
         }
     )
 
@@ -60,17 +71,41 @@ def _step(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     )
 
 
-def _power(matrix: DataFrame, nodes: DataFrame, store: Store, steps: int) -> DataFrame:
-    """Rayleigh quotient per window after ``steps`` multiplications by a matrix with a full diagonal."""
+def _cyclic_core(adj: DataFrame, store: Store) -> DataFrame:
+    """Edges left when nodes without both in- and out-edges are taken away until there are none; a
+    window without a cycle has no edge left. Each round is two semi joins."""
+    edges = store.save(adj, "core")
+    left = edges.count()
+    while left:
+        heads = edges.select("window_id", F.col("dst_ip").alias("src_ip")).distinct()
+        tails = edges.select("window_id", F.col("src_ip").alias("dst_ip")).distinct()
+        edges = store.save(
+            edges.join(heads, ["window_id", "src_ip"], "left_semi").join(tails, ["window_id", "dst_ip"], "left_semi"), "core"
+        )
+        before, left = left, edges.count()
+        if left == before:
+            break
+    return edges
+
+
+def _power(matrix: DataFrame, nodes: DataFrame, store: Store, tolerance: float, max_steps: int) -> DataFrame:
+    """(window_id, lam, residual): growth of the norm under a non-negative matrix with a full diagonal, and how far
+    the vector is from an eigenvector, relative to lam. Ends when every window is within the tolerance."""
     vector = store.save(_normed(nodes.withColumn("v", _start_value())), "power")
-    for _ in range(steps):
-        vector = store.save(_normed(_step(matrix, vector)), "power")
-    moved = _step(matrix, vector).withColumnRenamed("v", "mv")
-    return (
-        vector.join(moved, ["window_id", "ip"])
-        .groupBy("window_id")
-        .agg(F.sum(F.col("v") * F.col("mv")).alias("lam"))
-    )
+    for step in range(1, max_steps + 1):
+        moved = store.save(_step(matrix, vector).withColumnRenamed("v", "mv"), "power")
+        if step % 10 == 0 or step == max_steps:
+            both = vector.join(moved, ["window_id", "ip"])
+            length = moved.groupBy("window_id").agg(F.sqrt(F.sum(F.col("mv") * F.col("mv"))).alias("lam"))
+            off = F.col("mv") / F.col("lam") - F.col("v")
+            found = both.join(length, "window_id").groupBy("window_id").agg(
+                F.first("lam").alias("lam"), F.sqrt(F.sum(off * off)).alias("residual")
+            )
+            found = store.save(found, "power_found")
+            if found.where(F.col("residual") > tolerance).isEmpty():
+                return found
+        vector = _normed(moved.withColumnRenamed("mv", "v"))
+    return found
 
 
 def _without(vector: DataFrame, against: DataFrame) -> DataFrame:
@@ -82,18 +117,24 @@ def _without(vector: DataFrame, against: DataFrame) -> DataFrame:
 
 def _tridiagonal_top(pdf: pd.DataFrame) -> pd.DataFrame:
     ordered = pdf.sort_values("i")  # one row per step
-    off = ordered["beta"].to_numpy()[:-1]
-    small = np.diag(ordered["alpha"].to_numpy()) + np.diag(off, 1) + np.diag(off, -1)
-    return pd.DataFrame({"window_id": [int(ordered["window_id"].iloc[0])], "lam": [float(np.linalg.eigvalsh(small).max())]})
+    beta = ordered["beta"].to_numpy()
+    small = np.diag(ordered["alpha"].to_numpy()) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1)
+    values, vectors = np.linalg.eigh(small)
+    # distance to the nearest eigenvalue is at most what the last step leaves over
+    residual = abs(beta[-1] * vectors[-1, -1])
+    return pd.DataFrame({"window_id": [int(ordered["window_id"].iloc[0])], "lam": [float(values[-1])], "residual": [float(residual)]})
 
 
-def _lanczos(matrix: DataFrame, nodes: DataFrame, against: DataFrame, store: Store, steps: int) -> DataFrame:
-    """Largest eigenvalue of a symmetric matrix, outside the direction ``against``: a three-term
-    recurrence per window leaves a small tridiagonal matrix with nearly the same ends of the spectrum."""
+def _lanczos(
+    matrix: DataFrame, nodes: DataFrame, against: DataFrame, store: Store, tolerance: float, max_steps: int
+) -> DataFrame:
+    """(window_id, lam, residual): largest eigenvalue of a symmetric matrix, outside the direction
+    ``against``. A three-term recurrence per window leaves a small tridiagonal matrix with the same top
+    eigenvalue up to the residual. Ends when every window is within the tolerance."""
     start = _normed(_without(nodes.withColumn("v", _start_value()), against))
     state = store.save(start.withColumns({"p": F.lit(0.0), "beta": F.lit(0.0)}), "lanczos")
     rows = None
-    for i in range(steps):
+    for i in range(max_steps):
         moved = _step(matrix, state.select("window_id", "ip", "v")).withColumnRenamed("v", "w")
         both = state.join(moved, ["window_id", "ip"])
         alpha = both.groupBy("window_id").agg(F.sum(F.col("v") * F.col("w")).alias("alpha"))
@@ -107,26 +148,39 @@ def _lanczos(matrix: DataFrame, nodes: DataFrame, against: DataFrame, store: Sto
         rest = _without(rest, against)
         beta = rest.groupBy("window_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("beta"))
         # a vanishing remainder ends the recurrence: zeros from there on
-        scaled = F.when(F.col("beta") > 1e-9, F.col("v") / F.col("beta")).otherwise(F.lit(0.0))
-        kept = F.when(F.col("beta") > 1e-9, F.col("beta")).otherwise(F.lit(0.0))
+        scaled = F.when(F.col("beta") > 1e-12, F.col("v") / F.col("beta")).otherwise(F.lit(0.0))
+        kept = F.when(F.col("beta") > 1e-12, F.col("beta")).otherwise(F.lit(0.0))
         state = rest.join(beta, "window_id").withColumns({"v": scaled, "beta": kept})
         state = store.save(state, "lanczos")
         step = state.groupBy("window_id").agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"))
         step = step.withColumn("i", F.lit(i))
         rows = step if rows is None else rows.unionByName(step)
         state = state.drop("alpha")
-    return rows.groupBy("window_id").applyInPandas(_tridiagonal_top, "window_id long, lam double")
+        if i % 10 == 9 or i == max_steps - 1:
+            rows = store.save(rows, "lanczos_steps")
+            found = store.save(
+                rows.groupBy("window_id").applyInPandas(_tridiagonal_top, "window_id long, lam double, residual double"), "lanczos_found"
+            )
+            if found.where(F.col("residual") > tolerance).isEmpty():
+                break
+    return found
 
 
-def _iterated(adj: DataFrame, flows: DataFrame, store: Store, steps: int) -> DataFrame:
+def _iterated(adj: DataFrame, flows: DataFrame, store: Store, tolerance: float, max_steps: int) -> DataFrame:
     nodes = store.save(node_set(flows, by_window=True), "power_nodes")
     one = nodes.select("window_id", F.col("ip").alias("row"), F.col("ip").alias("col"), F.lit(1.0).alias("value"))
+    core = _cyclic_core(adj, store)
+    core_nodes = core.select("window_id", F.col("src_ip").alias("ip")).distinct()
     # A + I has the eigenvalues of A moved by one; with the diagonal full the largest one is unique
-    shifted = adj.select(
+    shifted = core.select(
         "window_id", F.col("src_ip").alias("row"), F.col("dst_ip").alias("col"), F.col("weight").cast("double").alias("value")
-    ).unionByName(one)
+    ).unionByName(
+        core_nodes.select("window_id", F.col("ip").alias("row"), F.col("ip").alias("col"), F.lit(1.0).alias("value"))
+    )
     shifted = store.save(shifted.groupBy("window_id", "row", "col").agg(F.sum("value").alias("value")), "power_adj")
-    radius = _power(shifted, nodes, store, steps)
+    radius = _power(shifted, core_nodes, store, tolerance, max_steps)
+    within = F.col("residual") <= tolerance
+    radius = radius.select("window_id", F.when(within, F.col("lam") - 1).alias("radius"), F.col("residual").alias("r1"))
     # 2I - L turns the smallest eigenvalues of L into the largest; the null vector of L is sqrt(degree)
     lap = laplacian(flows, normalised=True)
     flipped = lap.select("window_id", "row", "col", (-F.col("value")).alias("value")).unionByName(
@@ -138,20 +192,28 @@ def _iterated(adj: DataFrame, flows: DataFrame, store: Store, steps: int) -> Dat
     degree = degree.unionByName(loops.withColumn("d", F.lit(1))).groupBy("window_id", "ip").agg(F.sum("d").alias("d"))
     null = _normed(degree.select("window_id", "ip", F.sqrt("d").alias("v"))).withColumnRenamed("v", "u")
     null = store.save(null, "power_null")
-    gap = _lanczos(flipped, nodes, null, store, steps)
-    return radius.select("window_id", (F.col("lam") - 1).alias("spectral_radius")).join(
-        gap.select("window_id", (2 - F.col("lam")).alias("spectral_gap")), "window_id"
-    ).select("window_id", "spectral_gap", "spectral_radius")
+    gap = _lanczos(flipped, nodes, null, store, tolerance, max_steps)
+    gap = gap.select("window_id", F.when(within, 2 - F.col("lam")).alias("spectral_gap"), F.col("residual").alias("r2"))
+    # a window that lost all its edges has no cycle, and so radius 0
+    return gap.join(radius, "window_id", "left").select(
+        "window_id",
+        "spectral_gap",
+        F.when(F.col("r1").isNull(), F.lit(0.0)).otherwise(F.col("radius")).alias("spectral_radius"),
+        F.greatest(F.coalesce("r1", F.lit(0.0)), "r2").alias("residual"),
+    )
 
 
 def spectral_measures(
-    flows: DataFrame, store: Store, node_cap: int = 1000, steps: int = 30
+    flows: DataFrame, store: Store, node_cap: int = 1000, tolerance: float = 1e-8, max_steps: int = 300
 ) -> DataFrame:
-    """(window_id, spectral_gap, spectral_radius). The iterated values are close, not exact."""
+    """(window_id, spectral_gap, spectral_radius, residual).
+
+    ``node_cap`` picks the way of computing, not the result: iterated values agree with dense ones to the
+    tolerance. A value whose residual is above it after ``max_steps`` is null, and the residual says by how much."""
     sizes = node_set(flows, by_window=True).groupBy("window_id").agg(F.count("*").alias("_n"))
     adj = adjacency(flows)
     small = adj.join(sizes.where(F.col("_n") <= node_cap).select("window_id"), "window_id")
-    dense = small.groupBy("window_id").applyInPandas(_dense, SCHEMA)
+    dense = small.groupBy("window_id").applyInPandas(_dense, SCHEMA).withColumn("residual", F.lit(0.0))
     large = store.save(sizes.where(F.col("_n") > node_cap).select("window_id"), "large_windows")
     if large.isEmpty():
         return dense
@@ -159,7 +221,7 @@ def spectral_measures(
         flows.join(large, "window_id").select("window_id", "src_ip", "dst_ip", "label", "total_bytes", "packet_count"),
         "large_flows",
     )
-    return dense.unionByName(_iterated(adjacency(rest), rest, store, steps))
+    return dense.unionByName(_iterated(adjacency(rest), rest, store, tolerance, max_steps))
 
 
 def spectral_extremes(spectra: DataFrame, top_k: int = 5) -> DataFrame:

@@ -251,16 +251,61 @@ def _(t):
     return g.compare_structure(t.flows, 3, 40).withColumns({c: F.round(c, 6) for c in ("start_a", "start_b")})
 
 
-@query("spectral_measures")
+def _largest_eigenvalue_sql(name: str, matrix: str, squarings: int = 30) -> str:
+    """Largest eigenvalue magnitude per window: norm of a power, by repeated squaring with the scale kept as a logarithm."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT window_id, row, col, value, 0.0::DOUBLE AS scale FROM ({matrix}) WHERE value <> 0)"]
+    for i in range(squarings):
+        steps.append(
+            f"""{name}_{i + 1} AS MATERIALIZED (
+  SELECT window_id, row, col, value / top AS value, 2 * scale + ln(top) AS scale
+  FROM (SELECT *, max(abs(value)) OVER (PARTITION BY window_id) AS top FROM (
+    SELECT a.window_id, a.row, b.col, sum(a.value * b.value) AS value, any_value(a.scale) AS scale
+    FROM {name}_{i} a JOIN {name}_{i} b ON a.window_id = b.window_id AND a.col = b.row GROUP BY a.window_id, a.row, b.col))
+  WHERE value <> 0)"""
+        )
+    steps.append(f"{name} AS (SELECT window_id, exp(any_value(scale) / {2**squarings}) AS lam FROM {name}_{squarings} GROUP BY window_id)")
+    return ", ".join(steps)
+
+
+_WINDOWS = "ids AS (SELECT DISTINCT window_id FROM flows)"
+_RADIUS = _largest_eigenvalue_sql(
+    "radius", "SELECT window_id, src_ip AS row, dst_ip AS col, count(*)::DOUBLE AS value FROM flows GROUP BY ALL"
+)
+# I + S - 2uu' has, beside 0 for the known vector u of eigenvalue 0 of the Laplacian, the values 2 - lambda
+_GAP = _largest_eigenvalue_sql(
+    "gap",
+    """SELECT a.window_id, a.row, b.row AS col,
+              (CASE WHEN a.row = b.row THEN 1 ELSE 0 END) + (CASE WHEN s.row IS NULL THEN 0 ELSE 1 / sqrt(a.d * b.d) END)
+              - 2 * sqrt(a.d * b.d) / (SELECT sum(d) FROM deg c WHERE c.window_id = a.window_id) AS value
+       FROM deg a JOIN deg b ON a.window_id = b.window_id
+       LEFT JOIN sym s ON s.window_id = a.window_id AND s.row = a.row AND s.col = b.row""",
+)
+_SPECTRA = f"""{_SYM}, {_WINDOWS}, {_RADIUS}, {_GAP}, spectra AS (
+  SELECT window_id, round(coalesce(2 - gap.lam, 0), 4) + 0.0::DOUBLE AS spectral_gap, round(coalesce(radius.lam, 0), 4) AS spectral_radius
+  FROM ids LEFT JOIN radius USING (window_id) LEFT JOIN gap USING (window_id))"""
+
+
+def _spectra(t):
+    out = spectral_measures(t.flows, t.store)
+    return out.select("window_id", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("spectral_gap", "spectral_radius")))
+
+
+@query("spectral_measures", sql("flows", "SELECT window_id, spectral_gap, spectral_radius FROM spectra", _SPECTRA))
 def _(t):
-    return spectral_measures(t.flows, t.store).select("window_id", *rounded("spectral_gap", "spectral_radius"))
+    return _spectra(t)
 
 
-@query("spectral_extremes")
+@query(
+    "spectral_extremes",
+    sql(
+        "flows",
+        """SELECT * FROM (SELECT 'fragmented' AS kind, * FROM spectra ORDER BY spectral_gap, window_id LIMIT 5)
+           UNION ALL SELECT * FROM (SELECT 'amplified' AS kind, * FROM spectra ORDER BY spectral_radius DESC, window_id LIMIT 5)""",
+        _SPECTRA,
+    ),
+)
 def _(t):
-    return spectral_extremes(spectral_measures(t.flows, t.store)).select(
-        "kind", "window_id", *rounded("spectral_gap", "spectral_radius")
-    )
+    return spectral_extremes(_spectra(t)).select("kind", "window_id", "spectral_gap", "spectral_radius")
 
 
 @query(

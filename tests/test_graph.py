@@ -128,10 +128,29 @@ def test_spectral_measures_dense(make_flows, store):
         assert r.spectral_gap == pytest.approx(gap, abs=1e-9) and r.spectral_radius == pytest.approx(radius, rel=1e-9)
 
 
-def test_spectral_measures_iterated(make_flows, store):
-    """The way for windows above the node cap."""
-    flows = make_flows(random_edges(4, 30, 5, 1))
-    p = flows.toPandas()
-    for r in spectral_measures(flows, store, node_cap=0, steps=5).collect():
-        gap, radius = numpy_spectrum(p[p.window_id == r.window_id])
-        assert r.spectral_gap == pytest.approx(gap, abs=1e-6) and r.spectral_radius == pytest.approx(radius, rel=1e-2)
+SHAPES = {
+    "random": random_edges(4, 30, 5, 1),
+    "chain of 41 nodes": [(0, i, i + 1) for i in range(40)],
+    "star": [(0, 0, i) for i in range(1, 9)],
+    "two-cycle with a tail": [(0, 0, 1), (0, 1, 0), (0, 1, 0), (0, 1, 2), (0, 2, 3)],
+    "ring and a parallel window": [(0, i, (i + 1) % 7) for i in range(7)] + [(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 0)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_spectral_measures_iterated_like_dense(make_flows, store, shape):
+    flows = make_flows(SHAPES[shape])
+    dense = {r.window_id: r for r in spectral_measures(flows, store).collect()}
+    iterated = {r.window_id: r for r in spectral_measures(flows, store, node_cap=0).collect()}
+    assert dense.keys() == iterated.keys()
+    for window, r in iterated.items():
+        assert r.residual <= 1e-8
+        assert r.spectral_gap == pytest.approx(dense[window].spectral_gap, abs=1e-6)
+        assert r.spectral_radius == pytest.approx(dense[window].spectral_radius, abs=1e-6)
+        if shape in ("chain of 41 nodes", "star"):
+            assert r.spectral_radius == 0.0 == dense[window].spectral_radius
+
+
+def test_spectral_values_that_do_not_converge_are_null(make_flows, store):
+    row = spectral_measures(make_flows(SHAPES["random"]), store, node_cap=0, max_steps=1).first()
+    assert row.residual > 1e-8 and row.spectral_radius is None
