@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Rules of advice: words in the name of a feature, and what to do about it.
+ADVICE = [
+    (("packet", "count"), "find out who sends this many packets and cap their rate"),
+    (("byte", "payload"), "look into the payloads for data leaving or answers blown up"),
+    (("iat", "time", "interval"), "compare the rhythm with that of scripted senders"),
+]
+OTHER_ADVICE = "keep watching this value"
+NO_ADVICE = "nothing to do but keep watching"
+MAIN_IMPACT = 0.7  # fixed value: share of the largest change above which a change counts as a main one
+
+
 def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(c, digits))
 
@@ -15,33 +26,18 @@ def narrative() -> Column:
     lines = F.transform(
         "feature_diffs",
         lambda d: F.concat(
-            F.lit("  - "),
-            d["feature"],
-            F.lit(": "),
-            fixed(d["original_value"], 2),
-            F.lit(" -> "),
-            fixed(d["cf_value"], 2),
-            F.lit(" ("),
-            d["direction"],
-            F.lit(", "),
-            fixed(d["pct_change"], 1),
-            F.lit("% change)"),
+            F.lit("* "), d["feature"], F.lit(" is "), fixed(d["original_value"], 2), F.lit(" here and "),
+            fixed(d["cf_value"], 2), F.lit(" there: "), d["direction"], F.lit(" by "), fixed(d["pct_change"], 1), F.lit("%"),
         ),
     )
     head = F.array(
-        F.concat(F.lit("Flow "), "flow_id", F.lit(" was classified as "), F.coalesce("prediction", F.lit("malicious")), F.lit(".")),
+        F.concat("flow_id", F.lit(": "), F.coalesce("prediction", F.lit("malicious"))),
         F.concat(
-            F.lit("The nearest normal flow is "),
-            F.col("nearest_normal_id"),
-            F.lit(" (similarity: "),
+            F.lit("compared with "), F.col("nearest_normal_id"), F.lit(", cosine "),
             fixed(F.coalesce("similarity_score", F.lit(0.0)), 4),
-            F.lit(")."),
         ),
-        F.lit(""),
-        F.lit("To change the classification to normal, the following features would need to change:"),
-        F.lit(""),
     )
-    return F.when(F.size("feature_diffs") == 0, F.lit("No feature differences found.")).otherwise(
+    return F.when(F.size("feature_diffs") == 0, F.lit("Both flows have the same features.")).otherwise(
         F.array_join(F.concat(head, lines), "\n")
     )
 
@@ -91,63 +87,24 @@ def _by_impact(column: str) -> Column:
 
 def insights(column: str = "changes") -> Column:
     """The four strongest changes in words."""
-    none = F.array(
-        F.lit("No significant feature differences were detected between the anomalous and normal flows.")
-    )
     text = F.transform(
         F.slice(_by_impact(column), 1, 4),
         lambda c: F.concat(
-            F.lit("**"), c["parameter"], F.lit("** changed from "), c["original"], F.lit(" → "), c["modified"],
-            F.lit(" ("), F.round(c["impact"] * 100).cast("int").cast("string"), F.lit("% impact). "),
-            F.when(c["impact"] > 0.7, "This is a primary driver of the anomaly classification.").otherwise(
-                "This contributes to the deviation from normal traffic."
-            ),
+            F.when(c["impact"] > MAIN_IMPACT, "main: ").otherwise("side: "), c["parameter"], F.lit(" from "), c["original"],
+            F.lit(" to "), c["modified"], F.lit(", weight "), F.round(c["impact"] * 100).cast("int").cast("string"), F.lit(" of 100"),
         ),
     )
-    return F.when(F.size(column) == 0, none).otherwise(text)
+    return F.when(F.size(column) == 0, F.array(F.lit("nothing differs"))).otherwise(text)
 
 
 def recommendations(column: str = "changes") -> Column:
-    """What to look at for the five strongest changes, by the name of the feature."""
-    none = F.array(F.lit("Continue monitoring for anomalous traffic patterns."))
+    """What to look at for the five strongest changes: the first rule with a word that the feature's name contains."""
 
     def advice(c: Column) -> Column:
-        name = F.lower(c["parameter"])
-
-        def has(*words: str) -> Column:
-            test = name.contains(words[0])
-            for w in words[1:]:
-                test = test | name.contains(w)
-            return test
-
-        return (
-            F.when(
-                has("packet", "count"),
-                F.concat(
-                    F.lit("Investigate abnormal packet volume for "), c["parameter"], F.lit(" ("), c["original"],
-                    F.lit(" → expected "), c["modified"], F.lit("). Consider rate limiting."),
-                ),
-            )
-            .when(
-                has("byte", "payload"),
-                F.concat(
-                    F.lit("Examine payload sizes: "), c["parameter"], F.lit(" shows "), c["original"],
-                    F.lit(" vs normal "), c["modified"], F.lit(". May indicate data exfiltration or amplification."),
-                ),
-            )
-            .when(
-                has("iat", "time", "interval"),
-                F.concat(
-                    F.lit("Review timing patterns: "), c["parameter"], F.lit(" ("), c["original"], F.lit(" vs "),
-                    c["modified"], F.lit("). Unusual intervals may indicate automated activity."),
-                ),
-            )
-            .otherwise(
-                F.concat(
-                    F.lit("Monitor "), c["parameter"], F.lit(": current value "), c["original"],
-                    F.lit(" deviates significantly from normal baseline "), c["modified"], F.lit("."),
-                )
-            )
-        )
+        name, chosen = F.lower(c["parameter"]), F.lit(OTHER_ADVICE)
+        for words, text in reversed(ADVICE):
+            chosen = F.when(F.rlike(name, F.lit("|".join(words))), F.lit(text)).otherwise(chosen)
+        return F.concat(c["parameter"], F.lit(" ("), c["original"], F.lit(", usual "), c["modified"], F.lit("): "), chosen)
 
+    none = F.array(F.lit(NO_ADVICE))
     return F.when(F.size(column) == 0, none).otherwise(F.transform(F.slice(_by_impact(column), 1, 5), advice))

@@ -218,24 +218,25 @@ def _(t):
 # --- incidents ------------------------------------------------------------------------------
 
 _INCIDENTS = """incidents AS (
-  SELECT flow_id AS id, 'Anomalous Flow: ' || src_ip || ' → ' || dst_ip AS title, severity_level AS severity, 'investigating' AS status,
-         src_ip || ',' || dst_ip AS systems,
-         'Detected anomalous traffic — ' || packet_count || ' packets, ' || total_bytes || ' bytes. Score: '
-           || round_even(severity_score * 100, 0)::INT || '%.' AS description, severity_score AS anomaly_score
+  SELECT flow_id AS id, src_ip || ' → ' || dst_ip AS title, severity_level AS severity, 'investigating' AS status,
+         round(window_start, 6) AS timestamp, src_ip || ',' || dst_ip AS systems,
+         packet_count || ' packets with ' || total_bytes || ' bytes, scored ' || round_even(severity_score * 100, 0)::INT || ' of 100' AS description,
+         severity_score AS anomaly_score
   FROM severe WHERE label = 1)"""
 
 
 @query("incidents", sql("severe", "SELECT * FROM incidents", _INCIDENTS))
 def _(t):
-    return inc.incidents(t.flows).withColumn("systems", F.array_join("affected_systems", ",")).drop("affected_systems")
+    out = inc.incidents(t.flows).withColumn("systems", F.array_join("affected_systems", ",")).drop("affected_systems")
+    return out.withColumn("timestamp", F.round("timestamp", 6))
 
 
 @query(
     "incident_text_filter",
-    sql("severe", "SELECT id, title FROM incidents WHERE contains(lower(title), lower('FLOW: 10.0.0.3')) OR contains(lower(id), lower('FLOW: 10.0.0.3'))", _INCIDENTS),
+    sql("severe", "SELECT id, title FROM incidents WHERE contains(lower(title), lower('→ 10.0.0.3')) OR contains(lower(id), lower('→ 10.0.0.3'))", _INCIDENTS),
 )
 def _(t):
-    return inc.search_incidents(inc.incidents(t.flows), "FLOW: 10.0.0.3").select("id", "title")
+    return inc.search_incidents(inc.incidents(t.flows), "→ 10.0.0.3").select("id", "title")
 
 
 @query(
@@ -247,15 +248,15 @@ def _(t):
     return inc.incident_kpis(inc.incidents(t.flows)).select("incidents", "critical", "active", *rounded("mean_score"))
 
 
-_LOG = """'Flow ' || src_ip || ' → ' || dst_ip || ': ' || packet_count || ' pkts, ' || total_bytes || ' bytes' || CASE WHEN label = 1 THEN ' [ANOMALOUS]' ELSE '' END"""
+_LOG = """CASE WHEN label = 1 THEN 'malicious: ' ELSE '' END || packet_count || ' packets, ' || total_bytes || ' bytes from ' || src_ip || ' to ' || dst_ip"""
 
 
 @query(
     "log_lines",
-    sql("flows", f"SELECT flow_id, src_ip AS source, {_LOG} AS message, CASE WHEN label = 1 THEN 'CRITICAL' ELSE 'INFO' END AS level FROM flows"),
+    sql("flows", f"SELECT flow_id, round(window_start, 6) AS timestamp, src_ip AS source, {_LOG} AS message, CASE WHEN label = 1 THEN 'CRITICAL' ELSE 'INFO' END AS level FROM flows"),
 )
 def _(t):
-    return inc.log_lines(t.flows)
+    return inc.log_lines(t.flows).withColumn("timestamp", F.round("timestamp", 6))
 
 
 def worst_flow(flows):

@@ -162,8 +162,7 @@ _CARDS = """cards AS (
 
 @query(
     "explanation_insights",
-    sql("cfs", """SELECT flow_id, string_agg('**' || feature || '** changed from ' || original || ' → ' || modified || ' (' || round(impact * 100)::INT || '% impact). ' ||
-            CASE WHEN impact > 0.7 THEN 'This is a primary driver of the anomaly classification.' ELSE 'This contributes to the deviation from normal traffic.' END,
+    sql("cfs", """SELECT flow_id, string_agg(CASE WHEN impact > 0.7 THEN 'main: ' ELSE 'side: ' END || feature || ' from ' || original || ' to ' || modified || ', weight ' || round(impact * 100)::INT || ' of 100',
             chr(10) ORDER BY place) AS insights FROM cards WHERE place <= 4 GROUP BY flow_id""", _CARDS),
 )
 def _(t):
@@ -173,10 +172,11 @@ def _(t):
 
 @query(
     "explanation_recommendations",
-    sql("cfs", """SELECT flow_id, string_agg(CASE
-            WHEN contains(feature, 'packet') OR contains(feature, 'count') THEN 'Investigate abnormal packet volume for ' || feature || ' (' || original || ' → expected ' || modified || '). Consider rate limiting.'
-            WHEN contains(feature, 'byte') OR contains(feature, 'payload') THEN 'Examine payload sizes: ' || feature || ' shows ' || original || ' vs normal ' || modified || '. May indicate data exfiltration or amplification.'
-            ELSE 'Review timing patterns: ' || feature || ' (' || original || ' vs ' || modified || '). Unusual intervals may indicate automated activity.' END,
+    sql("cfs", """SELECT flow_id, string_agg(feature || ' (' || original || ', usual ' || modified || '): ' || CASE
+            WHEN contains(feature, 'packet') OR contains(feature, 'count') THEN 'find out who sends this many packets and cap their rate'
+            WHEN contains(feature, 'byte') OR contains(feature, 'payload') THEN 'look into the payloads for data leaving or answers blown up'
+            WHEN contains(feature, 'iat') THEN 'compare the rhythm with that of scripted senders'
+            ELSE 'keep watching this value' END,
             chr(10) ORDER BY place) AS recommendations FROM cards WHERE place <= 5 GROUP BY flow_id""", _CARDS),
 )
 def _(t):

@@ -108,14 +108,13 @@ diffs AS (
         FROM (%s))),
 lines AS (
   SELECT flow_id, nearest_normal_id, any_value(similarity) AS similarity,
-         string_agg('  - ' || feature || ': ' || printf('%%.2f', round(original_value, 2)) || ' -> ' || printf('%%.2f', round(cf_value, 2)) || ' (' ||
-                    direction || ', ' || printf('%%.1f', round(pct_change, 1)) || '%% change)', chr(10) ORDER BY position) AS body
+         string_agg('* ' || feature || ' is ' || printf('%%.2f', round(original_value, 2)) || ' here and ' || printf('%%.2f', round(cf_value, 2)) || ' there: ' ||
+                    direction || ' by ' || printf('%%.1f', round(pct_change, 1)) || '%%', chr(10) ORDER BY position) AS body
   FROM diffs GROUP BY flow_id, nearest_normal_id),
 cfs AS (
   SELECT substr(sha256(flow_id || ':' || nearest_normal_id), 1, 16) AS cf_id, flow_id, nearest_normal_id, similarity AS similarity_score,
-         'Flow ' || flow_id || ' was classified as malicious.' || chr(10) || 'The nearest normal flow is ' || nearest_normal_id || ' (similarity: ' ||
-         printf('%%.4f', round(similarity, 4)) || ').' || chr(10) || chr(10) ||
-         'To change the classification to normal, the following features would need to change:' || chr(10) || chr(10) || body AS explanation_text
+         flow_id || ': malicious' || chr(10) || 'compared with ' || nearest_normal_id || ', cosine ' ||
+         printf('%%.4f', round(similarity, 4)) || chr(10) || body AS explanation_text
   FROM lines)""" % " UNION ALL ".join(
     f"SELECT n.flow_id, n.nearest_normal_id, n.similarity, {i} AS pos, '{f}' AS feature, a.{f}::DOUBLE AS original_value, b.{f}::DOUBLE AS cf_value "
     "FROM nearest_normal n JOIN flows a ON n.flow_id = a.flow_id JOIN flows b ON n.nearest_normal_id = b.flow_id"

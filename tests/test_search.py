@@ -69,8 +69,8 @@ def test_unknown_incident_shows_all_malicious_flows(flows):
 
 def test_incident_form(flows):
     row = inc.incident(flows, "f19").first()
-    assert row.title == "Anomalous Flow: b → c" and row.severity == "critical"
-    assert row.description == "Detected anomalous traffic — 190 packets, 9500 bytes. Score: 95%."
+    assert row.title == "b → c" and row.severity == "critical"
+    assert row.description == "190 packets with 9500 bytes, scored 95 of 100"
     assert row.affected_systems == ["b", "c"]
 
 
