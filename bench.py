@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from packetloom.plans import catalog
@@ -55,7 +56,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"))
     spark.range(1).count()  # session start is not part of any query
     derived = tables(spark, sf_dir)
     times = {

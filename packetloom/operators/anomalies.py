@@ -32,7 +32,7 @@ def count_cutoff(flows: DataFrame) -> Column:
 
 
 def detect_anomalies(
-    flows: DataFrame, method: str = "label", threshold: float = 0.5, size: int = 50
+    flows: DataFrame, method: str = "label", threshold: float = 0.5, size: int | None = 50
 ) -> DataFrame:
     if method == "score":
         return search_anomalous_flows(flows, threshold, size)

@@ -121,6 +121,10 @@ def _first_window(summaries: DataFrame, sign: int) -> Column:
     return F.min_by("window_id", order)
 
 
+def recent_windows(summaries: DataFrame, size: int) -> DataFrame:
+    return summaries.orderBy(F.col("window_id").desc()).limit(size)
+
+
 def extreme_window(summaries: DataFrame, kind: str = "anomalous") -> DataFrame:
     """Window with the highest (lowest) malicious share, the first on ties."""
     ratio = F.col("malicious_ratio")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.cleaning import sanitise_features
 from packetloom.functions.vectors import weighted_sum
 from packetloom.operators.graph import graph_summaries, node_features, normalised_edges
-from packetloom.operators.stats import classification_metrics, normalise, positive_weight
+from packetloom.operators.stats import NormStats, classification_metrics, normalisation_stats, normalise, positive_weight
 from packetloom.operators.windows import sequence_position, stratified_split, window_sequences
 from packetloom.schemas import FEATURES, NODE_FEATURES
 from packetloom.store import Store
@@ -51,15 +51,38 @@ class EdgeModel:
         return cls(node, layers)
 
 
+@dataclass(frozen=True)
+class Scaling:
+    """What a job fits once and carries into scoring, so that a score does not depend on which other
+    windows are scored with it: feature scales, and the number of the first window."""
+
+    edges: NormStats
+    nodes: NormStats
+    first_window: int
+
+    @classmethod
+    def fit(cls, flows: DataFrame) -> "Scaling":
+        clean = sanitise_features(flows, FEATURES)
+        first = flows.agg(F.min("window_id")).first()[0]
+        return cls(normalisation_stats(clean, FEATURES), normalisation_stats(node_features(clean), NODE_FEATURES), first or 0)
+
+    def positions(self, windows: DataFrame, seq_len: int) -> DataFrame:
+        """Windows before and with each one, empty ones included (at most ``seq_len``)."""
+        place = F.col("window_id") - F.lit(self.first_window) + 1
+        return windows.select("window_id", F.greatest(F.least(place, F.lit(seq_len)), F.lit(1)).cast("int").alias("position"))
+
+
 def _h(i: int, side: str = "") -> str:
     return f"h{i}{side}"
 
 
-def graph_convolution(flows: DataFrame, model: EdgeModel) -> DataFrame:
+def graph_convolution(flows: DataFrame, model: EdgeModel, scaling: Scaling | None = None) -> DataFrame:
     """h(dst) = sum over edges of norm * (x(src) W), before the ReLU, per (window, ip)."""
-    nodes = normalise(node_features(flows).select("window_id", "ip", *NODE_FEATURES), NODE_FEATURES)
+    fitted = scaling.nodes if scaling else None
+    nodes = normalise(node_features(flows).select("window_id", "ip", *NODE_FEATURES), NODE_FEATURES, fitted)
     seq_len = len(model.node_weights)
-    placed = nodes.join(sequence_position(flows.select("window_id").distinct(), seq_len), "window_id")
+    windows = flows.select("window_id").distinct()
+    placed = nodes.join(scaling.positions(windows, seq_len) if scaling else sequence_position(windows, seq_len), "window_id")
     x = [F.col(f) for f in NODE_FEATURES]
     projected = {}
     for j in range(model.hidden):
@@ -77,24 +100,24 @@ def graph_convolution(flows: DataFrame, model: EdgeModel) -> DataFrame:
     )
 
 
-def edge_inputs(flows: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+def edge_inputs(flows: DataFrame, nodes: DataFrame, columns: list[str], fitted: NormStats | None = None) -> DataFrame:
     """Each edge with the columns of its source, of its target, and its own normalised features."""
     src = nodes.select("window_id", F.col("ip").alias("src_ip"), *[F.col(c).alias(f"{c}_src") for c in columns])
     dst = nodes.select("window_id", F.col("ip").alias("dst_ip"), *[F.col(c).alias(f"{c}_dst") for c in columns])
-    edges = normalise(flows, FEATURES)
+    edges = normalise(flows, FEATURES, fitted)
     return edges.join(src, ["window_id", "src_ip"]).join(dst, ["window_id", "dst_ip"])
 
 
-def edge_embeddings(flows: DataFrame, model: EdgeModel) -> DataFrame:
+def edge_embeddings(flows: DataFrame, model: EdgeModel, scaling: Scaling | None = None) -> DataFrame:
     """[h_src, h_dst, edge features] per flow, the input of the classifier."""
     hidden = [_h(j) for j in range(model.hidden)]
-    active = graph_convolution(flows, model).withColumns({h: F.greatest(F.col(h), F.lit(0.0)) for h in hidden})
-    return edge_inputs(sanitise_features(flows, FEATURES), active, hidden)
+    active = graph_convolution(flows, model, scaling).withColumns({h: F.greatest(F.col(h), F.lit(0.0)) for h in hidden})
+    return edge_inputs(sanitise_features(flows, FEATURES), active, hidden, scaling.edges if scaling else None)
 
 
-def score_edges(flows: DataFrame, model: EdgeModel) -> DataFrame:
-    """(flow_id, window_id, prediction_score, prediction)."""
-    wide = edge_embeddings(flows, model)
+def score_edges(flows: DataFrame, model: EdgeModel, scaling: Scaling | None = None) -> DataFrame:
+    """(flow_id, window_id, prediction_score, prediction). Without a scaling it is fitted on ``flows`` themselves."""
+    wide = edge_embeddings(flows, model, scaling)
     values: list[Column] = [
         *[F.col(f"{_h(j)}_src") for j in range(model.hidden)],
         *[F.col(f"{_h(j)}_dst") for j in range(model.hidden)],

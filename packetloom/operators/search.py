@@ -15,6 +15,11 @@ from packetloom.functions.severity import with_severity
 
 Clause = tuple[str, str, object]
 
+
+def first(ordered: DataFrame, size: int | None) -> DataFrame:
+    """The first ``size`` rows; all of them without a size."""
+    return ordered if size is None else ordered.limit(size)
+
 OPERATORS = {
     "==": lambda c, v: c == F.lit(v),
     ">=": lambda c, v: c >= F.lit(v),
@@ -60,13 +65,13 @@ def flow_clauses(
 
 
 def search_flows(
-    flows: DataFrame, clauses: list[Clause] | None = None, size: int = 20, sort: list | None = None
+    flows: DataFrame, clauses: list[Clause] | None = None, size: int | None = 20, sort: list | None = None
 ) -> DataFrame:
-    """Top ``size`` matches. The flow id settles the order, so results repeat."""
-    return where_all(flows, clauses).orderBy(*(sort or []), "flow_id").limit(size)
+    """Top ``size`` matches, or all. The flow id settles the order, so results repeat."""
+    return first(where_all(flows, clauses).orderBy(*(sort or []), "flow_id"), size)
 
 
-def search_anomalous_flows(flows: DataFrame, min_score: float = 0.5, size: int = 50) -> DataFrame:
+def search_anomalous_flows(flows: DataFrame, min_score: float = 0.5, size: int | None = 50) -> DataFrame:
     clauses: list[Clause] = [("prediction", "==", 1), ("prediction_score", ">=", min_score)]
     return search_flows(flows, clauses, size, [F.col("prediction_score").desc()])
 
@@ -79,16 +84,16 @@ def top_flows_per_window(flows: DataFrame, min_score: float = 0.7, size: int = 5
 
 
 def search_by_severity(
-    flows: DataFrame, severity: str | None = None, size: int = 20, clauses: list[Clause] | None = None
+    flows: DataFrame, severity: str | None = None, size: int | None = 20, clauses: list[Clause] | None = None
 ) -> DataFrame:
     base = with_severity(where_all(flows, clauses))
     if severity:
         base = base.where(F.col("severity_level") == severity)
-    return base.orderBy(F.col("severity_score").desc(), "flow_id").limit(size)
+    return first(base.orderBy(F.col("severity_score").desc(), "flow_id"), size)
 
 
-def search_packets(packets: DataFrame, clauses: list[Clause] | None = None, size: int = 20) -> DataFrame:
-    return where_all(packets, clauses).orderBy("timestamp", "packet_index").limit(size)
+def search_packets(packets: DataFrame, clauses: list[Clause] | None = None, size: int | None = 20) -> DataFrame:
+    return first(where_all(packets, clauses).orderBy("timestamp", "packet_index"), size)
 
 
 def page(

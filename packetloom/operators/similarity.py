@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.identity import counterfactual_id
 from packetloom.functions.narrative import narrative
 from packetloom.functions.vectors import dot, l2_normalise, weighted_sum
-from packetloom.operators.stats import normalise
+from packetloom.operators.stats import NormStats, normalise
 from packetloom.schemas import FEATURES
 from packetloom.store import Store
 
@@ -44,9 +44,9 @@ def projection(n_features: int = len(FEATURES), dim: int = EMBEDDING_DIM) -> np.
     return matrix / np.linalg.norm(matrix, axis=0, keepdims=True)
 
 
-def feature_embeddings(flows: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
+def feature_embeddings(flows: DataFrame, dim: int = EMBEDDING_DIM, fitted: NormStats | None = None) -> DataFrame:
     """z-scored features, projected and scaled to unit length."""
-    scaled = normalise(flows.select("flow_id", "label", *FEATURES), FEATURES)
+    scaled = normalise(flows.select("flow_id", "label", *FEATURES), FEATURES, fitted)
     columns = [F.col(f) for f in FEATURES]
     raw = [weighted_sum(columns, list(w)) for w in projection(len(FEATURES), dim).T]
     out = scaled.select("flow_id", "label", F.array(*raw).alias("_raw"))

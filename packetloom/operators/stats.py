@@ -106,7 +106,7 @@ def percentiles(
 
 
 def significant_terms(
-    flows: DataFrame, field: str, foreground_label: int = 1, size: int = 20, min_doc_count: int = 1
+    flows: DataFrame, field: str, foreground_label: int = 1, size: int | None = 20, min_doc_count: int = 1
 ) -> DataFrame:
     """Values over-represented under a label: (fg - bg) * (fg / bg) of their shares."""
     is_fg = F.when(F.col("label") == foreground_label, 1).otherwise(0)
@@ -116,15 +116,15 @@ def significant_terms(
     totals = flows.agg(F.struct(F.sum(is_fg).alias("fg"), F.count("*").alias("bg"))).scalar()
     fg = F.col("doc_count") / F.col("_t.fg")
     bg = F.col("bg_count") / F.col("_t.bg")
-    return (
+    ranked = (
         counts.where(F.col("doc_count") >= max(min_doc_count, 1))
         .withColumn("_t", totals)
         .where(fg > bg)
         .withColumn("score", (fg - bg) * (fg / bg))
         .orderBy(F.col("score").desc(), "term")
-        .limit(size)
         .select("term", "doc_count", "bg_count", "score")
     )
+    return ranked if size is None else ranked.limit(size)
 
 
 def severity_breakdown(flows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -101,7 +101,7 @@ def search_text(
 
 
 def with_highlights(results: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Marks the matched words in the texts of a result list (``size`` rows, so it is broadcast)."""
+    """Marks the matched words in the texts of a result list (any number of rows; Spark broadcasts a short one)."""
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join("matched", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = F.regexp_replace(F.col(text), pattern, F.lit(f"{HIGHLIGHT[0]}$1{HIGHLIGHT[1]}"))
-    return documents.select(key, text).join(F.broadcast(results), key).withColumn("highlight", marked)
+    return documents.select(key, text).join(results, key).withColumn("highlight", marked)

@@ -43,7 +43,7 @@ def ingest(
     asked = embeddings.where("label = 1")
     if max_counterfactuals is not None:
         first = si.first_malicious(flows, max_counterfactuals).select("flow_id")
-        asked = asked.join(F.broadcast(first), "flow_id", "left_semi")
+        asked = asked.join(first, "flow_id", "left_semi")
     found = si.nearest(asked, embeddings.where("label = 0"), store, 1)
     cfs = store.save(si.counterfactuals(flows, found), "counterfactuals")
     return BatchResult(clean, flows, summaries, embeddings, cfs)

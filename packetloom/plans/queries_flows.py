@@ -21,6 +21,7 @@ from packetloom.operators.graph import graph_summaries, node_set
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import FEATURES
+from packetloom.sources.files import first_rows
 from packetloom.sources import testviews
 
 FLOW_COLUMNS = [
@@ -166,7 +167,7 @@ def _(t):
 
 @query("first_packets", sql("packets", "SELECT packet_index, src_ip, label FROM packets ORDER BY packet_index LIMIT 500"))
 def _(t):
-    return t.packets.orderBy("packet_index").limit(500).select("packet_index", "src_ip", "label")
+    return first_rows(t.packets, 500).select("packet_index", "src_ip", "label")
 
 
 @query(

@@ -86,7 +86,7 @@ for _kind, _dir in (("anomalous", "DESC"), ("normal", "ASC")):
     sql("summaries", "SELECT window_id, num_nodes, num_edges FROM summaries ORDER BY window_id DESC LIMIT 5"),
 )
 def _(t):
-    return g.graph_summaries(t.flows).orderBy(F.col("window_id").desc()).limit(5).select("window_id", "num_nodes", "num_edges")
+    return g.recent_windows(g.graph_summaries(t.flows), 5).select("window_id", "num_nodes", "num_edges")
 
 
 @query("graph_summary_lookup", sql("summaries", "SELECT window_id, num_nodes, num_edges, num_malicious FROM summaries WHERE window_id = 17"))

@@ -129,6 +129,28 @@ def _(t):
 # --- search ---------------------------------------------------------------------------------
 
 
+@query("detect_all_by_label", sql("flows", f"SELECT {BRIEF_SQL} FROM flows WHERE label = 1"))
+def _(t):
+    return an.detect_anomalies(t.flows, "label", size=None).select(*BRIEF)
+
+
+@query("detect_all_by_score", sql("flows", f"SELECT {BRIEF_SQL} FROM flows WHERE prediction = 1 AND prediction_score >= 0.5"))
+def _(t):
+    return an.detect_anomalies(t.flows, "score", size=None).select(*BRIEF)
+
+
+@query(
+    "detect_all_by_stats",
+    sql(
+        "flows",
+        f"""SELECT {BRIEF_SQL} FROM flows WHERE packet_count >= (
+              SELECT avg(packet_count) + 2 * stddev_pop(packet_count) FROM flows WHERE label = 0)""",
+    ),
+)
+def _(t):
+    return an.detect_anomalies(t.flows, "stats", size=None).select(*BRIEF)
+
+
 @query(
     "search_flows",
     sql("flows", f"""SELECT {BRIEF_SQL} FROM flows WHERE label = 1 AND src_ip = '10.0.0.3' AND packet_count >= 2 ORDER BY flow_id LIMIT 20"""),

@@ -39,6 +39,7 @@ ALERTS = T.StructType(
         T.StructField("window_start", T.DoubleType()),
         T.StructField("anomaly_score", T.DoubleType()),
         T.StructField("num_flows", T.LongType()),
+        T.StructField("active", T.BooleanType()),
         T.StructField("batch_id", T.LongType()),
     ]
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,28 @@ _MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("
 
 
 def read_packets_csv(spark: SparkSession, path: str) -> DataFrame:
-    # by name, so extra or reordered columns in the file do no harm
-    return spark.read.schema(PACKETS).option("header", True).option("enforceSchema", False).csv(path)
+    """Columns by their names in the header: extra ones are left out, missing ones and values that do not fit are null.
+    Files of one folder must share a header; Spark raises an error where they do not."""
+    found = _by_header(spark, path)
+    return found.select(*[_typed(found, f.name, f.dataType).alias(f.name) for f in PACKETS.fields])
+
+
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
+
+
+def _typed(found: DataFrame, name: str, kind: T.DataType) -> Column:
+    return F.col(f"`{name}`").try_cast(kind) if name in found.columns else F.lit(None).cast(kind)
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    labels = spark.read.schema(LABEL_FILE).option("header", True).csv(path)
-    return labels.withColumnsRenamed({"Unnamed: 0": "packet_index", "x": "label"})
+    """The index column has the name of an unnamed one, or none at all."""
+    found = _by_header(spark, path)
+    index, label = LABEL_FILE.fields
+    name = index.name if index.name in found.columns else "_c0"
+    return found.select(
+        _typed(found, name, index.dataType).alias("packet_index"), _typed(found, label.name, label.dataType).alias("label")
+    )
 
 
 def load_and_merge(spark: SparkSession, packets_csv: str, labels_csv: str) -> DataFrame:
@@ -29,10 +44,11 @@ def load_and_merge(spark: SparkSession, packets_csv: str, labels_csv: str) -> Da
 
 
 def read_packets_json(spark: SparkSession, *paths: str, keep_corrupt: bool = False) -> DataFrame:
-    """Blank lines are skipped; unreadable ones become null rows, or are kept as text on request."""
+    """Blank and unreadable lines are left out; with keep_corrupt the unreadable ones are rows with their text."""
     schema = PACKETS
-    reader = spark.read.option("mode", "PERMISSIVE")
+    reader = spark.read.option("mode", "DROPMALFORMED")
     if keep_corrupt:
+        reader = reader.option("mode", "PERMISSIVE")
         schema = T.StructType([*PACKETS.fields, T.StructField("_corrupt_record", T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
     return reader.schema(schema).json(list(paths))

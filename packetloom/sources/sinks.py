@@ -18,9 +18,10 @@ def latest(versions: DataFrame, keys: list[str], version: str) -> DataFrame:
     return newest.select(*keys, "_row.*")
 
 
-def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows with the updates put over them; only the keys of the updates are compared. Within
-    the updates a key occurs once (``latest`` sees to it)."""
+def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Existing rows with the updates put over them; only the keys of the updates are compared. Of
+    updates that share a key the one of the highest ``version`` counts."""
+    updates = latest(updates, keys, version)
     untouched = existing.join(updates.select(*keys), keys, "left_anti")
     return untouched.unionByName(updates, allowMissingColumns=True)
 

@@ -16,12 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A small table in few files goes to all cores; the count comes from the file footers. Larger
-    tables have files enough and stay where they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() <= max_rows else df
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as packets: users are sources, the number in ``props`` picks the destination."""
     events = table(spark, sf_dir, "events")

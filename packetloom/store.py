@@ -20,6 +20,9 @@ class Store:
         self.spark = spark
         root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_ROOT, None)
         if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("tables of several machines need a folder that all of them share: set spark.checkpoint.dir")
             root = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set(_OWN_ROOT, root)
         self.root = f"{root.rstrip('/')}/packetloom-{spark.sparkContext.applicationId}"

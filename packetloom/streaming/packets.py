@@ -131,8 +131,10 @@ def window_processor(
     flow_schema: T.StructType,
     score: Callable[[DataFrame], DataFrame],
     alert_score: float = ALERT_SCORE,
+    embed: Callable[[DataFrame], DataFrame] = feature_embeddings,
 ) -> Callable[[DataFrame, int], None]:
-    """What happens after each micro-batch, for the windows it touched."""
+    """What happens after each micro-batch, for the windows it touched. Which windows meet in a batch is chance, so
+    ``score`` and ``embed`` should bring fitted scales along (``Scaling``)."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
         append(batch, tables.path("flows"), batch_id)
@@ -150,7 +152,7 @@ def window_processor(
         scores = score(flows).select("flow_id", "window_id", "prediction_score", "prediction")
         append(scores, tables.path("scores"), batch_id)
         scores = spark.read.schema(scores.schema).parquet(f"{tables.path('scores')}/batch_id={batch_id}")
-        embeddings = feature_embeddings(flows)
+        embeddings = embed(flows)
         append(embeddings, tables.path("embeddings"), batch_id)
         start = flows.groupBy("window_id").agg(F.min("window_start").alias("window_start"), F.count("*").alias("num_embeddings"))
         results = (
@@ -162,7 +164,8 @@ def window_processor(
         )
         append(results, tables.path("results"), batch_id)
         results = spark.read.schema(RESULTS).parquet(f"{tables.path('results')}/batch_id={batch_id}")
-        alerts = results.where(F.col("anomaly_score") >= alert_score)
+        # a window below the limit now may have had an alert before: its row withdraws it
+        alerts = results.withColumn("active", F.col("anomaly_score") >= alert_score)
         append(alerts.select(*[c for c in ALERTS.names if c != "batch_id"]), tables.path("alerts"), batch_id)
         # counts per touched window; cumulative_breakdown adds up the newest of every window
         with_scores = flows.join(scores.drop("window_id"), "flow_id", "left")
@@ -182,6 +185,7 @@ def run_available(
     t0: float = 0.0,
     watermark: str = "10 minutes",
     alert_score: float = ALERT_SCORE,
+    embed: Callable[[DataFrame], DataFrame] = feature_embeddings,
 ) -> StreamTables:
     """Takes in all files there are, then stops; started again, it goes on where it stopped."""
     flows = window_flows(packets, size, t0, watermark)
@@ -189,7 +193,7 @@ def run_available(
         flows.writeStream.outputMode("update")
         .option("checkpointLocation", tables.path("_progress"))
         .trigger(availableNow=True)
-        .foreachBatch(window_processor(spark, tables, flows.schema, score, alert_score))
+        .foreachBatch(window_processor(spark, tables, flows.schema, score, alert_score, embed))
         .start()
     )
     query.awaitTermination()
@@ -208,6 +212,11 @@ def cumulative_breakdown(spark: SparkSession, tables: StreamTables) -> DataFrame
     return rows.groupBy("breakdown", "category").agg(F.sum("n").alias("n"))
 
 
+def active_alerts(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    """Windows whose newest row in the alert table is an alert; an alert withdrawn by later packets is not among them."""
+    return tables.read(spark, "alerts", ALERTS, ["window_id"]).where("active").drop("active")
+
+
 def run_kpis(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("windows"),

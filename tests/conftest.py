@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ from packetloom.store import Store  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", shuffle_partitions=4)
+    session = build_session("local[8]", shuffle_partitions=4, spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"))
     yield session
     session.stop()
 

@@ -50,7 +50,7 @@ def test_blank_and_broken_lines(spark, tmp_path):
 def test_upsert_keeps_the_last_write(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")
-    assert sorted(map(tuple, sinks.upsert(old, new, ["k"]).collect())) == [("a", 1), ("b", 9), ("c", 3)]
+    assert sorted(map(tuple, sinks.upsert(old, new, ["k"], "v").collect())) == [("a", 1), ("b", 9), ("c", 3)]
 
 
 def windows(spark):
