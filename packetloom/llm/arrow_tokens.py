@@ -22,14 +22,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import space_pieces
+from packetloom.llm.common import PieceCache, per_process, space_pieces
 from packetloom.store import Store
 
 LENGTH = 2048
 ROWS = 64
 END_ID = 0
-CACHED_PIECES = 400_000  # pieces whose ids a task remembers; it bounds memory and only saves work
-LONG_PIECE = 64  # longer ones are not remembered
+CACHED_PIECES = 800_000  # pieces whose ids a task remembers; it bounds memory and only saves work
 PENDING_BYTES = 2_000_000
 
 
@@ -135,16 +134,12 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.dtype = np.uint32 if self.tokenizer.get_vocab_size() > 65536 else np.uint16
-        self.known: dict[str, bytes] = {}
+        self.cache = PieceCache(CACHED_PIECES)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [space_pieces(t or "") for t in texts]
-        known = self.known
-        new = {p for _, rest in cut for p in rest}
-        if len(known) + len(new) > CACHED_PIECES:
-            met = new & known.keys()
-            self.known = known = {p: known[p] for p in met}
-        fresh = list(new - known.keys())
+        fresh = self.cache.missing(set().union(*(rest for _, rest in cut)))
+        known = self.cache.young
         for piece, encoding in zip(fresh, self._library([" " + p for p in fresh])):
             known[piece] = np.array(encoding.ids, self.dtype).tobytes()
         heads = self._library([first for first, _ in cut])
@@ -152,9 +147,7 @@ class PieceEncoder:
             np.frombuffer(b"".join([np.array(head.ids, self.dtype).tobytes(), *map(known.__getitem__, rest)]), self.dtype)
             for head, (_, rest) in zip(heads, cut)
         ]
-        for piece in fresh:
-            if len(piece) > LONG_PIECE:
-                del known[piece]
+        self.cache.forget(fresh)
         return out
 
     def _library(self, pieces: list[str]):
@@ -187,7 +180,7 @@ def write_sequences(
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             if encoder is None:
-                encoder = PieceEncoder(vocabulary)
+                encoder = per_process(("encoder", vocabulary), lambda: PieceEncoder(vocabulary))
                 there, path = file_system(name)
                 there.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = there.open_output_stream(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,6 +18,7 @@ from packetloom.store import Store
 
 #: Text bytes that one task holds in unpacked form at a time. It bounds memory, not results.
 SLICE_BYTES = 2_000_000
+LONG_PIECE = 64  # a longer piece of text is encoded and forgotten
 BASE = 0x9E3779B97F4A7C15  # odd, of the polynomial hash of byte spans
 
 
@@ -93,6 +96,37 @@ def space_pieces(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+def per_process(key: tuple, build: Callable[[], object]):
+    """What `build` makes, once per Python worker. Functions travel by value, so their own globals are new in each task."""
+    kept = sys.modules.setdefault("_packetloom_worker", types.ModuleType("_packetloom_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+class PieceCache:
+    """The ids of pieces met lately, as bytes; about `size` of them. It bounds memory and only saves work."""
+
+    def __init__(self, size: int):
+        self.half = size // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces not known. The others are in `young` afterwards, until the next call."""
+        if len(self.young) + len(pieces) > self.half:
+            self.old, self.young = self.young, {}
+        absent = pieces - self.young.keys()
+        back = absent & self.old.keys()
+        self.young.update((p, self.old[p]) for p in back)
+        return list(absent - back)
+
+    def forget(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            if len(piece) > LONG_PIECE:
+                del self.young[piece]
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality in which two nulls agree."""
     return left.eqNullSafe(right)
