@@ -1,7 +1,7 @@
 """Token ids of documents in Arrow stream files of equal-size batches.
 
 A file is an Arrow IPC stream whose records are sequences: `ids`, a fixed-size list of LENGTH unsigned
-16- or 32-bit ids, and `mask`, a fixed-size list of bytes that is 1 where an id is present. Every batch has ROWS
+16- or 32-bit ids, and `mask`, a fixed-size list of bits that is 1 where an id is present. Every batch has ROWS
 records, the last one padded, and nothing is compressed, so all batch messages of a file have the same
 length. Sequence i is at a known offset of batch i // ROWS: a reader maps the file and takes
 a view, without reading what comes before. Documents follow one another across sequences; the index
@@ -34,7 +34,7 @@ PENDING_BYTES = 2_000_000
 
 def schema(length: int, wide: bool) -> pa.Schema:
     kind = pa.uint32() if wide else pa.uint16()
-    return pa.schema([pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.bool_(), length))])
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -62,8 +62,7 @@ class SequenceWriter:
                 self._flush()
 
     def _flush(self) -> None:
-        mask = np.zeros(len(self.room), np.uint8)
-        mask[: self.used] = 1
+        mask = np.arange(len(self.room)) < self.used
         self.room[self.used :] = 0
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(self.room.copy()), self.length),
@@ -105,10 +104,10 @@ class SequenceReader:
     def __len__(self) -> int:
         return self.batches * self.rows
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence i."""
+    def sequence(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """ids and mask of sequence i, as Arrow arrays over the mapped file."""
         batch, row = self._batches(i // self.rows), i % self.rows
-        return tuple(batch.column(c).values.to_numpy()[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        return tuple(batch.column(c).values.slice(row * self.length, self.length) for c in (0, 1))
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """n ids from position `start` of the file, in views of at most one batch."""
