@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import on_slices, space_pieces
+from packetloom.llm.common import PieceCache, on_slices, per_process, space_pieces
 
-BLOCK_BYTES = 16_000_000
-CACHED_PIECES = 500_000  # pieces whose ids a task remembers; it bounds memory and only saves work
-LONG_PIECE = 64  # longer ones are not remembered
+BLOCK_BYTES = 6_000_000
+CACHED_PIECES = 400_000  # pieces whose ids a task remembers; it bounds memory and only saves work
 NONE = np.int32(2**31 - 1)
 
 
@@ -46,7 +44,7 @@ class MergeReplay:
         )
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], np.int32)
-        self.known: dict[str, bytes] = {}
+        self.cache = PieceCache(CACHED_PIECES)
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -76,12 +74,12 @@ class MergeReplay:
         inner = inner[rank[inner] != NONE]
         inner = inner[np.argsort(rank[inner], kind="stable")]
         cuts = np.flatnonzero(np.diff(rank[inner])) + 1
-        index = {int(rank[p[0]]): p.tolist() for p in np.split(inner, cuts) if len(p)}
+        index = {int(rank[p[0]]): [p] for p in np.split(inner, cuts) if len(p)}
         queue = list(index)
         heapq.heapify(queue)
         while queue:
             merge = heapq.heappop(queue)
-            at = np.unique(np.array(index.pop(merge), np.int64))
+            at = np.unique(np.concatenate(index.pop(merge)))
             at = at[rank[at] == merge]
             if not len(at):
                 continue
@@ -99,9 +97,9 @@ class MergeReplay:
             if (opened < merge).any():
                 wary = np.isin(owner[at], owner[at[opened < merge]])
                 first = np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))
-                later = at[wary & ~first].tolist()
-                if later:
-                    index[merge] = later
+                later = at[wary & ~first]
+                if len(later):
+                    index[merge] = [later]
                     heapq.heappush(queue, merge)
                 take = ~wary | first
                 at, second, after, before = at[take], second[take], after[take], before[take]
@@ -121,12 +119,11 @@ class MergeReplay:
             touched, fresh = touched[by_rank], fresh[by_rank]
             cuts = np.flatnonzero(np.diff(fresh)) + 1
             bounds = [0, *cuts.tolist(), len(fresh)]
-            places = touched.tolist()
-            for r, start, stop in zip(fresh[bounds[:-1]].tolist() if places else (), bounds, bounds[1:]):
+            for r, start, stop in zip(fresh[bounds[:-1]].tolist() if len(fresh) else (), bounds, bounds[1:]):
                 if r in index:
-                    index[r] += places[start:stop]
+                    index[r].append(touched[start:stop])
                 else:
-                    index[r] = places[start:stop]
+                    index[r] = [touched[start:stop]]
                     heapq.heappush(queue, r)
         return symbol[alive], np.add.reduceat(alive.astype(np.int64), ends - lengths)
 
@@ -150,11 +147,8 @@ class MergeReplay:
             first, rest = space_pieces(text or "")
             new.update(rest)
             heads.add(first)
-        known = self.known
-        if len(known) + len(new) > CACHED_PIECES:
-            met = new & known.keys()
-            self.known = known = {p: known[p] for p in met}
-        fresh = list(new - known.keys())
+        fresh = self.cache.missing(new)
+        known = self.cache.young
         known.update(zip(fresh, self._encode_pieces([" " + p for p in fresh])))
         words = {head: list(map(str.encode, self.words.findall(head))) for head in heads}
         ids, counts = self.replay([w for ws in words.values() for w in ws])
@@ -166,9 +160,7 @@ class MergeReplay:
         for text in texts:
             first, rest = space_pieces(text or "")
             yield np.frombuffer(b"".join([first_ids[first], *map(known.__getitem__, rest)]), np.int32).tolist()
-        for piece in fresh:
-            if len(piece) > LONG_PIECE:
-                del known[piece]
+        self.cache.forget(fresh)
 
     def decimal(self, ids: list[int]) -> bytes:
         return b",".join(map(self.digits.__getitem__, ids))
@@ -177,11 +169,6 @@ class MergeReplay:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def replayer(path: str, pattern: str) -> MergeReplay:
-    return MergeReplay(path, pattern)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids (unless keep_ids is false), ids_sha256, decoded_sha256.
 
@@ -190,7 +177,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = replayer(path, pattern)
+        codec = per_process(("replay", path, pattern), lambda: MergeReplay(path, pattern))
         columns: list[list] = [[], [], [], []]
         for ids in codec.encode(batch.column("text").to_pylist()):
             columns[0].append(len(ids))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from packetloom.store import Store
 
 #: Text bytes that one task holds in unpacked form at a time. It bounds memory, not results.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 LONG_PIECE = 64  # a longer piece of text is encoded and forgotten
 BASE = 0x9E3779B97F4A7C15  # odd, of the polynomial hash of byte spans
 
@@ -68,7 +68,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    power, inverse = _powers(max(21, int(len(line)).bit_length()))
+    power, inverse = _powers(max(20, int(len(line)).bit_length()))
     sums = np.zeros(len(line) + 1, np.uint64)
     np.cumsum((line.astype(np.uint64) + np.uint64(1)) * power[: len(line)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
