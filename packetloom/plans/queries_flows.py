@@ -374,9 +374,34 @@ def _(t):
     return exact.select("label", "feature", "percent", *rounded("value"))
 
 
-@query("feature_percentiles_sketch")
+@query(
+    "feature_percentiles_sketch",
+    sql(
+        "flows",
+        """SELECT f.label, p.percent, (SELECT count(*) FROM flows c WHERE c.label = f.label) AS n, true AS within
+           FROM (SELECT DISTINCT label FROM flows) f, (SELECT unnest([5.0::DOUBLE, 25, 50, 75, 95, 99]) AS percent) p""",
+    ),
+)
 def _(t):
-    return stats.percentiles_approx(t.flows, "packet_count")
+    """For each feature the sketch's value has a rank within 1 in 10,000 of the one asked for."""
+    off = F.lit(1e-4) + 1 / F.col("n")
+    out = None
+    for feature in FEATURES:
+        sketch = stats.percentiles_approx(t.flows, feature).withColumnsRenamed({"label": "_label"})
+        ranks = (
+            t.flows.join(sketch, F.col("label") == F.col("_label"))
+            .groupBy("label", "percent")
+            .agg(
+                F.count("*").alias("n"),
+                F.count_if(F.col(feature) < F.col("value")).alias("below"),
+                F.count_if(F.col(feature) <= F.col("value")).alias("upto"),
+            )
+        )
+        share = F.col("percent") / 100
+        within = (F.col("below") / F.col("n") <= share + off) & (F.col("upto") / F.col("n") >= share - off)
+        part = ranks.select("label", "percent", "n", within.alias("within"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("label", "percent", "n").agg(F.bool_and("within").alias("within"))
 
 
 _SIG = """SELECT term, doc_count, bg_count, round(score, 6) AS score FROM (

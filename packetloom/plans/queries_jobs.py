@@ -240,6 +240,36 @@ def _(t):
     )
 
 
+@query(
+    "stream_late_packets",
+    sql(
+        "packets",
+        """SELECT floor("timestamp" / 43200.0)::BIGINT AS window_id, count(*) AS packets, sum(packet_length)::BIGINT AS total_bytes
+           FROM packets, (SELECT min("timestamp") AS first FROM packets)
+           WHERE NOT ("timestamp" < first + 10 * 86400 AND packet_index % 5 = 0) GROUP BY 1""",
+    ),
+)
+def _(t):
+    """A fifth of the packets of the first ten days arrives after everything else, behind a watermark of one hour: exactly
+    those are left out."""
+
+    def run():
+        root = t.store.fresh_path("late")
+        everything = full_packets(t)
+        first = everything.agg(F.min("timestamp")).scalar()
+        late = (F.col("timestamp") < first + F.lit(10 * 86400.0)) & (F.col("packet_index") % 5 == 0)
+        out = st.StreamTables(f"{root}/out")
+        for part in (everything.where(~late), everything.where(late)):
+            part.write.mode("append").json(f"{root}/in")
+            source = st.packet_stream(t.spark, f"{root}/in", max_files=1000)
+            st.run_available(t.spark, source, out, label_scorer, STREAM_WINDOW, watermark="1 hour")
+        return out
+
+    schema = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None).schema
+    flows = t.once("late_stream", run).read(t.spark, "flows", schema, ["window_id", "flow_id"])
+    return flows.groupBy("window_id").agg(F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("total_bytes"))
+
+
 @query(
     "stream_severity_breakdown",
     sql(
@@ -282,6 +312,10 @@ def _(t):
 # --- end to end -----------------------------------------------------------------------------
 
 
+def ingested(t) -> batch.BatchResult:
+    return t.once("ingest", lambda: batch.ingest(t.packets, t.store, testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE))
+
+
 @query(
     "ingest_report",
     sql(
@@ -293,11 +327,29 @@ def _(t):
 )
 def _(t):
     """The whole batch job, with every malicious flow explained."""
-    result = t.once(
-        "ingest",
-        lambda: batch.ingest(t.packets, t.store, testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE),
-    )
-    return batch.ingest_report(result)
+    return batch.ingest_report(ingested(t))
+
+
+@query(
+    "ingest_summaries",
+    sql("summaries", """SELECT window_id, num_nodes, num_edges, num_malicious, round(mean_degree, 6) AS mean_degree, round(density, 6) AS density,
+                        round(malicious_ratio, 6) AS malicious_ratio FROM summaries"""),
+)
+def _(t):
+    """The values of the summary table that the batch job stored."""
+    stored = ingested(t).summaries
+    return stored.select("window_id", "num_nodes", "num_edges", "num_malicious", *rounded("mean_degree", "density", "malicious_ratio"))
+
+
+@query(
+    "ingest_embeddings",
+    sql("embedded", "SELECT flow_id, label, " + ", ".join(f"round(embedding[{i + 1}], 6) + 0.0::DOUBLE AS e{i}" for i in range(16)) + " FROM embedded"),
+)
+def _(t):
+    """The values of the embedding table that the batch job stored."""
+    stored = ingested(t).embeddings
+    parts = [(F.round(F.col("embedding")[i], 6) + F.lit(0.0)).alias(f"e{i}") for i in range(16)]
+    return stored.select("flow_id", "label", *parts)
 
 
 _SIGNIFICANT = """SELECT '{section}' AS section, term AS item, (fg - bg) * (fg / bg) AS value FROM (
