@@ -14,6 +14,8 @@ aggregation therefore runs in three steps, each on bounded groups:
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from packetloom.store import Store
 
 PAIR = ["src_ip", "dst_ip", "protocol"]
 FLOW_KEY = [*PAIR, "dst_port"]
+LEAST_SPLITS = 16  # slices per stride
+SLICE_PACKETS = 100_000  # about as many packets of one flow in a slice
 
 
 def merge_labels(packets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -109,18 +113,28 @@ def _gap_aggregate(
     )
 
 
+def _slices_per(packets: DataFrame, keys: list[str], origin: float, width: float) -> int:
+    """Into how many slices to cut ``width`` so that the densest one holds about SLICE_PACKETS: a flood gets
+    narrower slices. One aggregate with map-side combining, of which one number is read."""
+    cell = F.floor((F.col("timestamp") - origin) / (width / LEAST_SPLITS))
+    densest = packets.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return LEAST_SPLITS * max(1, ceil(densest / SLICE_PACKETS))
+
+
 def sliding_flows(
-    packets: DataFrame, size: float, stride: float, keep_tail: bool = False, splits: int = 16
+    packets: DataFrame, size: float, stride: float, keep_tail: bool = False, splits: int | None = None
 ) -> DataFrame:
-    """Flows of overlapping windows keyed by (window, src, dst, protocol, dst_port)."""
+    """Flows of overlapping windows keyed by (window, src, dst, protocol, dst_port). ``splits`` slices per
+    stride; by default as many as the densest flow needs."""
     clean = prepare_packets(packets)
     windows = SlidingWindows.over(time_bounds(clean), size, stride, keep_tail)
+    splits = splits or _slices_per(clean, FLOW_KEY, windows.origin, float(stride))
     slice_of = F.floor((F.col("timestamp") - windows.origin) / (float(stride) / splits)).cast("long")
     flows = _gap_aggregate(sliding_span(clean, windows), FLOW_KEY, {}, slice_of)
     return flows.withColumn("window_start", windows.start(F.col("window_id")))
 
 
-def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int = 16) -> DataFrame:
+def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int | None = None) -> DataFrame:
     """Flows of tumbling windows keyed by (window, src, dst, protocol), with UDP length and the
     share of packets that open a connection."""
     t_min = time_bounds(packets)[0]
@@ -132,6 +146,7 @@ def snapshot_flows(packets: DataFrame, delta_t: float = 5.0, splits: int = 16) -
         extra["udp_length_mean"] = F.coalesce(F.col("udp_length"), F.lit(0.0))
     if "tcp_flags" in packets.columns:
         extra["tcp_flag_syn_rate"] = syn_flag(packets).cast("int")
+    splits = splits or _slices_per(packets, PAIR, t_min or 0.0, float(delta_t))
     slice_of = F.floor(
         (F.col("timestamp") - F.col("window_start")) / F.lit(float(delta_t) / splits)
     ).cast("long")

@@ -14,6 +14,7 @@ copies cost nothing. Two exact ways, chosen by a size check:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ PCT_CAP = 99999.99
 
 _SCALE = 10**DIGITS
 _BAND = 0.05  # width of a band; unit vectors are at most 2 apart, so a cell has at most 41 bands
+MAX_CELLS = 4096
 _SLACK = 4e-6  # covers the rounding of similarities when distances are compared
 
 
@@ -263,7 +265,7 @@ def nearest(
     key: str = "flow_id",
     exclude_self: bool = False,
     broadcast_values: int = 4_000_000,
-    cells: int = 64,
+    cells: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """The k most similar base rows of each query: (query, neighbour, similarity, rank)."""
@@ -279,15 +281,16 @@ def nearest(
     )
     # one vector per digest; the copies of a hot vector are combined before the shuffle
     vectors = asked.groupBy("vkey").agg(F.first("vec").alias("vec"))
-    # size check: numbers, not rows, so long vectors are covered; 4 million doubles are 32 MB
-    first = base.select(F.size("embedding")).first()
-    broadcast_rows = broadcast_values // max(1, first[0] if first else 1)
-    head = kept.select("id", "vec").limit(broadcast_rows + 1).toPandas()
-    if not len(head):
+    kept = store.save(kept, "knn_base")
+    size = kept.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
+    if not size.n:
         found = vectors.sparkSession.createDataFrame([], _RESULT)
-    elif len(head) <= broadcast_rows:
-        found = _broadcast_search(vectors, head, depth)
+    elif size.n * max(1, size.width) <= broadcast_values:
+        # checked in numbers, not rows, so long vectors are covered; 4 million doubles are 32 MB
+        found = _broadcast_search(vectors, kept.select("id", "vec").toPandas(), depth)
     else:
+        # as many cells as a cell has rows, up to what a task can compare each query with
+        cells = cells or min(MAX_CELLS, max(16, isqrt(size.n)))
         found = _cell_search(vectors, kept, depth, store, cells, block_rows)
     out = asked.select("id", "vkey").join(_top(found, depth), "vkey").select(
         F.col("id").alias("query"), "neighbour", (F.col("scaled") / F.lit(float(_SCALE))).alias("similarity"), "rank"

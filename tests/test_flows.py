@@ -157,3 +157,16 @@ def test_splits(spark):
     got = {r.sequence_id: r.split for r in win.stratified_split(few).collect()}
     assert got[3] == "train"  # a lone attack sequence cannot be split
     assert [got[i] for i in (0, 1, 2, 4, 5, 6, 7, 8, 9)] == ["train"] * 6 + ["val"] + ["test"] * 2
+
+
+def test_a_flood_gets_narrower_slices(make_packets, monkeypatch):
+    """One flow holds nine packets in ten; its slices follow its density and the result stays the same."""
+    from packetloom.operators import flows as fl
+
+    rows = [(i * 0.01, "a", "b") for i in range(900)] + [(i * 0.09, f"c{i % 7}", "b") for i in range(100)]
+    packets = make_packets(rows)
+    key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    wide = key(fl.sliding_flows(packets, 4.0, 2.0))
+    monkeypatch.setattr(fl, "SLICE_PACKETS", 5)
+    assert fl._slices_per(packets, fl.FLOW_KEY, 0.0, 2.0) == 16 * 3
+    assert key(fl.sliding_flows(packets, 4.0, 2.0)) == wide
