@@ -219,9 +219,11 @@ def normalised_edges(flows: DataFrame) -> DataFrame:
 # --- what-ifs -------------------------------------------------------------------------------
 
 
-def edge_removal(flows: DataFrame, max_removals: int = 5) -> DataFrame:
+def edge_removal(flows: DataFrame, max_removals: int = 5, chosen: DataFrame | None = None) -> DataFrame:
     """What each window would look like without one edge: change of the mean of every feature and
-    of the spread of the degrees, for the largest malicious edges (any edge if none is malicious).
+    of the spread of the degrees, for the largest malicious edges (any edge if none is malicious), or for
+    the ``chosen`` ones (window_id, edge_idx). The removed edge's own features are in ``edge_...``; rows of a
+    window come in the order of their impact.
 
     Works from window totals and the removed edge alone, so no edge meets another edge.
     """
@@ -237,11 +239,15 @@ def edge_removal(flows: DataFrame, max_removals: int = 5) -> DataFrame:
     order = Window.partitionBy("window_id").orderBy(
         (F.col("label") == 1).desc(), F.col("total_bytes").desc(), F.col("edge_idx")
     )
+    if chosen is None:
+        ranked = flows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_removals)
+        wanted = (F.col("label") == 1) | (F.col("_mal") == 0)
+    else:
+        ranked = flows.join(chosen.select("window_id", "edge_idx").distinct(), ["window_id", "edge_idx"], "left_semi")
+        wanted = F.lit(True)
     targets = (
-        flows.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= max_removals)
-        .join(totals, "window_id")
-        .where(((F.col("label") == 1) | (F.col("_mal") == 0)) & (F.col("_edges") >= 2))
+        ranked.join(totals, "window_id")
+        .where(wanted & (F.col("_edges") >= 2))
         .join(spread, "window_id")
         .join(deg.withColumnsRenamed({"ip": "src_ip", "deg": "_ds"}), ["window_id", "src_ip"])
         .join(deg.withColumnsRenamed({"ip": "dst_ip", "deg": "_dd"}), ["window_id", "dst_ip"])
@@ -262,17 +268,19 @@ def edge_removal(flows: DataFrame, max_removals: int = 5) -> DataFrame:
         impacts[f"{f}_pct_change"] = F.round(
             F.abs(delta) / F.greatest(F.abs(mean), F.lit(TINY)) * 100, 2
         )
-    return targets.select(
+    removed = targets.select(
         "window_id",
         "edge_idx",
         "src_ip",
         "dst_ip",
         F.col("label").alias("removed_label"),
+        *[F.col(f).cast("double").alias(f"edge_{f}") for f in FEATURES],
         *[c.alias(name) for name, c in impacts.items()],
         F.round(F.abs(std_after - std_before) / F.greatest(std_before, F.lit(TINY)), 4).alias(
             "structural_impact"
         ),
     )
+    return removed.orderBy("window_id", F.col("structural_impact").desc(), "edge_idx")
 
 
 def _pick_windows(summaries: DataFrame) -> Column:

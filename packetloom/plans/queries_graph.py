@@ -158,7 +158,7 @@ def _(t):
 _REMOVAL = """targets AS (
   SELECT * FROM (SELECT f.*, sum(label) OVER (PARTITION BY window_id) AS mal, count(*) OVER (PARTITION BY window_id) AS edges,
                         row_number() OVER (PARTITION BY window_id ORDER BY label DESC, total_bytes DESC, edge_idx) AS rk FROM flows f {where})
-  WHERE rk <= 5 AND (label = 1 OR mal = 0) AND edges >= 2),
+  WHERE {pick} AND edges >= 2),
 stats AS (
   SELECT t.window_id, t.edge_idx, {before}, {after}
   FROM targets t JOIN flows f ON t.window_id = f.window_id GROUP BY t.window_id, t.edge_idx),
@@ -171,9 +171,10 @@ spread AS (
   GROUP BY window_id, edge_idx)"""
 
 
-def _removal_sql(where: str = "") -> str:
+def _removal_sql(where: str = "", pick: str = "rk <= 5 AND (label = 1 OR mal = 0)") -> str:
     parts = _REMOVAL.format(
         where=where,
+        pick=pick,
         before=", ".join(f"avg(f.{f}) AS {f}_0" for f in FEATURES),
         after=", ".join(f"avg(f.{f}) FILTER (WHERE f.edge_idx <> t.edge_idx) AS {f}_1" for f in FEATURES),
     )
@@ -181,16 +182,27 @@ def _removal_sql(where: str = "") -> str:
         f"round({f}_1 - {f}_0, 4) AS {f}_delta, round(abs({f}_1 - {f}_0) / greatest(abs({f}_0), 1e-9) * 100, 2) AS {f}_pct_change"
         for f in FEATURES
     )
-    body = f"""SELECT t.window_id, t.edge_idx, t.src_ip, t.dst_ip, t.label AS removed_label, {columns},
+    own = ", ".join(f"round(t.{f}::DOUBLE, 6) AS edge_{f}" for f in FEATURES)
+    body = f"""SELECT t.window_id, t.edge_idx, t.src_ip, t.dst_ip, t.label AS removed_label, {own}, {columns},
                       round(abs(s1 - s0) / greatest(s0, 1e-9), 4) AS structural_impact
                FROM targets t JOIN stats s ON t.window_id = s.window_id AND t.edge_idx = s.edge_idx
                JOIN spread p ON t.window_id = p.window_id AND t.edge_idx = p.edge_idx"""
     return sql("summaries", body, parts)
 
 
+def _own_rounded(removed):
+    return removed.withColumns({f"edge_{f}": F.round(f"edge_{f}", 6) for f in FEATURES})
+
+
 @query("edge_removal", _removal_sql())
 def _(t):
-    return g.edge_removal(t.flows)
+    return _own_rounded(g.edge_removal(t.flows))
+
+
+@query("edge_removal_chosen", _removal_sql(pick="edge_idx % 7 = 3"))
+def _(t):
+    """Edges that a caller names."""
+    return _own_rounded(g.edge_removal(t.flows, chosen=t.flows.where("edge_idx % 7 = 3")))
 
 
 @query(
@@ -199,7 +211,7 @@ def _(t):
 )
 def _(t):
     worst = g.extreme_window(g.graph_summaries(t.flows)).select("window_id").scalar()
-    return g.edge_removal(t.flows.where(F.col("window_id") == worst))
+    return _own_rounded(g.edge_removal(t.flows.where(F.col("window_id") == worst)))
 
 
 _PICK = """pick AS (

@@ -116,6 +116,26 @@ def _(t):
     return sinks.retained(t.flows, keep_days=20).select("flow_id", "window_id")
 
 
+@query(
+    "retention_on_disk",
+    sql(
+        "flows",
+        """SELECT day, count(*) AS n FROM (SELECT floor(window_start / 86400.0)::BIGINT AS day FROM flows)
+           WHERE day >= (SELECT floor(max(window_start) / 86400.0)::BIGINT FROM flows) - 20 GROUP BY 1""",
+    ),
+)
+def _(t):
+    """Flows stored by day, the folders of old days deleted, and what is left read again."""
+
+    def run():
+        path = sinks.write_by_day(t.flows, t.store.fresh_path("by_day"))
+        newest = t.flows.agg(F.floor(F.max("window_start") / sinks.DAY)).first()[0]
+        sinks.drop_expired(t.spark, path, newest, keep_days=20)
+        return path
+
+    return t.spark.read.parquet(t.once("by_day", run)).groupBy(F.col("day").cast("long").alias("day")).agg(F.count("*").alias("n"))
+
+
 @query(
     "compaction",
     sql("flows", "SELECT floor(window_start / 86400.0)::BIGINT AS day, count(*) AS n, sum(total_bytes)::BIGINT AS total_bytes FROM flows GROUP BY 1"),

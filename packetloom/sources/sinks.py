@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86400.0
@@ -48,6 +48,26 @@ def retained(df: DataFrame, now: float | None = None, keep_days: float = KEEP_DA
     return df.where(F.col(ts) >= newest - F.lit(keep_days * DAY))
 
 
+def write_by_day(df: DataFrame, path: str, ts: str = "window_start") -> str:
+    dated = df.withColumn("day", F.floor(F.col(ts) / DAY).cast("long"))
+    dated.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return path
+
+
+def drop_expired(spark: SparkSession, path: str, newest_day: int, keep_days: int = KEEP_DAYS) -> list[int]:
+    """Deletes the day folders of a table from write_by_day that are more than ``keep_days`` older than
+    ``newest_day``; returns the days that went. Only folder names are looked at."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("day=") and int(name[4:]) < newest_day - keep_days:
+            system.delete(status.getPath(), True)
+            gone.append(int(name[4:]))
+    return sorted(gone)
+
+
 def compacted(
     df: DataFrame, path: str, now: float | None = None, after_days: float = COMPACT_AFTER_DAYS, ts: str = "window_start"
 ) -> DataFrame:
