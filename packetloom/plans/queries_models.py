@@ -53,7 +53,14 @@ def _(t):
     return found.select("cf_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
-@query("document_highlights")
+@query(
+    "document_highlights",
+    "WITH "
+    + search_sql("documents", "doc_id", "text", DOCUMENT_QUERY, 10)
+    + r""" SELECT k AS doc_id, score, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'),
+             lambda x: CASE WHEN list_contains(string_split(matched, ','), lower(x)) THEN '<em>' || x || '</em>' ELSE x END), '') AS highlight
+           FROM found JOIN documents ON k = doc_id""",
+)
 def _(t):
     docs = t.raw("documents")
     found = ts.search_text(docs, DOCUMENT_QUERY, "doc_id", "text")
