@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -169,6 +169,9 @@ def window_scores(scored: DataFrame) -> DataFrame:
 register_scorer("seeded_graph_model", lambda flows: score_edges(flows, EdgeModel.seeded()))
 
 
+CLASSIFIER_INPUTS = [*[f"{f}_src" for f in NODE_FEATURES], *[f"{f}_dst" for f in NODE_FEATURES], *FEATURES]
+
+
 # --- training -------------------------------------------------------------------------------
 
 
@@ -191,7 +194,7 @@ def train_edge_classifier(
 ):
     """Class-weighted logistic regression; the penalty with the best validation F1 is kept.
     Returns (model, metrics per split)."""
-    inputs = [*[f"{f}_src" for f in NODE_FEATURES], *[f"{f}_dst" for f in NODE_FEATURES], *FEATURES]
+    inputs = CLASSIFIER_INPUTS
     # every pass of the optimiser reads the assembled rows, so they are written once
     rows = training_rows(flows, seq_len).select("flow_id", "label", "split", *inputs)
     rows = store.save(rows, "training_rows", partition_by=["split"])
@@ -219,3 +222,20 @@ def train_edge_classifier(
         part = evaluate(best, rows.where(F.col("split") == split)).withColumn("split", F.lit(split))
         metrics = part if metrics is None else metrics.unionByName(part)
     return best, metrics
+
+
+def classifier_scorer(model: PipelineModel, scaling: Scaling) -> Scorer:
+    """A trained classifier as a scorer, with the scales of its training data. The model is stored with
+    ``model.save(path)`` and read with ``PipelineModel.load(path)``."""
+
+    def score(flows: DataFrame) -> DataFrame:
+        clean = sanitise_features(flows, FEATURES)
+        nodes = node_features(clean).select("window_id", "ip", *NODE_FEATURES)
+        rows = edge_inputs(clean, normalise(nodes, NODE_FEATURES, scaling.nodes), NODE_FEATURES, scaling.edges)
+        rows = rows.select("flow_id", "window_id", *CLASSIFIER_INPUTS)
+        scored = model.transform(rows).withColumn("prediction_score", vector_to_array("probability")[1])
+        return scored.select(
+            "flow_id", "window_id", "prediction_score", (F.col("prediction_score") >= 0.5).cast("int").alias("prediction")
+        )
+
+    return score

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from packetloom.operators import scoring as sc
@@ -150,3 +151,27 @@ def _(t):
 def _(t):
     _, metrics = sc.train_edge_classifier(t.flows, t.store)
     return metrics
+
+
+@query("edge_classifier_stored", sql("flows", "SELECT window_id, count(*) AS n, true AS same, true AS in_range FROM flows GROUP BY window_id"))
+def _(t):
+    """A trained classifier, stored, loaded, registered as a scorer, and applied to all flows like the one in memory."""
+
+    def train():
+        model, _ = sc.train_edge_classifier(t.flows, t.store)
+        path = t.store.fresh_path("classifier")
+        model.save(path)
+        return model, PipelineModel.load(path)
+
+    scaling = sc.Scaling.fit(t.flows)
+    scores = []
+    for model, name in zip(t.once("classifiers", train), ("trained_classifier", "stored_classifier")):
+        sc.register_scorer(name, sc.classifier_scorer(model, scaling))
+        scores.append(sc.scorer(name)(t.flows))
+    other = scores[1].select("flow_id", F.col("prediction_score").alias("other"))
+    score = F.col("prediction_score")
+    return scores[0].join(other, "flow_id").groupBy("window_id").agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.abs(score - F.col("other")) < 1e-12).alias("same"),
+        F.bool_and(score.between(0, 1)).alias("in_range"),
+    )
