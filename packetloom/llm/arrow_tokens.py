@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from packetloom.store import Store
 LENGTH = 2048
 ROWS = 64
 END_ID = 0
-CACHED_PIECES = 800_000  # pieces whose ids a task remembers; it bounds memory and only saves work
+CACHED_PIECES = 1_000_000  # pieces whose ids a task remembers; it bounds memory and only saves work
 PENDING_BYTES = 2_000_000
 
 
@@ -138,12 +139,12 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [space_pieces(t or "") for t in texts]
         fresh = self.cache.missing(set().union(*(rest for _, rest in cut)))
-        known = self.cache.young
+        known, kind = self.cache.young, "H" if self.dtype is np.uint16 else "I"
         for piece, encoding in zip(fresh, self._library([" " + p for p in fresh])):
-            known[piece] = np.array(encoding.ids, self.dtype).tobytes()
+            known[piece] = array(kind, encoding.ids).tobytes()
         heads = self._library([first for first, _ in cut])
         out = [
-            np.frombuffer(b"".join([np.array(head.ids, self.dtype).tobytes(), *map(known.__getitem__, rest)]), self.dtype)
+            np.frombuffer(b"".join([array(kind, head.ids).tobytes(), *map(known.__getitem__, rest)]), self.dtype)
             for head, (_, rest) in zip(heads, cut)
         ]
         self.cache.forget(fresh)
