@@ -11,7 +11,6 @@ from packetloom.plans.queries_flows import rounded
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import FEATURES, NODE_FEATURES
-from packetloom.sources import testviews
 
 DOCUMENT_QUERY = "That heron estion, onenes!"
 NARRATIVE_QUERY = "packt_count decreese normal"
