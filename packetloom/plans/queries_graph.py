@@ -115,11 +115,11 @@ _SYM = """sym AS (SELECT window_id, src_ip AS row, dst_ip AS col FROM flows UNIO
 deg AS (SELECT window_id, row, count(*) AS d FROM sym GROUP BY ALL)"""
 
 
-@query(
-    "laplacian",
-    sql("flows", """SELECT window_id, row, col, sum(value) AS value FROM (
-             SELECT window_id, row, col, -1.0::DOUBLE AS value FROM sym UNION ALL SELECT window_id, row, row, d::DOUBLE FROM deg) GROUP BY ALL""", _SYM),
-)
+_LAPLACIAN = """SELECT window_id, row, col, sum(value) AS value FROM (
+             SELECT window_id, row, col, -1.0::DOUBLE AS value FROM sym UNION ALL SELECT window_id, row, row, d::DOUBLE FROM deg) GROUP BY ALL"""
+
+
+@query("laplacian", sql("flows", _LAPLACIAN, _SYM))
 def _(t):
     return g.laplacian(t.flows)
 
@@ -143,13 +143,13 @@ def _(t):
     return g.edges_with_loops(t.flows).groupBy("window_id", "src_ip", "dst_ip").agg(F.count("*").alias("n"))
 
 
-@query(
-    "normalised_edges",
-    sql("nodes", """SELECT l.window_id, l.src_ip, l.dst_ip, count(*) AS n,
+_NORMALISED = """SELECT l.window_id, l.src_ip, l.dst_ip, count(*) AS n,
              round(1 / sqrt(any_value(s.in_degree) + 1) * (1 / sqrt(any_value(d.in_degree) + 1)), 6) AS norm FROM loops l
              JOIN nodes s ON l.window_id = s.window_id AND l.src_ip = s.ip JOIN nodes d ON l.window_id = d.window_id AND l.dst_ip = d.ip
-             GROUP BY l.window_id, l.src_ip, l.dst_ip""", _LOOPS),
-)
+             GROUP BY l.window_id, l.src_ip, l.dst_ip"""
+
+
+@query("normalised_edges", sql("nodes", _NORMALISED, _LOOPS))
 def _(t):
     return g.normalised_edges(t.flows).select("window_id", "src_ip", "dst_ip", "n", *rounded("norm"))
 
@@ -396,3 +396,18 @@ def _(t):
 def _(t):
     edges = trade_edges(t.spark, t.sf_dir)
     return bucket_counts(edges, "src_ip", [F.sum("total_bytes").alias("bytes")])
+
+
+@query("trade_adjacency", f"WITH {_TRADE} SELECT window_id, src_ip, dst_ip, count(*) AS weight FROM flows GROUP BY ALL")
+def _(t):
+    return g.adjacency(trade_edges(t.spark, t.sf_dir))
+
+
+@query("trade_laplacian", f"WITH {_TRADE}, {_SYM} {_LAPLACIAN}")
+def _(t):
+    return g.laplacian(trade_edges(t.spark, t.sf_dir))
+
+
+@query("trade_normalised_edges", f"WITH {_TRADE}, {NODES}, {_LOOPS} {_NORMALISED}")
+def _(t):
+    return g.normalised_edges(trade_edges(t.spark, t.sf_dir)).select("window_id", "src_ip", "dst_ip", "n", *rounded("norm"))
