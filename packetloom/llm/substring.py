@@ -219,6 +219,8 @@ def remove_repeats(docs: DataFrame, store: Store) -> DataFrame:
         .where("n > 1")
         .withColumnRenamed("digest", "_digest")
     )
+    # stored, so that both sides of the join are shuffled for it and a hot digest can be split
+    whole = store.save(whole, "whole-texts")
     copies = store.save(
         scanned.select("doc_id", "_key", "digest")
         .join(whole, F.col("digest") == F.col("_digest"))
@@ -234,6 +236,7 @@ def remove_repeats(docs: DataFrame, store: Store) -> DataFrame:
         .where("places > 1")
         .select(F.col("minimiser").alias("_m"), F.ceil(F.col("n") / BUCKET_WINDOWS).cast("int").alias("shards"))
     )
+    shared = store.save(shared, "shared-minimisers")  # as above, for a hot minimiser
     candidates = runs.join(shared, runs["minimiser"] == shared["_m"]).select(
         "doc_id", "_key", "minimiser", "start", "windows", "shards"
     )
