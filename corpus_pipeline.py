@@ -12,7 +12,7 @@ from packetloom.store import Store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: what has no letter, and what no known language explains better than chance."""
+    """Goes: what has no letter, and what no known language holds about as well as its own texts."""
     filters = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), Store(spark))
     return langid.keep_identified(docs, filters)
 

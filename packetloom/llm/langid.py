@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ SHARE = 1e-4
 HASHES = 4
 SLOTS_PER_GRAM = 8  # slots per n-gram and language at least
 UNKNOWN = "und"
+LOW, MARGIN = 0.005, 0.9  # a text is told from junk at MARGIN times the quantile LOW of the shares of its language's texts
+ACCURACY = 10_000
 BLOCK = 1 << 18
 
 
@@ -101,6 +103,7 @@ class LanguageFilter:
     languages: list[str]
     slots: np.ndarray  # one mask per slot; their number is a power of two
     chance: np.ndarray  # per language: the probability that its bit comes back for an n-gram it does not hold
+    least: np.ndarray | None = None  # per language: the share below which a text is none of its texts
 
     def _slots_of(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         step = keys >> np.uint64(32) | np.uint64(1)
@@ -117,19 +120,30 @@ class LanguageFilter:
             found &= self.slots[slot.astype(np.int64)]
         return found
 
-    def score(self, text: str | None) -> tuple[str, float]:
+    def shares(self, text: str | None) -> np.ndarray | None:
+        """Per language the share of the n-grams it holds, less what comes back by chance; None without a letter."""
         if not text or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
+            return None
         hits, total = np.zeros(len(self.languages)), 0
         for _, keys in grams(text):
             found = self.look_up(keys)
             total += len(keys)
             hits += [np.count_nonzero(found >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))]
-        share = np.clip((hits / max(total, 1) - self.chance) / (1 - self.chance), 0, 1)
+        return np.clip((hits / max(total, 1) - self.chance) / (1 - self.chance), 0, 1)
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        share = self.shares(text)
+        if share is None:
+            return UNKNOWN, 0.0
         best = int(np.argmax(share))  # of equal ones the first in the order of names
         rest = share.sum()
         return self.languages[best], float(share[best] / rest) if rest else 1 / len(share)
 
+    def told(self, text: str | None) -> bool:
+        """Whether some language holds as much of the text as of its own texts."""
+        share = self.shares(text)
+        return share is not None and bool(((share > 0) & (share >= self.least)).any())
+
 
 def fit(docs: DataFrame, store: Store) -> LanguageFilter:
     """The filter of the languages of `docs` (text, lang); at most 64 of them.
@@ -176,13 +190,35 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, filters: LanguageFilter) -> DataFrame:
-    """`docs` without the rows whose language is unknown or told no better than by chance, all columns as they were."""
+def with_least(docs: DataFrame, filters: LanguageFilter) -> LanguageFilter:
+    """`filters` with the least shares, from the documents (text, lang) of its languages; one row per language is collected."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    least = 1 / max(len(filters.languages), 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.score(t) for t in batch.column("text").to_pylist()]
-        return batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in found], pa.bool_()))
+        position = {lang: i for i, lang in enumerate(shared.value.languages)}
+        rows = []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            share = shared.value.shares(text) if lang in position else None
+            if share is not None:
+                rows.append((lang, float(share[position[lang]])))
+        arrays = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "share"])
+
+    known = docs.where("text is not null and lang is not null").select("lang", "text")
+    low = known.mapInArrow(on_slices("text", run), "lang string, share double").groupBy("lang")
+    found = dict(tuple(r) for r in low.agg(F.percentile_approx("share", F.lit(LOW), F.lit(ACCURACY))).collect())
+    return replace(filters, least=np.array([MARGIN * found.get(lang, 0.0) for lang in filters.languages]))
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilter) -> DataFrame:
+    """`docs` without the rows of which no language holds as much as of its own texts, all columns as they were.
+
+    What is asked for is absolute, so it does not depend on how many languages there are or how alike they are. Where
+    `filters` has no least shares, they come from `docs`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters if filters.least is not None else with_least(docs, filters))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([shared.value.told(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(on_slices("text", run), docs.schema)

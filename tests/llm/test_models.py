@@ -43,6 +43,19 @@ def test_languages_held_out(make_docs, store, corpus, odd_rows):
     assert langid.keep_identified(docs, filters).columns == docs.columns
 
 
+@pytest.mark.parametrize("languages", [["en"], ["en", "fr"]])
+def test_identified_with_few_languages(make_docs, store, corpus, languages):
+    clean = [r for r in corpus if r[2] in languages]
+    # letters no language puts together like this, and a text whose n-grams all languages hold
+    odd = [(100_000, "xqzjwkvxqq jzxkqwv qxjzkw vvxqzj", None), (100_001, "12 !!", None), (100_002, "the the of ing", None)]
+    twins = [(200_000 + i, "the of ing the of", lang) for i, lang in enumerate(languages * 40)]
+    docs = make_docs(clean + odd + twins)
+    filters = langid.fit(docs, store)
+    assert filters.languages == languages
+    kept = {r.doc_id for r in langid.keep_identified(docs, filters).collect()}
+    assert kept >= {r[0] for r in clean + twins} | {100_002} and not kept & {100_000, 100_001}
+
+
 def test_filter_misses_nothing_and_invents_little():
     rng = np.random.default_rng(1)
     filters = langid.LanguageFilter(["a", "b"], np.zeros(1 << 14, np.uint64), np.zeros(2))
