@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-A slot of the filter is a bit mask with one bit per language, so one look-up of an n-gram (the AND of its slots)
+A slot of the filter is a bit mask with one bit per language, in as many 64-bit words as they need, so one look-up of an n-gram (the AND of its slots)
 returns all languages that contain it. Per language the returned bits are counted; the share that a
 filter of its fill would return by chance is taken out, and the language with the largest share decides.
 
@@ -101,7 +101,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # one mask per slot; their number is a power of two
+    slots: np.ndarray  # one mask per slot, of one word or a row of words; their number is a power of two
     chance: np.ndarray  # per language: the probability that its bit comes back for an n-gram it does not hold
     least: np.ndarray | None = None  # per language: the share below which a text is none of its texts
 
@@ -115,7 +115,7 @@ class LanguageFilter:
             np.bitwise_or.at(self.slots, slot.astype(np.int64), masks)
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        found = np.full(len(keys), 2**64 - 1, np.uint64)
+        found = np.full((len(keys), *self.slots.shape[1:]), 2**64 - 1, np.uint64)
         for slot in self._slots_of(keys):
             found &= self.slots[slot.astype(np.int64)]
         return found
@@ -126,9 +126,9 @@ class LanguageFilter:
             return None
         hits, total = np.zeros(len(self.languages)), 0
         for _, keys in grams(text):
-            found = self.look_up(keys)
+            words = self.look_up(keys).reshape(len(keys), -1).T
             total += len(keys)
-            hits += [np.count_nonzero(found >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))]
+            hits += [np.count_nonzero(words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(self.languages))]
         return np.clip((hits / max(total, 1) - self.chance) / (1 - self.chance), 0, 1)
 
     def score(self, text: str | None) -> tuple[str, float]:
@@ -146,7 +146,7 @@ class LanguageFilter:
 
 
 def fit(docs: DataFrame, store: Store) -> LanguageFilter:
-    """The filter of the languages of `docs` (text, lang); at most 64 of them.
+    """The filter of the languages of `docs` (text, lang), however many.
 
     What is collected are the frequent n-grams, at most len(ORDERS) / SHARE per language.
     """
@@ -156,17 +156,19 @@ def fit(docs: DataFrame, store: Store) -> LanguageFilter:
     rows = counts.join(F.broadcast(total), (F.col("lang") == F.col("_l")) & (F.col("ord") == F.col("_o")))
     table = rows.where(F.col("n") >= F.col("of") * SHARE).select("lang", "gram").toArrow()
     languages = sorted(set(table["lang"].to_pylist()))
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask holds 64")
     position = {lang: i for i, lang in enumerate(languages)}
-    bit = np.array([position[x] for x in table["lang"].to_pylist()], np.uint64)
+    number = np.array([position[x] for x in table["lang"].to_pylist()], np.int64)
     keys = table["gram"].to_numpy().astype(np.int64).view(np.uint64)
-    most = int(np.bincount(bit.astype(np.int64), minlength=1).max()) if len(bit) else 1
+    most = int(np.bincount(number, minlength=1).max()) if len(number) else 1
     slots = 1 << math.ceil(math.log2(max(64, SLOTS_PER_GRAM * most)))
-    filters = LanguageFilter(languages, np.zeros(slots, np.uint64), np.zeros(len(languages)))
-    filters.insert(keys, np.uint64(1) << bit)
-    fill = [np.count_nonzero(filters.slots >> np.uint64(i) & np.uint64(1)) / slots for i in range(len(languages))]
-    return LanguageFilter(languages, filters.slots, np.array(fill) ** HASHES)
+    # a word after the other stands together in memory
+    filters = LanguageFilter(languages, np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64).T, np.zeros(len(languages)))
+    for word in range(filters.slots.shape[1]):
+        mine = number // 64 == word
+        one = LanguageFilter(languages, filters.slots[:, word], filters.chance)
+        one.insert(keys[mine], np.uint64(1) << (number[mine] % 64).astype(np.uint64))
+    fill = [np.count_nonzero(filters.slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / slots for i in range(len(languages))]
+    return replace(filters, chance=np.array(fill) ** HASHES)
 
 
 def identify(docs: DataFrame, filters: LanguageFilter) -> DataFrame:

@@ -65,6 +65,18 @@ def test_filter_misses_nothing_and_invents_little():
     assert np.count_nonzero(filters.look_up(others)) < 30
 
 
+def test_more_languages_than_bits_of_a_word(make_docs, store):
+    # each language has a script of its own, of four letters
+    def text(i):
+        return " ".join(chr(0x4E00 + 4 * i + k % 4) + chr(0x4E00 + 4 * i + k // 4) for k in range(16))
+
+    docs = make_docs([(i, text(i), f"l{i:03}") for i in range(130)])
+    filters = langid.fit(docs, store)
+    assert len(filters.languages) == 130
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()} == {i: f"l{i:03}" for i in range(130)}
+    assert langid.keep_identified(docs, filters).count() == 130
+
+
 def test_languages_without_training(make_docs, store):
     docs = make_docs([(1, "some text"), (2, None)])
     filters = langid.fit(docs.where("false"), store)
