@@ -1,9 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names, units and the capitalised first words of sentences become typed placeholders, so a question
-keeps its template when its parameters are changed. Windows of WINDOW template tokens are hash-joined between documents and
-benchmark items. The words behind the placeholders are the slots: along one alignment of a document
-with an item, equal slot words of the item must stand for equal words of the document.
+keeps its template when its parameters are changed. Windows of WINDOW tokens are hash-joined between documents and
+benchmark items, twice: by their words, so that every verbatim copy is found, and by their template where at least half of
+it is words. The words behind the placeholders are the slots: a window whose slots are the same words is a hit by itself;
+of the others along one alignment of a document with an item, equal slot words of the item must stand for equal words of
+the document. Characters of scripts written without spaces are tokens of their own.
 
 A filter of fixed size over the benchmark's windows is broadcast and decides which document windows are
 shuffled at all; the join that follows is exact, so a full filter costs time and no results.
@@ -11,6 +13,8 @@ shuffled at all; the join that follows is exact, so a full filter costs time and
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,7 @@ from packetloom.llm.common import mixed, on_slices, same, span_hashes, text_key
 from packetloom.store import Store
 
 WINDOW = 13
-LEAST_ITEM = 5  # tokens; a shorter item says too little to search for
+LEAST_ITEM = 5  # tokens; a shorter item has no template, only its words are searched for
 FILTER_BITS = 1 << 24
 NUMBER, NAME, UNIT, START = (np.uint64(i) for i in (1, 2, 3, 4))
 
@@ -36,6 +40,17 @@ UNITS = (
 ).split()
 
 
+# Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_UNSPACED_LEADS = re.compile(rb"[\xe0-\xe9\xef\xf0]")  # first bytes of such characters, and of some others
+
+
+def _spaced(text: bytes) -> bytes:
+    if not _UNSPACED_LEADS.search(text):
+        return text
+    return _UNSPACED.sub(r" \1 ", text.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+
+
 def _table(*ranges: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, bool)
     for first, last in ranges:
@@ -74,7 +89,7 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all texts in order: (which text, template code, hash of the word). A code below 16 is a placeholder."""
-    lines = [b" ".join(t.split()) for t in texts]
+    lines = [b" ".join(_spaced(t).split()) for t in texts]
     line = np.frombuffer(b"\n".join(lines), np.uint8)
     if not len(line):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -108,16 +123,19 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, code, word
 
 
-def windows(owner: np.ndarray, code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first token, hash) of the windows of `length` tokens of one text, at least half of them words."""
+def windows(owner: np.ndarray, code: np.ndarray, length: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first token, hash) of the windows of `length` tokens of one text, at least half of them words; with
+    `literal`, where `code` has the hashes of words, of all windows."""
     n = len(code) - length + 1
-    if n <= 0:
+    if n <= 0 or not (literal or length >= LEAST_ITEM):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.full(n, length, np.uint64)
+    value = np.full(n, length + (1 << 32) * literal, np.uint64)
     for i in range(length):
         value = value * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n]
-    literal = np.concatenate(([0], np.cumsum(code >= 16)))
-    good = (owner[:n] == owner[length - 1 :]) & (2 * (literal[length:] - literal[:n]) >= length)
+    good = owner[:n] == owner[length - 1 :]
+    if not literal:
+        words = np.concatenate(([0], np.cumsum(code >= 16)))
+        good &= 2 * (words[length:] - words[:n]) >= length
     at = np.flatnonzero(good)
     return at, mixed(value[at])
 
@@ -129,9 +147,10 @@ def _filter_slots(hashes: np.ndarray) -> list[np.ndarray]:
 _WINDOW_ROWS = "at int, hash long, kinds array<long>, slots array<long>"
 
 
-def _window_columns(at, value, first_of, owner, code, word, length):
-    kinds, slots = [], []
-    for a in at.tolist():
+def _window_columns(at, value, first_of, owner, code, word, length, literal):
+    """Of a literal window all is in the hash; it has no kinds and no slots."""
+    kinds, slots = ([[]] * len(at), [[]] * len(at)) if literal else ([], [])
+    for a in [] if literal else at.tolist():
         span = slice(a, a + length)
         placeholder = np.flatnonzero(code[span] < 16)
         kinds.append(code[span][placeholder].view(np.int64))
@@ -152,10 +171,11 @@ def _rows(batch: pa.RecordBatch, ids: list[str], lengths_of, passes) -> pa.Recor
     first_of = np.cumsum(sizes) - sizes
     parts = []
     for length in lengths_of(sizes):
-        at, value = windows(owner, code, length)
-        keep = passes(owner[at], sizes, value, length)
-        at, value = at[keep], value[keep]
-        parts.append((owner[at], _window_columns(at, value, first_of, owner, code, word, length)))
+        for literal in (False, True):
+            at, value = windows(owner, word if literal else code, length, literal)
+            keep = passes(owner[at], sizes, value, length)
+            at, value = at[keep], value[keep]
+            parts.append((owner[at], _window_columns(at, value, first_of, owner, code, word, length, literal)))
     names = [*ids, "tokens", "at", "hash", "kinds", "slots"]
     tables = [
         pa.RecordBatch.from_arrays(
@@ -167,11 +187,12 @@ def _rows(batch: pa.RecordBatch, ids: list[str], lengths_of, passes) -> pa.Recor
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """(item_id, tokens, at, hash, kinds, slots): all windows of the items (item_id, text); a short item is one window."""
+    """(item_id, tokens, at, hash, kinds, slots): all windows of the items (item_id, text), by template and by
+    words; a short item is one window."""
 
     def run(batch: pa.RecordBatch):
         def lengths(sizes):
-            return sorted({WINDOW, *(int(s) for s in sizes if LEAST_ITEM <= s < WINDOW)})
+            return sorted({WINDOW, *(int(s) for s in sizes if 0 < s < WINDOW)})
 
         def passes(rows, sizes, value, length):
             return np.ones(len(rows), bool) if length == WINDOW else sizes[rows] == length

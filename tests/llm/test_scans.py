@@ -117,6 +117,17 @@ def test_leaks(spark, make_docs, store, odd_rows):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_verbatim_copies_of_any_item_leak(spark, make_docs, store):
+    items = [*ITEMS, (6, "7 + 5"), (7, "Anna Bob Carl Dora Emil Frida Gustav Hanna Ida Jon Karl Lena Max Nora"), (8, "日本の首都はどこですか"),
+             (9, "Red apples cost two euros")]
+    rows = [
+        (1, "so " + ITEMS[4][1] + " and on"), (2, "a short item indeed"), (3, "what is 7 + 5 here"), (4, "7 + 6"),
+        (5, "with " + items[6][1] + " there"), (6, "問題。日本の首都はどこですか？答え"), (7, "日本の首都はどこだ"),
+        (8, "b) Red apples cost two euros"), (9, ITEMS[4][1].replace("18", "81")),
+    ]
+    assert leaks(spark, make_docs(rows), store, items) == [(1, 5, True), (2, 2, True), (3, 6, True), (5, 7, True), (6, 8, True), (8, 9, True)]
+
+
 def test_leaks_of_empty_tables(spark, make_docs, store):
     assert leaks(spark, make_docs([]), store) == []
     assert leaks(spark, make_docs([(1, ITEMS[0][1])]), store, []) == []
