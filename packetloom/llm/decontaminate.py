@@ -222,11 +222,12 @@ def _filter_of(found: DataFrame) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
-    """One row per document and benchmark item that share a template window with consistent slots:
-    doc_id, _key, item_id, n_windows (shared ones of the best alignment), item_windows, exact (all slots are the same words).
+    """One row per document and benchmark item that share a window of words, or a template window with consistent slots:
+    doc_id, _key, item_id, n_windows (shared ones of the best alignment), item_windows, exact (all slots of the windows
+    counted in some alignment are the same words).
 
-    Null and empty texts share nothing; an item of fewer than LEAST_ITEM tokens, or most of whose tokens are placeholders,
-    is not searched for. Repeated rows each count. Other columns are not read.
+    Null and empty texts share nothing. An item of fewer than WINDOW tokens is one window, of fewer than LEAST_ITEM
+    only by its words. Repeated rows each count. Other columns are not read.
     """
     known = store.save(benchmark_windows(items.where("text is not null")), "benchmark-windows")
     # window lengths in use: WINDOW and those of short items, fewer than WINDOW in all
@@ -257,16 +258,20 @@ def leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
         "doc_id", "_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
     )
-    aligned = pairs.groupBy("doc_id", "_key", "item_id", "shift").agg(
-        F.count_distinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    named = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-    consistent = aligned.where(F.size("pairs") == F.size(named)).select(
-        "doc_id", "_key", "item_id", "n_windows", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact")
+    other = F.when(F.exists("pairs", lambda p: p["i"] != p["d"]), F.col("pairs"))
+    aligned = pairs.withColumn("other", other).groupBy("doc_id", "_key", "item_id", "shift").agg(
+        F.count_distinct("item_at").alias("n_all"), F.count_distinct(F.when(F.col("other").isNull(), F.col("item_at"))).alias("n_same"),
+        F.array_distinct(F.flatten(F.collect_set("other"))).alias("pairs"),
     )
+    # windows of the same words are hits whatever stands around them, the others only together
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    hits = aligned.select(
+        "doc_id", "_key", "item_id", F.when(consistent, F.col("n_all")).otherwise(F.col("n_same")).alias("n_windows"),
+        (~consistent | (F.size("pairs") == 0)).alias("exact"),
+    ).where("n_windows > 0")
     sizes = known.groupBy("item_id").agg(F.count_distinct("at").alias("item_windows")).withColumnRenamed("item_id", "_item")
     return (
-        consistent.groupBy("doc_id", "_key", "item_id")
+        hits.groupBy("doc_id", "_key", "item_id")
         .agg(F.max("n_windows").alias("n_windows"), F.bool_or("exact").alias("exact"))
         .join(sizes, same(F.col("item_id"), F.col("_item")))
         .select("doc_id", "_key", "item_id", "n_windows", "item_windows", "exact")

@@ -128,6 +128,19 @@ def test_verbatim_copies_of_any_item_leak(spark, make_docs, store):
     assert leaks(spark, make_docs(rows), store, items) == [(1, 5, True), (2, 2, True), (3, 6, True), (5, 7, True), (6, 8, True), (8, 9, True)]
 
 
+def test_same_words_leak_beside_an_edited_number(spark, make_docs, store):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    words[3] = words[20] = words[50] = "5"
+    edited = [*words]
+    edited[50] = "7"
+    renamed = [w.replace("5", "7") for w in words[:48]] + words[48:50] + ["8"] + words[51:]
+    docs = make_docs([(1, " ".join(edited)), (2, " ".join(renamed)), (3, " ".join(words))])
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.exact) for r in decontaminate.leaks(docs, items, store).collect()}
+    # in the first text 5 is 5 or, in windows 38 to 47, 7; in the second windows 4 to 7 and 21 to 37 have the same words
+    assert got == {1: (48, False), 2: (21, True), 3: (48, True)}
+
+
 def test_leaks_of_empty_tables(spark, make_docs, store):
     assert leaks(spark, make_docs([]), store) == []
     assert leaks(spark, make_docs([(1, ITEMS[0][1])]), store, []) == []
