@@ -140,6 +140,18 @@ def test_perplexity_like_brute_force(spark, make_docs, store, corpus, odd_rows):
     assert np.mean(trusted) > 0.97
 
 
+def test_quantiles_of_a_class_shrink_towards_the_language(spark):
+    def bounds(n):
+        rows = [(i, "en", 8, 50.0, 3) for i in range(n)] + [(1000 + i, "en", 1024, 10.0, 10) for i in range(1000)]
+        scored = spark.createDataFrame(rows, "doc_id long, lang string, n_symbols long, perplexity double, size int")
+        labels = scored.selectExpr("doc_id", "1 quality")
+        low = {r.n_symbols: r.low for r in quality.judged(scored, labels, 0.005, 0.995).select("n_symbols", "low").distinct().collect()}
+        return low[8], low[1024]
+
+    for n in (20, 199, 200):  # no step at FEW
+        assert bounds(n) == (pytest.approx((n * 50 + quality.FEW * 10) / (n + quality.FEW)), pytest.approx(10))
+
+
 def test_quality_of_empty_tables(spark, make_docs, store):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(make_docs([]), none, store).count() == 0
