@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import arrow_tokens, bpe_replay, decontaminate, exact_dedup, langid, licenses, quality, secrets, simhash, substring
+from packetloom.llm import arrow_tokens, bpe_replay, decontaminate, exact_dedup, langid, licenses, secrets, simhash, substring, word_quality
 from packetloom.llm.common import table
 from packetloom.store import Store
 
@@ -29,7 +29,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Store(spark))
+    return word_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Store(spark))
 
 
 @query

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import langid, quality
+from packetloom.llm import langid, quality, word_quality
 from tests.llm.test_dedup import brute_copies, brute_groups
 
 SYLLABLES = {"en": "the of ing ed er on".split(), "fr": "é eau oi le que ment".split(), "de": "sch ung ü der ch ei".split()}
@@ -140,6 +140,82 @@ def test_perplexity_like_brute_force(spark, make_docs, store, corpus, odd_rows):
     assert np.mean(trusted) > 0.97
 
 
+def brute_words(texts):
+    """p(a, b, c) under the interpolated modified model of words, from dictionaries."""
+    grams = Counter()
+    for text in texts:
+        words = ["<", "<", *word_quality.words_of(text or ""), ">"]
+        grams.update(zip(words, words[1:], words[2:]))
+    tables = {3: grams, 2: Counter(g[1:] for g in grams)}
+    tables[1] = Counter(g[1:] for g in tables[2])
+    stats = {}
+    for order, table in tables.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = {k: min(max((k - (k + 1) * y * n[k + 1] / n[k]) if n[k] and n[1] else 0.5, quality.LEAST_DISCOUNT), k) for k in (1, 2, 3)}
+        total, spare = defaultdict(float), defaultdict(float)
+        for g, c in table.items():
+            total[g[:-1]] += c
+            spare[g[:-1]] += min(d[min(c, 3)], c)
+        stats[order] = d, total, spare
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(tables[1]) + 1)
+        d, total, spare = stats[len(gram)]
+        below = p(gram[1:])
+        if not total.get(gram[:-1]):
+            return below
+        c = tables[len(gram)].get(gram, 0)
+        return (c - min(d[min(c, 3)], c) if c else 0) / total[gram[:-1]] + spare[gram[:-1]] / total[gram[:-1]] * below
+
+    return p
+
+
+@pytest.mark.parametrize("hot", [word_quality.HOT_ROWS, 5])
+def test_word_perplexity_like_brute_force(spark, make_docs, store, corpus, odd_rows, monkeypatch, hot):
+    monkeypatch.setattr(word_quality, "HOT_ROWS", hot)
+    odd = [(None if d is None else 100_000 + d, t, None) for d, t in odd_rows if len(t or "") < 1000]
+    docs = make_docs(corpus + odd, clash=True)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _, _ in corpus] + [(None, 1)], "doc_id long, quality int")
+    rows = word_quality.classify(docs, labels, store).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(corpus + odd)
+    models = {}
+    for lang in ("en", "fr", quality.POOLED):
+        models[lang] = brute_words([t for i, t, x in corpus if i % 2 and lang in (x, quality.POOLED)])
+    for doc_id, text, lang in corpus[:60] + odd:
+        if lang == "de" or doc_id is None:
+            continue
+        words, r = word_quality.words_of(text or ""), got[doc_id]
+        if not words:
+            assert r.perplexity is None and not r.kept
+            continue
+        words = ["<", "<", *words, ">"]
+        logs = [math.log(models[lang or quality.POOLED](g)) for g in zip(words, words[1:], words[2:])]
+        assert r.perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
+        assert r.n_symbols == len(logs) and r.kept == (r.low <= r.perplexity <= r.high)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "абвгдежзиклмнопр"])
+def test_shuffled_words_are_told_from_text(spark, make_docs, store, letters):
+    """In any script, words that follow each other in no trusted text are less likely."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices(letters, k=5)) for _ in range(200)]
+    text = [" ".join(words[(start + i) % 200] for i in range(40)) for start in rng.choices(range(200), k=300)]
+    mixed = [" ".join(rng.sample(t.split(), 40)) for t in text[:20]]
+    docs = make_docs([*enumerate(text), *enumerate(mixed, 1000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in word_quality.classify(docs, labels, store).collect()}
+    assert np.mean([kept[i] for i in range(300)]) > 0.95 and not any(kept[1000 + i] for i in range(20))
+
+
+def test_word_quality_of_empty_tables(spark, make_docs, store):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert word_quality.classify(make_docs([]), none, store).count() == 0
+    assert [r.kept for r in word_quality.classify(make_docs([(1, "text"), (2, None)]), none, store).collect()] == [False, False]
+
+
 def test_quantiles_of_a_class_shrink_towards_the_language(spark):
     def bounds(n):
         rows = [(i, "en", 8, 50.0, 3) for i in range(n)] + [(1000 + i, "en", 1024, 10.0, 10) for i in range(1000)]
