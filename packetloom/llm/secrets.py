@@ -2,8 +2,8 @@
 
 Strong patterns are reported wherever they match. Weak candidates - a bare identifier, a long opaque string
 or a service address, none of which means anything alone - are reported only when complementary parts
-stand close together: an interval join on (document, cell of SCOPE code points) brings each opaque string together
-with the identifiers and addresses whose distance is at most SCOPE.
+stand close together: an interval join on (document, cell of SCOPE code points) brings each secret - an opaque string or
+a strong match that is no access key - together with the identifiers and addresses whose distance is at most SCOPE.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
+SECRETS, PARTNERS = ("opaque", "assign", "hex"), ("identifier", "endpoint", "access")
 
 # Parts that need each other. An opaque string has digits, small and capital letters; an identifier is
 # a user or client name given by an assignment; an endpoint is a URL with a host or a host with a port.
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 IDENTIFIER = re.compile(
     r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
     re.ASCII | re.IGNORECASE,
@@ -81,15 +82,15 @@ def _find(batch: pa.RecordBatch) -> pa.RecordBatch:
 def linked(parts: DataFrame) -> DataFrame:
     """Of parts (doc_id, _key, kind, begin, stop): the weak ones that complete a credential.
 
-    An opaque string completes one with an identifier, an endpoint or a strong access key within SCOPE; then both sides
-    count. A part is filed in every cell it touches, an opaque string looks one cell further on either side.
+    A secret, opaque, assigned or hex, completes one with an identifier, an endpoint or a strong access key within SCOPE; then
+    both sides count. A part is filed in every cell it touches, a secret looks one cell further on either side.
     """
     first, last = F.floor(F.col("begin") / SCOPE), F.floor((F.col("stop") - 1) / SCOPE)
-    filed = parts.where("kind in ('identifier', 'endpoint', 'access')").select(
+    filed = parts.where(F.col("kind").isin(*PARTNERS)).select(
         F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), F.col("kind").alias("kind2"),
         F.col("begin").alias("begin2"), F.col("stop").alias("stop2"), F.explode(F.sequence(first, last)).alias("_cell"),
     )
-    looking = parts.where("kind = 'opaque'").select("*", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
+    looking = parts.where(F.col("kind").isin(*SECRETS)).select("*", F.explode(F.sequence(first - 1, last + 1)).alias("cell"))
     gap = F.greatest(F.col("begin") - F.col("stop2"), F.col("begin2") - F.col("stop"))
     pairs = looking.join(
         filed,
@@ -97,7 +98,7 @@ def linked(parts: DataFrame) -> DataFrame:
         & (gap >= 0) & (gap <= SCOPE),
     )
     both = F.array(F.struct("kind", "begin", "stop"), F.struct(F.col("kind2").alias("kind"), F.col("begin2").alias("begin"), F.col("stop2").alias("stop")))
-    return pairs.select("doc_id", "_key", F.inline(both)).where("kind <> 'access'").distinct()
+    return pairs.select("doc_id", "_key", F.inline(both)).where(~F.col("kind").isin(*KINDS)).distinct()
 
 
 def find_secrets(docs: DataFrame, store: Store) -> DataFrame:
@@ -109,9 +110,10 @@ def find_secrets(docs: DataFrame, store: Store) -> DataFrame:
     found = store.save(
         rows.mapInArrow(on_slices("text", _find), f"doc_id long, _key long, strong {_SPANS}, weak {_SPANS}"), "secret-spans"
     )
-    # only documents with an opaque string have anything to link
-    opaque = found.where(F.exists("weak", lambda s: s["kind"] == "opaque")).distinct()
-    parts = opaque.select("doc_id", "_key", F.inline(F.concat("weak", F.filter("strong", lambda s: s["kind"] == "access"))))
+    # only documents with a secret and a partner have anything to link
+    parts = F.concat("weak", "strong")
+    able = found.where(F.exists(parts, lambda s: s["kind"].isin(*SECRETS)) & F.exists(parts, lambda s: s["kind"].isin(*PARTNERS)))
+    parts = able.distinct().select("doc_id", "_key", F.inline(parts))
     kept = linked(parts).groupBy("doc_id", "_key").agg(F.collect_set(F.struct("kind", "begin", "stop")).alias("kept"))
     kept = kept.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k"), "kept")
     none = F.array().cast(_SPANS)

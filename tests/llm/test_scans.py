@@ -54,6 +54,21 @@ def test_weak_parts_need_each_other(make_docs, store):
     assert got == {1: "identifier,opaque,endpoint", 2: "", 3: "", 4: "", 5: "access,opaque", 6: "opaque,endpoint"}
 
 
+def test_assigned_secrets_are_linked(make_docs, store):
+    rows = [
+        (1, f"AWS_ACCESS_KEY_ID=AKIA{'A' * 16}\nAWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        (2, "https://host.example.com/x?sig=Ab3dEf6hIj9lMn2pQr5t"),
+        (3, "username: bob password=hunter22 db.host.com:5432"),
+        (4, f"login: bob {'0f' * 12}"),
+        (5, f"password=hunter22 {'. ' * 150}username: bob"),  # too far apart
+        (6, f"password=hunter22 AKIA{'A' * 16}"),
+    ]
+    got = {d: re.sub(r":\d+:\d+", "", r.spans) for d, r in scan(make_docs(rows), store).items()}
+    assert got == {
+        1: "access,opaque", 2: "endpoint,opaque", 3: "identifier,assign,endpoint", 4: "identifier,hex", 5: "assign", 6: "assign,access",
+    }
+
+
 def test_secrets_of_an_empty_table(make_docs, store):
     assert scan(make_docs([]), store) == {}
 
