@@ -92,6 +92,44 @@ def test_licences(make_docs, odd_rows):
     ]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licences_of_several_lines(make_docs):
+    commented = "".join(f"# {line}\n" for line in MIT.splitlines())
+    notice = "This work is licensed under the\n  GNU General Public License,\n  version 3."
+    rows = [
+        (1, MIT), (2, f"first\n\n{notice}\n\nlast"), (3, f"#!/bin/x\n\n{commented}\nx = 1\n"), (4, f"first\n{notice}\n\nlast"),
+        (5, "int x;\n// Licensed under the\n// MIT License.\nint y;"), (6, f"a\n\n{MIT}\nb"),
+    ]
+    found = licenses.license_units(make_docs(rows, clash=True)).collect()
+    assert sorted((r.doc_id, r.unit, r.line or 0, r.license) for r in found) == [
+        (1, "document", 0, "MIT"), (1, "paragraph", 5, "MIT"), (2, "paragraph", 3, "GPL-3.0"), (3, "comment", 3, "MIT"),
+        (3, "paragraph", 7, "MIT"), (5, "comment", 2, "MIT"), (6, "paragraph", 7, "MIT"),
+    ]
+
+
 def test_licences_like_the_twin(make_docs, odd_rows):
     docs = make_docs(odd_rows + [(1001, "(c) x\nLicensed under the MIT Licence.\nAll rights reserved")])
     con = duckdb.connect()
