@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import scoring as sc
 from packetloom.operators import textsearch as ts
+from packetloom.operators.textindex import TextIndex
 from packetloom.plans.queries_flows import rounded
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
@@ -44,6 +45,56 @@ def _(t):
     return found.select("doc_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
+_INDEXED_SQL = "WITH " + search_sql("documents", "doc_id", "text", DOCUMENT_QUERY, 200) + " SELECT k AS doc_id, score, matched FROM found"
+
+
+def document_index(t) -> TextIndex:
+    """All documents in one batch."""
+
+    def build():
+        index = TextIndex(t.spark, t.store.fresh_path("text_index"), "doc_id")
+        index.add(t.raw("documents"), "text", 0)
+        return index
+
+    return t.once("text_index", build)
+
+
+def grown_index(t) -> TextIndex:
+    """The same documents added in three batches."""
+
+    def build():
+        index = TextIndex(t.spark, t.store.fresh_path("grown_text_index"), "doc_id")
+        for batch in range(3):
+            index.add(t.raw("documents").where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch), "text", batch)
+        return index
+
+    return t.once("grown_text_index", build)
+
+
+@query("indexed_search", _INDEXED_SQL)
+def _(t):
+    """The document search from the stored index: postings of matched terms are read, no text is."""
+    found = document_index(t).search(DOCUMENT_QUERY, size=200)
+    return found.select("doc_id", "score", F.array_join("matched", ",").alias("matched"))
+
+
+@query("indexed_search_grown", _INDEXED_SQL)
+def _(t):
+    """The same after documents have been added in batches."""
+    found = grown_index(t).search(DOCUMENT_QUERY, size=200)
+    return found.select("doc_id", "score", F.array_join("matched", ",").alias("matched"))
+
+
+@query(
+    "index_vocabulary",
+    r"""SELECT word AS term, count(DISTINCT doc_id) AS df FROM (
+          SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1""",
+)
+def _(t):
+    """Every word of the corpus with the number of its documents, as the index stores them."""
+    return grown_index(t)._read("vocabulary").groupBy("term").agg(F.sum("df").alias("df"))
+
+
 @query(
     "narrative_search",
     sql("cfs", "SELECT k AS cf_id, score, matched FROM found", search_sql("cfs", "cf_id", "explanation_text", NARRATIVE_QUERY, 10)),
