@@ -12,6 +12,7 @@ from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import ALERTS, FEATURES, PACKETS
 from packetloom.sources import files, sinks, testviews
+from packetloom.streaming import events as ev
 from packetloom.streaming import packets as st
 
 
@@ -170,15 +171,16 @@ def stream_run(t) -> st.StreamTables:
 
 def stream_table(t, name: str, keys: list[str] | None):
     schemas = {"results": st.RESULTS, "alerts": ALERTS}
-    schema = schemas.get(name) or st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None).schema
+    schema = schemas.get(name) or st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW).schema
     return stream_run(t).read(t.spark, name, schema, keys)
 
 
 _STREAM = """stream_flows AS (
   SELECT floor("timestamp" / 43200.0)::BIGINT AS window_id, src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS packet_count,
          sum(packet_length)::BIGINT AS total_bytes, arg_min(label, packet_index) AS label, avg(payload_length) AS mean_payload,
-         (max("timestamp") - min("timestamp")) / count(*) AS mean_iat
-  FROM packets GROUP BY ALL),
+         (max("timestamp") - min("timestamp")) / count(*) AS mean_iat, coalesce(stddev_samp(gap), 0) AS std_iat
+  FROM (SELECT *, coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY floor("timestamp" / 43200.0), src_ip, dst_ip, src_port, dst_port, protocol
+                                                              ORDER BY "timestamp", packet_index), 0) AS gap FROM packets) GROUP BY ALL),
 stream_results AS (
   SELECT window_id, count(*) AS num_flows, avg(label) AS anomaly_score FROM stream_flows GROUP BY window_id)"""
 
@@ -186,17 +188,17 @@ stream_results AS (
 @query(
     "stream_flows",
     sql("packets", """SELECT window_id, src_ip, dst_ip, src_port, dst_port, protocol, packet_count, total_bytes, label,
-         round(mean_payload, 6) AS mean_payload, round(mean_iat, 6) AS mean_iat FROM stream_flows""", _STREAM),
+         round(mean_payload, 6) AS mean_payload, round(mean_iat, 6) AS mean_iat, round(std_iat, 4) AS std_iat FROM stream_flows""", _STREAM),
 )
 def _(t):
     return stream_table(t, "flows", ["window_id", "flow_id"]).select(
-        "window_id", *st.FIVE_TUPLE, "packet_count", "total_bytes", "label", *rounded("mean_payload", "mean_iat")
+        "window_id", *st.FIVE_TUPLE, "packet_count", "total_bytes", "label", *rounded("mean_payload", "mean_iat"), *rounded("std_iat", digits=4)
     )
 
 
 @query("stream_flows_batch_twin", sql("packets", """SELECT window_id, src_ip, dst_ip, src_port, dst_port, protocol, packet_count, total_bytes, label FROM stream_flows""", _STREAM))
 def _(t):
-    flows = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None)
+    flows = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW)
     return flows.select("window_id", *st.FIVE_TUPLE, "packet_count", "total_bytes", "label")
 
 
@@ -225,7 +227,7 @@ def _(t):
 def _(t):
     """The graph model in the stream, with one and with four files per batch, against the model over the whole table: the
     same score for each window, and the same embedding for each flow, however the batches are cut."""
-    flows = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None)
+    flows = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW)
     model, scaling = EdgeModel.seeded(), Scaling.fit(flows)
 
     def score(df):
@@ -285,7 +287,7 @@ def _(t):
             st.run_available(t.spark, source, out, label_scorer, STREAM_WINDOW, watermark="1 hour")
         return out
 
-    schema = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW, watermark=None).schema
+    schema = st.window_flows(st.with_event_time(full_packets(t)), STREAM_WINDOW).schema
     flows = t.once("late_stream", run).read(t.spark, "flows", schema, ["window_id", "flow_id"])
     return flows.groupBy("window_id").agg(F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("total_bytes"))
 
@@ -329,6 +331,81 @@ def _(t):
     return kpis.select("windows", "total_flows", *rounded("mean_score", "max_score"))
 
 
+#: A packet and a label long after all others, which let the watermark pass whatever still waits.
+AFTER_ALL = 100 * 86400.0
+
+
+def label_events(t):
+    """The labels as events of their own: ten minutes late for every unit of packet_index % 7."""
+    late = (F.col("packet_index") % 7) * F.lit(600.0)
+    times = t.packets.select("packet_index", "timestamp")
+    return t.labels.join(times, "packet_index").select("packet_index", F.col("label").cast("int").alias("label"), (F.col("timestamp") + late).alias("label_time"))
+
+
+@query(
+    "stream_label_join",
+    sql("labels", """SELECT p.packet_index, p.src_ip, CASE WHEN p.packet_index % 7 <= 4 THEN coalesce(l.label, 0) ELSE 0 END AS label
+                     FROM packets p LEFT JOIN packet_labels l ON p.packet_index = l.packet_index"""),
+)
+def _(t):
+    """Two streams joined: labels up to 45 minutes late count, later and missing ones leave the packet at 0."""
+
+    def run():
+        root = t.store.fresh_path("label_join")
+
+        def go():
+            packets = st.packet_stream(t.spark, f"{root}/packets", max_files=2).select("packet_index", "src_ip", "event_time")
+            labels = ev.label_stream(t.spark, f"{root}/labels", max_files=3)
+            ev.run_to_end(ev.join_labels(packets, labels, "45 minutes", "40 days"), f"{root}/out", f"{root}/progress")
+
+        full_packets(t).repartitionByRange(4, "timestamp").write.json(f"{root}/packets")
+        label_events(t).repartitionByRange(4, "label_time").write.json(f"{root}/labels")
+        go()
+        end = t.packets.agg(F.max("timestamp")).first()[0] + AFTER_ALL
+        full_packets(t).limit(1).withColumns({"timestamp": F.lit(end), "packet_index": F.lit(-1).cast("long")}).write.mode("append").json(f"{root}/packets")
+        t.spark.range(1).select(F.lit(-2).cast("long").alias("packet_index"), F.lit(0).alias("label"), F.lit(end).alias("label_time")).write.mode("append").json(f"{root}/labels")
+        go()
+        return f"{root}/out"
+
+    return t.spark.read.parquet(t.once("label_join", run)).where("packet_index >= 0").select("packet_index", "src_ip", "label")
+
+
+_BURSTS = """bursts AS (
+  SELECT src_ip, count(*) AS packets, sum(packet_length)::BIGINT AS total_bytes, round(min("timestamp"), 6) AS started, round(max("timestamp"), 6) AS ended
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY src_ip ORDER BY "timestamp", packet_index) AS session FROM (
+    SELECT *, CASE WHEN "timestamp" - lag("timestamp") OVER (PARTITION BY src_ip ORDER BY "timestamp", packet_index) <= 7200 THEN 0 ELSE 1 END AS fresh FROM packets))
+  GROUP BY src_ip, session)"""
+
+
+@query("source_bursts", sql("packets", "SELECT * FROM bursts", _BURSTS))
+def _(t):
+    """Sessions of each source: packets at most two hours apart."""
+    found = ev.bursts(st.with_event_time(full_packets(t)), "2 hours", watermark=None)
+    return found.select("src_ip", "packets", "total_bytes", *rounded("started", "ended"))
+
+
+@query("stream_bursts", sql("packets", "SELECT * FROM bursts", _BURSTS))
+def _(t):
+    """The same from a stream of files, closed by a packet long after all others."""
+
+    def run():
+        root = t.store.fresh_path("bursts")
+
+        def go():
+            source = st.packet_stream(t.spark, f"{root}/in", max_files=2)
+            ev.run_to_end(ev.bursts(source, "2 hours", "40 days"), f"{root}/out", f"{root}/progress")
+
+        full_packets(t).repartitionByRange(4, "timestamp").write.json(f"{root}/in")
+        go()
+        end = t.packets.agg(F.max("timestamp")).first()[0] + AFTER_ALL
+        full_packets(t).limit(1).withColumns({"timestamp": F.lit(end), "src_ip": F.lit("end")}).write.mode("append").json(f"{root}/in")
+        go()
+        return f"{root}/out"
+
+    found = t.spark.read.parquet(t.once("stream_bursts", run)).where("src_ip <> 'end'")
+    return found.select("src_ip", "packets", "total_bytes", *rounded("started", "ended"))
+
+
 # --- end to end -----------------------------------------------------------------------------
 
 

@@ -2,8 +2,11 @@
 updated window.
 
 Windows are anchored at ``t0``. Packets go to the window of their own time, up to the watermark.
-State is one row per flow and open window; rows leave in update mode, so the last window needs no
-closing packet. Every micro-batch writes its rows into its own folder, and readers take the newest row per key.
+A window is cut into slices. State is one row per flow and open slice with the instants of its packets, which the
+watermark lets go of; so late packets still find their place in order, and the packets of a flood are spread over
+slices. Rows leave in update mode, so the last window needs no closing packet. The slices of a flow are joined up in time
+order where a window is processed. Every micro-batch writes its rows into its own folder, and readers take the
+newest row per key.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +30,7 @@ from packetloom.sources.sinks import append, latest
 
 FIVE_TUPLE = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 ALERT_SCORE, TOP_SCORE, TOP_SIZE = 0.5, 0.7, 5  # fixed values
+SLICES = 16  # parts of a window
 
 
 def packet_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
@@ -49,39 +53,89 @@ def with_event_time(packets: DataFrame) -> DataFrame:
     )
 
 
-def window_flows(packets: DataFrame, size: float, t0: float = 0.0, watermark: str | None = "10 minutes") -> DataFrame:
-    """Flow rows per (window, 5-tuple): packets, bytes, label of the first packet, mean payload and
-    mean gap. Works on a stream and, with ``watermark=None``, on a table."""
+def _slice_length(size_us: int) -> int:
+    """A window in up to SLICES equal parts of whole microseconds."""
+    return size_us // next(n for n in range(SLICES, 0, -1) if size_us % n == 0)
+
+
+def slice_flows(packets: DataFrame, size: float, t0: float = 0.0, watermark: str | None = "10 minutes") -> DataFrame:
+    """What one slice of a window says about a flow: counts, label of the first packet, first and last instant and the
+    squared gaps between the packets in time order. Works on a stream and, with ``watermark=None``, on a table."""
     size_us, t0_us = round(size * 1e6), round(t0 * 1e6)
+    slice_us = _slice_length(size_us)
     timed = packets.withWatermark("event_time", watermark) if watermark else packets
-    window = F.window("event_time", f"{size_us} microseconds", startTime=f"{t0_us % size_us} microseconds")
-    n = F.col("packet_count")
-    start_us = F.unix_micros(F.col("window.start"))
+    cut = F.window("event_time", f"{slice_us} microseconds", startTime=f"{t0_us % slice_us} microseconds")
+    order = F.struct("timestamp", "packet_index")
+    # a gap between packets of one instant is 0, so each instant is kept once
+    instants = F.sort_array(F.collect_set("timestamp"))
+    gaps = F.zip_with(F.slice("_at", F.lit(2), F.size("_at")), F.slice("_at", F.lit(1), F.size("_at") - 1), lambda b, a: (b - a) * (b - a))
+    start_us = F.unix_micros(F.col("window.start")) - F.lit(t0_us)
+    window_id = F.floor(start_us / F.lit(size_us)).cast("long")
     return (
-        timed.groupBy(window, *FIVE_TUPLE)
+        timed.groupBy(cut, *FIVE_TUPLE)
         .agg(
             F.count("*").alias("packet_count"),
             F.sum(F.coalesce("packet_length", F.lit(0))).alias("total_bytes"),
-            F.sum(F.coalesce("payload_length", F.lit(0))).alias("_payload"),
-            F.min_by(F.coalesce("label", F.lit(0)), F.struct("timestamp", "packet_index")).alias("label"),
-            F.min("timestamp").alias("_first"),
-            F.max("timestamp").alias("_last"),
+            F.sum(F.coalesce("payload_length", F.lit(0))).alias("payload"),
+            F.min_by(F.coalesce("label", F.lit(0)), order).alias("label"),
+            instants.alias("_at"),
         )
         .select(
-            F.floor((start_us - F.lit(t0_us)) / F.lit(size_us)).cast("long").alias("window_id"),
-            (start_us / F.lit(1e6)).alias("window_start"),
+            window_id.alias("window_id"),
+            ((window_id * F.lit(size_us) + F.lit(t0_us)) / F.lit(1e6)).alias("window_start"),
+            F.floor((start_us % F.lit(size_us) + F.lit(size_us)) % F.lit(size_us) / F.lit(slice_us)).cast("int").alias("slice"),
             *FIVE_TUPLE,
-            n,
+            "packet_count",
             "total_bytes",
-            (F.col("_payload") / n).alias("mean_payload"),
-            ((F.col("_last") - F.col("_first")) / n).alias("mean_iat"),
-            F.lit(0.0).alias("std_iat"),
+            "payload",
             "label",
+            F.element_at("_at", 1).alias("first"),
+            F.element_at("_at", -1).alias("last"),
+            F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x).alias("gap2"),
         )
         .withColumn("flow_id", stream_flow_id())
     )
 
 
+def join_slices(slices: DataFrame) -> DataFrame:
+    """Flow rows per (window, 5-tuple): packets, bytes, label of the first packet, mean payload, mean and deviation of the
+    gaps between packets (the first packet's gap is 0). A flow has at most SLICES rows here."""
+    group = ["window_id", "flow_id"]
+    between = F.col("first") - F.lag("last").over(Window.partitionBy(*group).orderBy("slice"))
+    n = F.col("packet_count")
+    joined = (
+        slices.withColumn("_between", F.coalesce(between, F.lit(0.0)))
+        .groupBy(*group, "window_start", *FIVE_TUPLE)
+        .agg(
+            F.sum("packet_count").alias("packet_count"),
+            F.sum("total_bytes").alias("total_bytes"),
+            F.sum("payload").alias("_payload"),
+            F.min_by("label", "slice").alias("label"),
+            (F.max("last") - F.min("first")).alias("_length"),
+            F.sum(F.col("gap2") + F.col("_between") * F.col("_between")).alias("_gap2"),
+        )
+        .withColumn("mean_iat", F.col("_length") / n)
+    )
+    variance = (F.col("_gap2") - n * F.col("mean_iat") * F.col("mean_iat")) / F.greatest(n - 1, F.lit(1))
+    return joined.select(
+        "window_id",
+        "window_start",
+        *FIVE_TUPLE,
+        n,
+        "total_bytes",
+        (F.col("_payload") / n).alias("mean_payload"),
+        "mean_iat",
+        F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("std_iat"),
+        "label",
+        "flow_id",
+    )
+
+
+def window_flows(packets: DataFrame, size: float, t0: float = 0.0) -> DataFrame:
+    """The flows of a table of packets, as the stream makes them."""
+    return join_slices(slice_flows(packets, size, t0, watermark=None))
+
+
 @dataclass
 class StreamTables:
     """Folders of the tables a run writes."""
@@ -128,7 +182,7 @@ TOP_FLOWS = T.StructType(
 def window_processor(
     spark: SparkSession,
     tables: StreamTables,
-    flow_schema: T.StructType,
+    slice_schema: T.StructType,
     score: Callable[[DataFrame], DataFrame],
     alert_score: float = ALERT_SCORE,
     embed: Callable[[DataFrame], DataFrame] = feature_embeddings,
@@ -137,18 +191,19 @@ def window_processor(
     ``score`` and ``embed`` should bring fitted scales along (``Scaling``)."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        append(batch, tables.path("flows"), batch_id)
-        fresh = spark.read.schema(flow_schema).parquet(f"{tables.path('flows')}/batch_id={batch_id}")
+        append(batch, tables.path("slices"), batch_id)
+        fresh = spark.read.schema(slice_schema).parquet(f"{tables.path('slices')}/batch_id={batch_id}")
         if fresh.isEmpty():
             return
         touched = fresh.select("window_id").distinct()
         oldest = fresh.agg(F.min("window_id")).first()[0]
         # only rows of windows touched now; files with older windows are skipped by their statistics
-        typed = T.StructType([*flow_schema.fields, T.StructField("batch_id", T.LongType())])
-        versions = spark.read.schema(typed).parquet(tables.path("flows")).where(F.col("window_id") >= oldest)
-        flows = latest(
-            versions.join(touched, "window_id", "left_semi"), ["window_id", "flow_id"], "batch_id"
-        ).select(*flow_schema.names)
+        typed = T.StructType([*slice_schema.fields, T.StructField("batch_id", T.LongType())])
+        versions = spark.read.schema(typed).parquet(tables.path("slices")).where(F.col("window_id") >= oldest)
+        newest = latest(versions.join(touched, "window_id", "left_semi"), ["window_id", "flow_id", "slice"], "batch_id")
+        flows = join_slices(newest)
+        append(flows, tables.path("flows"), batch_id)
+        flows = spark.read.schema(flows.schema).parquet(f"{tables.path('flows')}/batch_id={batch_id}")
         scores = score(flows).select("flow_id", "window_id", "prediction_score", "prediction")
         append(scores, tables.path("scores"), batch_id)
         scores = spark.read.schema(scores.schema).parquet(f"{tables.path('scores')}/batch_id={batch_id}")
@@ -188,12 +243,12 @@ def run_available(
     embed: Callable[[DataFrame], DataFrame] = feature_embeddings,
 ) -> StreamTables:
     """Takes in all files there are, then stops; started again, it goes on where it stopped."""
-    flows = window_flows(packets, size, t0, watermark)
+    slices = slice_flows(packets, size, t0, watermark)
     query = (
-        flows.writeStream.outputMode("update")
+        slices.writeStream.outputMode("update")
         .option("checkpointLocation", tables.path("_progress"))
         .trigger(availableNow=True)
-        .foreachBatch(window_processor(spark, tables, flows.schema, score, alert_score, embed))
+        .foreachBatch(window_processor(spark, tables, slices.schema, score, alert_score, embed))
         .start()
     )
     query.awaitTermination()
