@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import narrative as nv
 from packetloom.functions.vectors import l2_normalise
+from packetloom.operators.neighbours import NeighbourIndex, measured
 from packetloom.operators import similarity as si
 from packetloom.operators.incidents import incident_context
 from packetloom.plans.queries_flows import rounded
@@ -202,3 +203,35 @@ def _(t):
 )
 def _(t):
     return incident_context(t.flows, worst_flow(t.flows), t.counterfactuals)
+
+
+# --- approximate neighbours -----------------------------------------------------------------
+
+WANTED_SHARE = 0.9
+
+
+@query(
+    "approximate_neighbours",
+    sql(
+        "flows",
+        f"""SELECT 'flows' AS query_set, count(*) AS queries, true AS enough FROM flows WHERE label = 1
+            UNION ALL SELECT 'embeddings', count(*), true FROM embeddings WHERE vec_id % 100 = 0""",
+    ),
+)
+def _(t):
+    """The stored projection index asked for the five nearest normal flows of every malicious one and for the ten nearest of
+    every hundredth embedding: is the share of exact neighbours found at least 0.9?"""
+
+    def indexed(base, key):
+        index = NeighbourIndex(t.spark, t.store.fresh_path("neighbours"), key).fit(base)
+        index.add(base, 0)
+        return index
+
+    flows, vectors = t.embeddings, t.raw("embeddings")
+    normal = flows.where("label = 0")
+    by_flow = t.once("flow_neighbours", lambda: indexed(normal, "flow_id"))
+    by_vector = t.once("embedding_neighbours", lambda: indexed(vectors, "vec_id"))
+    found = measured(by_flow, flows.where("label = 1"), normal, t.store, 5).withColumn("query_set", F.lit("flows"))
+    other = measured(by_vector, vectors.where("vec_id % 100 = 0"), vectors, t.store, 10, exclude_self=True)
+    found = found.unionByName(other.withColumn("query_set", F.lit("embeddings")))
+    return found.select("query_set", "queries", (F.col("share") >= WANTED_SHARE).alias("enough"))
