@@ -125,6 +125,27 @@ def _(t):
     return t.flows.select(*FLOW_COLUMNS, *rounded("window_start", "mean_payload", "mean_iat", "std_iat"))
 
 
+@query(
+    "flow_sizes_and_ports",
+    sql(
+        "placed",
+        """SELECT window_id, src_ip, dst_ip, protocol, dst_port, min(lo) AS min_packet_size, max(hi) AS max_packet_size, count(*) AS ports, true AS near,
+                  round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0::DOUBLE AS port_entropy
+           FROM (SELECT window_id, src_ip, dst_ip, protocol, dst_port, src_port, count(*)::DOUBLE AS n, min(packet_length) AS lo, max(packet_length) AS hi
+                 FROM placed GROUP BY ALL) GROUP BY ALL""",
+    ),
+)
+def _(t):
+    """Smallest and largest packet, distinct source ports and their entropy; the sketch's estimate is within 5 % of the count."""
+    size, stride = testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE
+    key = ["window_id", *fl.FLOW_KEY]
+    wide = fl.sliding_flows(t.packets, size, stride, wide=True).select(*key, "min_packet_size", "max_packet_size", "unique_src_ports")
+    near = F.abs(F.col("unique_src_ports") - F.col("ports")) <= F.greatest(F.col("ports") * 0.05, F.lit(0.5))
+    joined = wide.join(fl.port_entropy(t.packets, size, stride), key)
+    entropy = (F.round("port_entropy", 6) + F.lit(0.0)).alias("port_entropy")
+    return joined.select(*key, "min_packet_size", "max_packet_size", "ports", near.alias("near"), entropy)
+
+
 @query(
     "snapshot_flows",
     sql(

@@ -159,14 +159,44 @@ def test_splits(spark):
     assert [got[i] for i in (0, 1, 2, 4, 5, 6, 7, 8, 9)] == ["train"] * 6 + ["val"] + ["test"] * 2
 
 
-def test_a_flood_gets_narrower_slices(make_packets, monkeypatch):
-    """One flow holds nine packets in ten; its slices follow its density and the result stays the same."""
-    from packetloom.operators import flows as fl
+def flood(make_packets):
+    """One flow holds nine packets in ten."""
+    return make_packets([(i * 0.01, "a", "b") for i in range(9000)] + [(i * 0.09, f"c{i % 7}", "b") for i in range(1000)])
 
-    rows = [(i * 0.01, "a", "b") for i in range(900)] + [(i * 0.09, f"c{i % 7}", "b") for i in range(100)]
-    packets = make_packets(rows)
+
+def test_packets_are_read_and_shuffled_once(make_packets, tmp_path, spark, capsys):
+    make_packets([(float(i), "a", "b") for i in range(50)]).write.parquet(str(tmp_path / "p"))
+    fl.sliding_flows(spark.read.parquet(str(tmp_path / "p")), 4.0, 2.0).explain("formatted")
+    plan = capsys.readouterr().out
+    # the shuffles: packets to slices, slices to windows
+    assert plan.count(") Scan parquet") == 1 and plan.count(") Exchange") == 2
+
+
+def test_a_flood_is_spread(make_packets, spark):
+    """No task of the first aggregate gets more than its share of the flow with nine packets in ten."""
+    packets = flood(make_packets)
+    windows = win.SlidingWindows.over(win.time_bounds(packets), 60.0, 30.0)
+    spanned = win.sliding_span(fl.prepare_packets(packets), windows).withColumn("_slice", F.floor(F.col("timestamp") / (30.0 / fl.SPLITS)))
+    slices = fl._slices(spanned.repartition(16, *fl.FLOW_KEY, "_slice"), [*fl.FLOW_KEY, "first_window", "last_window", "_slice"], {}, {})
+    held = [r.n for r in slices.groupBy(F.spark_partition_id()).agg(F.sum("_n").alias("n")).collect()]
+    assert len(held) == 16 and max(held) < 2 * sum(held) / 16
+
+
+@pytest.mark.parametrize("stride", [2.0, 0.5])
+def test_joined_slices_make_the_same_flows(make_packets, monkeypatch, stride):
+    """With and without the step that joins slices before they go to their windows."""
+    packets = flood(make_packets).where("packet_index % 7 = 0")
     key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
-    wide = key(fl.sliding_flows(packets, 4.0, 2.0))
-    monkeypatch.setattr(fl, "SLICE_PACKETS", 5)
-    assert fl._slices_per(packets, fl.FLOW_KEY, 0.0, 2.0) == 16 * 3
-    assert key(fl.sliding_flows(packets, 4.0, 2.0)) == wide
+    monkeypatch.setattr(fl, "MANY_WINDOWS", 0)
+    joined = key(fl.sliding_flows(packets, 4.0, stride))
+    monkeypatch.setattr(fl, "MANY_WINDOWS", 100)
+    assert key(fl.sliding_flows(packets, 4.0, stride, splits=3)) == joined
+
+
+def test_sizes_and_ports(make_packets):
+    rows = [(0, "a", "b", 10), (1, "a", "b", 90), (2, "a", "b", 20), (9, "c", "b", 1), (10, "c", "b", 2)]
+    packets = make_packets(rows).withColumn("src_port", F.when(F.col("packet_index") < 3, F.col("packet_index") % 2))
+    wide = {(r.window_id, r.src_ip): (r.min_packet_size, r.max_packet_size, r.unique_src_ports) for r in fl.sliding_flows(packets, 4, 2, wide=True).collect()}
+    assert wide[0, "a"] == (52, 132, 2) and wide[1, "a"] == (62, 62, 1) and wide[3, "c"] == (43, 43, 0)
+    got = {(r.window_id, r.src_ip): (r.ports, round(r.port_entropy, 9)) for r in fl.port_entropy(packets, 4, 2).collect()}
+    assert got == {(0, "a"): (2, round(float(-(2 / 3) * np.log2(2 / 3) - (1 / 3) * np.log2(1 / 3)), 9)), (1, "a"): (1, 0.0)}
