@@ -11,6 +11,7 @@ table says where each one starts.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -124,7 +125,8 @@ class SequenceReader:
 class PieceEncoder:
     """Encodes texts with a tokenizer of the `tokenizers` library whose pre-tokeniser is byte-level with its usual pattern.
 
-    The ids of space_pieces do not depend on their neighbours. Pieces not seen lately go to the library together.
+    The ids of space_pieces do not depend on their neighbours. Pieces not seen lately go to the library together. A text that
+    names an added token of the vocabulary goes there whole, as the token cuts it before the pattern does.
     """
 
     def __init__(self, vocabulary: str):
@@ -132,12 +134,13 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        added = sorted({token.content for token in self.tokenizer.get_added_tokens_decoder().values()})
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.dtype = np.uint32 if self.tokenizer.get_vocab_size() > 65536 else np.uint16
         self.cache = PieceCache(CACHED_PIECES)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [space_pieces(t or "") for t in texts]
+        cut = [(t, []) if t and self.added.search(t) else space_pieces(t or "") for t in texts]
         fresh = self.cache.missing(set().union(*(rest for _, rest in cut)))
         known, kind = self.cache.young, "H" if self.dtype is np.uint16 else "I"
         for piece, encoding in zip(fresh, self._library([" " + p for p in fresh])):

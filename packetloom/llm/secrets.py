@@ -33,13 +33,12 @@ SECRETS, PARTNERS = ("opaque", "assign", "hex"), ("identifier", "endpoint", "acc
 # a user or client name given by an assignment; an endpoint is a URL with a host or a host with a port.
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 IDENTIFIER = re.compile(
-    r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
+    r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""",
     re.ASCII | re.IGNORECASE,
 )
-ENDPOINT = re.compile(
-    r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])",
-    re.ASCII,
-)
+AUTHORITY = re.compile(r"://[A-Za-z0-9.-]+(?::[0-9]+)?", re.ASCII)
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+HOST_PORT = re.compile(r"(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])", re.ASCII)
 
 
 def strong(text: str) -> Iterator[tuple[str, int, int]]:
@@ -59,9 +58,31 @@ def weak(text: str) -> Iterator[tuple[str, int, int]]:
         s = m.group()
         if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s):
             yield "opaque", m.start(), m.end()
-    for kind, pattern in (("identifier", IDENTIFIER), ("endpoint", ENDPOINT)):
-        for m in pattern.finditer(text):
-            yield kind, m.start(), m.end()
+    for m in IDENTIFIER.finditer(text):
+        yield "identifier", m.start(), m.end()
+    for start, end in endpoints(text):
+        yield "endpoint", start, end
+
+
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, leftmost first and not overlapping. A scheme is looked for backwards from its '://', so that a long run of
+    letters is gone over once and not from each of its letters."""
+    found = [(m.start(), m.end()) for m in HOST_PORT.finditer(text)]
+    done = 0
+    for m in AUTHORITY.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in SCHEME:
+            start -= 1
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+        done = m.end()
+    last = 0
+    for start, end in sorted(found):
+        if start >= last:
+            yield start, end
+            last = end
 
 
 _SPANS = "array<struct<kind: string, begin: int, stop: int>>"

@@ -1,9 +1,12 @@
 """Secrets, licences, benchmark leaks."""
 
 import hashlib
+import random
 import re
+import time
 
 import duckdb
+import pytest
 
 from packetloom.llm import decontaminate, licenses, secrets
 
@@ -65,7 +68,7 @@ def test_assigned_secrets_are_linked(make_docs, store):
     ]
     got = {d: re.sub(r":\d+:\d+", "", r.spans) for d, r in scan(make_docs(rows), store).items()}
     assert got == {
-        1: "access,opaque", 2: "endpoint,opaque", 3: "identifier,assign,endpoint", 4: "identifier,hex", 5: "assign", 6: "assign,access",
+        1: "identifier,access,opaque", 2: "endpoint,opaque", 3: "identifier,assign,endpoint", 4: "identifier,hex", 5: "assign", 6: "assign,access",
     }
 
 
@@ -164,10 +167,12 @@ def test_leaks(spark, make_docs, store, odd_rows):
         (1005, ITEMS[4][1]),
     ]
     docs = make_docs(rows, clash=True)
-    assert leaks(spark, docs, store) == [(1000, 1, True), (1001, 1, False), (1003, 4, True)]
+    # the rows 100 to 139 hold item 5 word for word
+    copies = [(100 + i, 5, True) for i in range(40)]
+    assert leaks(spark, docs, store) == [*copies, (1000, 1, True), (1001, 1, False), (1003, 4, True), (1005, 5, True)]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontaminate.drop_leaks(docs, items, store)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 44
 
 
 def test_verbatim_copies_of_any_item_leak(spark, make_docs, store):
@@ -197,3 +202,43 @@ def test_same_words_leak_beside_an_edited_number(spark, make_docs, store):
 def test_leaks_of_empty_tables(spark, make_docs, store):
     assert leaks(spark, make_docs([]), store) == []
     assert leaks(spark, make_docs([(1, ITEMS[0][1])]), store, []) == []
+
+
+@pytest.mark.parametrize("unit", ["0123456789abcdef", "a.", "user", "Aa0+", "://", "a://", "password "])
+def test_secrets_of_long_texts_take_linear_time(unit):
+    text = unit * (5_000_000 // len(unit))
+    began = time.perf_counter()
+    list(secrets.strong(text)), list(secrets.weak(text))
+    assert time.perf_counter() - began < 10
+
+
+def test_endpoints():
+    text = "Xhttp://a.b:1 1+http://c git+ssh://d. ://e http://f://g db.host.com:5432 x.y:1 p://db.host.com:5432/"
+    assert [text[a:b] for a, b in secrets.endpoints(text)] == [
+        "http://a.b:1", "http://c", "git+ssh://d.", "http://f", "db.host.com:5432", "p://db.host.com:5432",
+    ]
+
+
+@pytest.mark.parametrize("text", ["POSTGRES_USER=bobby\nPOSTGRES_PASSWORD=hunter2222", "DB_USERNAME=alice\nDB_PASSWORD=hunter2222"])
+def test_names_of_env_files_are_linked(make_docs, store, text):
+    (row,) = secrets.find_secrets(make_docs([(1, text)]), store).collect()
+    assert [s.kind for s in row.weak] == ["identifier"] and [s.kind for s in row.strong] == ["assign"]
+
+
+def linked_by_hand(text):
+    """Weak parts beside a secret, by comparing every part with every other."""
+    parts = [*secrets.strong(text), *secrets.weak(text)]
+    kept = set()
+    for a in parts:
+        for b in parts:
+            if a[0] in secrets.SECRETS and b[0] in secrets.PARTNERS and 0 <= max(a[1] - b[2], b[1] - a[2]) <= secrets.SCOPE:
+                kept |= {a, b}
+    return sorted(p for p in kept if p[0] not in secrets.KINDS)
+
+
+def test_links_match_all_pairs(make_docs, store):
+    rng = random.Random(5)
+    bits = ["user=bob12 ", "password: hunter2222 ", "https://db.example.org ", "AKIA" + "A1" * 9 + " ", "deadbeef" * 4 + " ", "aB3" * 9 + " ", "word " * 30, "x" * 150 + " ", "login: é_9 "]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(150)]
+    got = {r.doc_id: sorted(tuple(s) for s in r.weak) for r in secrets.find_secrets(make_docs(rows), store).collect()}
+    assert got == {i: linked_by_hand(t) for i, t in rows}

@@ -37,7 +37,6 @@ def test_pieces_put_together_are_the_text(strange_rows):
 def test_token_files(make_docs, store, strange_rows, length, rows):
     path = tokenizers_data.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     docs = make_docs(strange_rows, clash=True).repartition(5)
     index = arrow_tokens.write_sequences(docs, store, path, length=length, rows=rows)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in arrow_tokens.read_back(index).collect())
@@ -54,6 +53,14 @@ def test_token_files(make_docs, store, strange_rows, length, rows):
     assert sorted((r[1], *r[3:]) for r in got) == sorted((d or 0, *digest(t)) for d, t in strange_rows)
 
 
+def test_an_added_token_in_a_text_is_that_token():
+    """By the library's defaults, with whatever stands around it."""
+    path = tokenizers_data.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), arrow_tokens.PieceEncoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>  x", "<|endoftext|", "a<|endoftext|>a <|endoftext|>"]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_reader_takes_any_sequence(tmp_path):
     ids = np.arange(1, 1001, dtype=np.uint16)
     with pa.OSFile(str(tmp_path / "x.arrow"), "wb") as sink:
