@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.scoring import EdgeModel, Scaling, score_edges, window_scores
 from packetloom.operators.similarity import feature_embeddings
+from packetloom.operators.windows import SlidingWindows, time_bounds
 from packetloom.plans import batch
 from packetloom.plans.queries_flows import rounded
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
 from packetloom.schemas import ALERTS, FEATURES, PACKETS
 from packetloom.sources import files, sinks, testviews
+from packetloom.sources.keyed import KeyedTable, ranges
 from packetloom.streaming import events as ev
 from packetloom.streaming import packets as st
 
@@ -87,6 +89,34 @@ def _(t):
     return sinks.upsert(base, again, ["packet_index"], "version").drop("version")
 
 
+PART_PACKETS = 500  # packets of a part of the stored table
+
+
+@query(
+    "packet_upsert_stored",
+    sql(
+        "packets",
+        f"""SELECT packet_index, src_ip, CASE WHEN packet_index // {PART_PACKETS} % 3 = 1 AND packet_index % 2 = 0 THEN 1 - label ELSE label END AS label,
+               packet_index // {PART_PACKETS} % 3 = 1 AS rewritten FROM packets""",
+    ),
+)
+def _(t):
+    """A stored table of all packets; then new labels for some packets, twice each. Only the parts that hold them are written."""
+
+    def run():
+        table = KeyedTable(t.spark, t.store.fresh_path("keyed_packets"), ["packet_index"], ranges("packet_index", PART_PACKETS))
+        table.create(t.packets.select("packet_index", "src_ip", "label", F.lit(0).alias("version")))
+        chosen = t.packets.where((F.floor(F.col("packet_index") / PART_PACKETS) % 3 == 1) & (F.col("packet_index") % 2 == 0))
+        again = chosen.select("packet_index", "src_ip", (1 - F.col("label")).alias("label"), F.lit(2).alias("version"))
+        table.upsert(again.unionByName(again.withColumns({"label": F.lit(7), "version": F.lit(1)})), "version")
+        table.vacuum()
+        return table
+
+    generation = F.regexp_extract(F.input_file_name(), "generation=([0-9]+)", 1).cast("int")
+    rows = t.once("keyed_packets", run).read()
+    return rows.select("packet_index", "src_ip", "label", (generation == 1).alias("rewritten"))
+
+
 @query(
     "flow_upsert",
     sql("flows", "SELECT flow_id, window_id, packet_count + CASE WHEN label = 1 THEN 100 ELSE 0 END AS packet_count FROM flows"),
@@ -406,6 +436,50 @@ def _(t):
     return found.select("src_ip", "packets", "total_bytes", *rounded("started", "ended"))
 
 
+@query("stream_sliding_flows", sql("flows", "SELECT window_id, src_ip, dst_ip, protocol, dst_port, packet_count, total_bytes, label FROM flows"))
+def _(t):
+    """Overlapping windows from a stream of files, by panes; closed by a packet long after all others."""
+    low, high = time_bounds(t.packets)
+    windows = SlidingWindows.over((low, high), testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE)
+
+    def run():
+        root = t.store.fresh_path("sliding_stream")
+
+        def go():
+            source = st.packet_stream(t.spark, f"{root}/in", max_files=2)
+            rows = ev.sliding_counts(source, testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE, low, "40 days")
+            ev.run_to_end(rows, f"{root}/out", f"{root}/progress")
+
+        full_packets(t).repartitionByRange(4, "timestamp").write.json(f"{root}/in")
+        go()
+        full_packets(t).limit(1).withColumns({"timestamp": F.lit(high + AFTER_ALL), "src_ip": F.lit("end")}).write.mode("append").json(f"{root}/in")
+        go()
+        return f"{root}/out"
+
+    found = t.spark.read.parquet(t.once("sliding_stream", run))
+    return found.where(F.col("window_id").between(0, windows.count - 1) & (F.col("src_ip") != "end"))
+
+
+@query("stream_progress", sql("packets", "SELECT count(*) AS input_rows, count(*) AS observed_rows, 0 AS without_address, 0 AS late_groups, true AS every_batch FROM packets"))
+def _(t):
+    """The progress rows of a run, one per micro-batch: every packet is counted once and every batch with results has its row."""
+
+    def run():
+        root = t.store.fresh_path("logged_stream")
+        full_packets(t).repartitionByRange(4, "timestamp").write.json(f"{root}/in")
+        source = ev.observed(st.packet_stream(t.spark, f"{root}/in", max_files=1))
+        out = st.StreamTables(f"{root}/out")
+        with ev.ProgressLog(t.spark, out.path("run_log")) as log:
+            st.run_available(t.spark, source, out, label_scorer, STREAM_WINDOW, watermark="40 days")
+        return out, log
+
+    out, log = t.once("logged_stream", run)
+    batches = out.read(t.spark, "results", st.RESULTS).select("batch_id").distinct().withColumn("has_results", F.lit(1))
+    rows = batches.join(log.read().withColumn("logged", F.lit(1)), "batch_id", "full_outer")
+    totals = [F.sum(c).alias(c) for c in ("input_rows", "observed_rows", "without_address", "late_groups")]
+    return rows.agg(*totals, F.bool_and(F.col("has_results").isNull() | F.col("logged").isNotNull()).alias("every_batch"))
+
+
 # --- end to end -----------------------------------------------------------------------------
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from packetloom.operators import boosting as bo
 from packetloom.operators import scoring as sc
 from packetloom.operators import textsearch as ts
 from packetloom.operators.textindex import TextIndex
@@ -225,3 +227,20 @@ def _(t):
         F.bool_and(F.abs(score - F.col("other")) < 1e-12).alias("same"),
         F.bool_and(score.between(0, 1)).alias("in_range"),
     )
+
+
+@query("boosted_classifier", sql("flows", "SELECT label, count(*) AS n, true AS same, true AS in_range, true AS stopped_early FROM flows GROUP BY label"))
+def _(t):
+    """Boosted trees with early stopping: the SQL they are exported as scores every flow like the model does."""
+    model, _ = t.once("boosted", lambda: bo.train_boosted(t.flows, t.store, trees=40))
+    scaling = sc.Scaling.fit(t.flows)
+    exported = bo.boosted_scorer(model, scaling)(t.flows).select("flow_id", "prediction_score")
+    assembled = PipelineModel([VectorAssembler(inputCols=sc.CLASSIFIER_INPUTS, outputCol="features"), model])
+    own = sc.classifier_scorer(assembled, scaling)(t.flows).select("flow_id", F.col("prediction_score").alias("other"))
+    score = F.col("prediction_score")
+    return t.flows.select("flow_id", "label").join(exported, "flow_id").join(own, "flow_id").groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.abs(score - F.col("other")) < 1e-9).alias("same"),
+        F.bool_and(score.between(0, 1)).alias("in_range"),
+        F.lit(model.getNumTrees < 40).alias("stopped_early"),
+    )
