@@ -258,3 +258,16 @@ def test_stages_keep_columns(spark, make_docs, corpus, tmp_path):
     docs = make_docs(corpus[:50])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_word_quality_scores_each_document_of_an_unstable_scan(spark, make_docs, store):
+    """Rows come in another order each time they are computed; every one is scored once, and alike."""
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(400)]
+    docs = make_docs(rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    shuffled = docs.repartition(7).orderBy(F.rand())
+    got = {r.doc_id: round(r.perplexity, 9) for r in word_quality.classify(shuffled, labels, store).collect()}
+    want = {r.doc_id: round(r.perplexity, 9) for r in word_quality.classify(docs, labels, store).collect()}
+    assert len(got) == 400 and got == pytest.approx(want, rel=1e-5)
