@@ -13,6 +13,7 @@ import tempfile
 import time
 
 from packetloom.plans import catalog
+from packetloom.plans.queries_models import document_index
 from packetloom.plans.tables import tables
 from packetloom.session import build_session
 
@@ -39,6 +40,7 @@ HEADLINE = [
     "similar_vectors",
     "counterfactual_narratives",
     "document_search",
+    "indexed_search",
     "graph_convolution",
     "edge_scores",
     "window_sequences",
@@ -63,6 +65,7 @@ def main() -> None:
         "build_packet_table": timed(lambda: derived.packets),
         "build_flow_table": timed(lambda: derived.flows),
         "build_counterfactual_table": timed(lambda: derived.counterfactuals),
+        "build_text_index": timed(lambda: document_index(derived)),
     }
     for name in HEADLINE:
         query = catalog.QUERIES[name]
