@@ -156,3 +156,29 @@ def test_spectral_measures_iterated_like_dense(make_flows, store):
 def test_spectral_values_that_do_not_converge_are_null(make_flows, store):
     row = spectral_measures(make_flows(SHAPES["random"]), store, node_cap=0, max_steps=1).first()
     assert row.residual > 1e-8 and row.spectral_radius is None
+
+
+def test_spectral_values_after_restarts(make_flows, store):
+    """Two groups that one edge joins, a chain, a long ring with shortcuts, and cycles of nearly equal radius: what a short iteration
+    does not settle. Windows of one node and of one edge have less than one basis vector to give."""
+    groups = [(2, 0, 12)] + [(2, at + a, at + b) for at in (0, 12) for a in range(12) for b in range(a + 1, 12, 3)]
+    loops = [(3, at + i, at + (i + 1) % n) for at, n in ((0, 9), (9, 10)) for i in range(n)]
+    loops += [(3, 0, 0), (3, 9, 9), (3, 5, 2), (3, 15, 12), (3, 8, 13)]
+    rows = [(0, i, i + 1) for i in range(23)] + [(1, 0, 0)] + groups + loops + [(4, 0, 1)]
+    flows = make_flows(rows)
+    dense = {r.window_id: r for r in spectral_measures(flows, store).collect()}
+    iterated = {r.window_id: r for r in spectral_measures(flows, store, node_cap=0, basis=10).collect()}
+    assert dense.keys() == iterated.keys() == set(range(5))
+    for window, r in iterated.items():
+        assert r.residual <= 1e-8
+        assert r.spectral_gap == pytest.approx(dense[window].spectral_gap, abs=1e-7)
+        assert r.spectral_radius == pytest.approx(dense[window].spectral_radius, abs=1e-6)
+
+
+def test_spectral_jobs_do_not_grow_with_windows(spark, make_flows, store):
+    def jobs(windows):
+        spark.sparkContext.setJobGroup(f"spectral {windows}", "")
+        spectral_measures(make_flows(random_edges(windows, 12, 3, 5)), store, node_cap=0, max_steps=3)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"spectral {windows}"))
+
+    assert jobs(16) <= 1.5 * jobs(1)
