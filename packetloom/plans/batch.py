@@ -95,12 +95,20 @@ def prepare_window(
 
 
 def temporal_dataset(
-    packets: DataFrame, labels: DataFrame | None, size: float, stride: float, seq_len: int = 5, seq_stride: int = 1
+    packets: DataFrame,
+    labels: DataFrame | None,
+    store: Store,
+    size: float,
+    stride: float,
+    seq_len: int = 5,
+    seq_stride: int = 1,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(edges, nodes, weighted edges with loops, sequences), normalised and ready for scoring or training."""
+    """(edges, nodes, weighted edges with loops, sequences), normalised and ready for scoring or training.
+
+    Flows and nodes are written once; scales, results and sequences are read from there."""
     labelled = fl.merge_labels(packets.drop("label"), labels) if labels is not None else packets
-    flows = sanitise_features(fl.sliding_flows(labelled, size, stride), FEATURES)
-    nodes = g.node_features(flows).select("window_id", "ip", *NODE_FEATURES)
+    flows = store.save(sanitise_features(fl.sliding_flows(labelled, size, stride), FEATURES), "dataset-flows")
+    nodes = store.save(g.node_features(flows).select("window_id", "ip", *NODE_FEATURES), "dataset-nodes")
     return (
         stats.normalise(flows, FEATURES),
         stats.normalise(nodes, NODE_FEATURES),

@@ -11,7 +11,7 @@ from packetloom.plans import batch
 from packetloom.plans.queries_flows import rounded
 from packetloom.plans.reference_sql import sql
 from packetloom.plans.registry import query
-from packetloom.schemas import ALERTS, FEATURES, PACKETS
+from packetloom.schemas import ALERTS, FEATURES, NODE_FEATURES, PACKETS
 from packetloom.sources import files, sinks, testviews
 from packetloom.sources.keyed import KeyedTable, ranges
 from packetloom.streaming import events as ev
@@ -551,6 +551,13 @@ def _(t):
     return batch.feature_report(t.flows, t.store).select("section", "item", *rounded("value"))
 
 
+def temporal_dataset(t):
+    return t.once(
+        "temporal_dataset",
+        lambda: batch.temporal_dataset(t.packets, t.labels, t.store, testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE),
+    )
+
+
 @query(
     "temporal_dataset_sizes",
     sql(
@@ -562,10 +569,60 @@ def _(t):
 )
 def _(t):
     """Labels joined, windows built, features normalised, runs of five windows formed."""
-    edges, nodes, links, sequences = batch.temporal_dataset(
-        t.packets, t.labels, testviews.WINDOW_SIZE, testviews.WINDOW_STRIDE
-    )
+    edges, nodes, links, sequences = temporal_dataset(t)
     out = edges.agg(F.count("*").alias("n")).withColumn("item", F.lit("edges"))
     for name, df, n in (("nodes", nodes, F.count("*")), ("links", links, F.sum("n")), ("sequences", sequences, F.count("*"))):
         out = out.unionByName(df.agg(n.alias("n")).withColumn("item", F.lit(name)))
     return out.select("item", "n")
+
+
+def _scaled_sql(features: list[str], table: str) -> str:
+    """Names and values of scaled features, one row each."""
+    names = ", ".join(f"'{f}'" for f in features)
+    values = ", ".join(
+        f"({f} - avg({f}) OVER ()) / (CASE WHEN stddev_pop({f}) OVER () < 1e-8 THEN 1 ELSE stddev_pop({f}) OVER () END)" for f in features
+    )
+    return f"SELECT *, [{names}] AS names, [{values}] AS scaled FROM {table}"
+
+
+@query(
+    "temporal_dataset_values",
+    sql(
+        "nodes",
+        """SELECT item, key, feature, round(value, 6) + 0.0::DOUBLE AS value FROM (
+             SELECT 'edges' AS item, concat_ws(':', window_id, src_ip, dst_ip, protocol, dst_port) AS key,
+                    unnest(names) AS feature, unnest(scaled) AS value FROM edge_values
+             UNION ALL SELECT 'edges', concat_ws(':', window_id, src_ip, dst_ip, protocol, dst_port), 'label',
+                    max(CASE WHEN packet_index % 10 <> 0 THEN label ELSE 0 END) FROM placed GROUP BY ALL
+             UNION ALL SELECT 'nodes', concat_ws(':', window_id, ip), unnest(names), unnest(scaled) FROM node_values
+             UNION ALL SELECT 'links', concat_ws(':', l.window_id, l.src_ip, l.dst_ip), 'norm',
+                    1 / sqrt(any_value(s.in_degree) + 1) * (1 / sqrt(any_value(d.in_degree) + 1)) FROM loops l
+                    JOIN nodes s ON l.window_id = s.window_id AND l.src_ip = s.ip
+                    JOIN nodes d ON l.window_id = d.window_id AND l.dst_ip = d.ip GROUP BY l.window_id, l.src_ip, l.dst_ip
+             UNION ALL SELECT 'sequences', array_to_string(ids, ':'), 'has_attack', attack FROM (
+                    SELECT attack, row_number() OVER (ORDER BY window_id) AS i,
+                           list(window_id) OVER (ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ids
+                    FROM (SELECT window_id, max(CASE WHEN packet_index % 10 <> 0 THEN label ELSE 0 END) AS attack
+                          FROM placed GROUP BY window_id)) WHERE i >= 5)""",
+        f"edge_values AS ({_scaled_sql(FEATURES, 'flows')})",
+        f"node_values AS ({_scaled_sql(NODE_FEATURES, 'nodes')})",
+        "loops AS (SELECT window_id, src_ip, dst_ip FROM flows UNION ALL SELECT window_id, ip, ip FROM nodes)",
+    ),
+)
+def _(t):
+    """Every number of the dataset in long form."""
+    edges, nodes, links, sequences = temporal_dataset(t)
+
+    def long(df, item, key, features):
+        pairs = ", ".join(f"'{f}', cast({f} AS double)" for f in features)
+        rows = df.select(F.concat_ws(":", *[F.col(c).cast("string") for c in key]).alias("key"), *features)
+        rows = rows.selectExpr("key", f"stack({len(features)}, {pairs}) AS (feature, value)")
+        return rows.select(F.lit(item).alias("item"), "key", "feature", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+    runs = sequences.withColumn("windows", F.array_join("window_ids", ":"))
+    return (
+        long(edges, "edges", ["window_id", "src_ip", "dst_ip", "protocol", "dst_port"], [*FEATURES, "label"])
+        .unionByName(long(nodes, "nodes", ["window_id", "ip"], NODE_FEATURES))
+        .unionByName(long(links, "links", ["window_id", "src_ip", "dst_ip"], ["norm"]))
+        .unionByName(long(runs, "sequences", ["windows"], ["has_attack"]))
+    )
