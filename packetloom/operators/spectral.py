@@ -196,8 +196,9 @@ def _largest(
     done: list[DataFrame] = []
     kept, steps, j = int(size * KEPT), 0, 0
     coefficients: list[DataFrame] = []
+    round_store = store.scratch("round")
     while True:
-        state, found = _extended(matrix, state, j, store)
+        state, found = _extended(matrix, state, j, round_store)
         coefficients.append(found)
         steps, j = steps + 1, j + 1
         full = j == size or steps == max_steps
@@ -220,7 +221,10 @@ def _largest(
             state = state.join(open_windows.select("window_id", "rotation"), "window_id").select(
                 "window_id", "ip", "u", F.concat(turned, F.array(F.col("basis")[size])).alias("basis")
             )
-            state, j, coefficients = store.save(state, "krylov_restart"), kept, []
+            following = store.scratch("round")
+            state, j, coefficients = following.save(state, "krylov_restart"), kept, []
+            round_store.clear()
+            round_store = following
     return reduce(DataFrame.unionByName, [d.select("window_id", "lam", "residual") for d in done])
 
 
@@ -273,14 +277,17 @@ def spectral_measures(
     adj = adjacency(flows)
     small = adj.join(sizes.where(F.col("_n") <= node_cap).select("window_id"), "window_id")
     dense = small.groupBy("window_id").applyInPandas(_dense, SCHEMA).withColumn("residual", F.lit(0.0))
-    large = store.save(sizes.where(F.col("_n") > node_cap).select("window_id"), "large_windows")
-    if large.isEmpty():
-        return dense
-    rest = store.save(
-        flows.join(large, "window_id").select("window_id", "src_ip", "dst_ip", "label", "total_bytes", "packet_count"),
-        "large_flows",
-    )
-    return dense.unionByName(_iterated(adjacency(rest), rest, store, tolerance, max_steps, basis))
+    scratch = store.scratch("spectral")
+    try:
+        large = scratch.save(sizes.where(F.col("_n") > node_cap).select("window_id"), "large_windows")
+        if large.isEmpty():
+            return dense
+        rest = flows.join(large, "window_id").select("window_id", "src_ip", "dst_ip", "label", "total_bytes", "packet_count")
+        rest = scratch.save(rest, "large_flows")
+        found = store.save(_iterated(adjacency(rest), rest, scratch, tolerance, max_steps, basis), "large_spectra")
+    finally:
+        scratch.clear()
+    return dense.unionByName(found)
 
 
 def spectral_extremes(spectra: DataFrame, top_k: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ is absent (unit tests on one machine) does the store make a folder of its own.
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ _OWN_ROOT = "spark.packetloom.store.root"
 
 
 class Store:
+    _is_scratch = False
+
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         root = root or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_ROOT, None)
@@ -39,3 +42,17 @@ class Store:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def scratch(self, name: str) -> Store:
+        """A store in a folder of its own inside this one, for tables nobody reads after ``clear``."""
+        inner = copy.copy(self)
+        inner.root = self.fresh_path(name)
+        inner._is_scratch = True
+        return inner
+
+    def clear(self) -> None:
+        """Deletes all tables of a scratch store; what is still needed must be saved elsewhere first."""
+        if not self._is_scratch:
+            raise ValueError("only a scratch store can be cleared")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 
 from packetloom.operators import graph as g
 from packetloom.operators.spectral import spectral_measures
 from packetloom.schemas import FEATURES
+from packetloom.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -178,7 +181,17 @@ def test_spectral_values_after_restarts(make_flows, store):
 def test_spectral_jobs_do_not_grow_with_windows(spark, make_flows, store):
     def jobs(windows):
         spark.sparkContext.setJobGroup(f"spectral {windows}", "")
-        spectral_measures(make_flows(random_edges(windows, 12, 3, 5)), store, node_cap=0, max_steps=3)
+        spectral_measures(make_flows(random_edges(1, 16 * windows, 4, windows)), store, node_cap=0, max_steps=3)
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"spectral {windows}"))
 
     assert jobs(16) <= 1.5 * jobs(1)
+
+
+def test_spectral_iteration_leaves_only_its_result(make_flows, spark):
+    store = Store(spark)
+    store.root = store.fresh_path("spectral-test")
+    rows = spectral_measures(make_flows(random_edges(2, 40, 9, 2)), store, node_cap=0, max_steps=5, basis=4).collect()
+    assert len(rows) == 2
+    assert [f.rsplit("-", 1)[0] for f in os.listdir(store.root)] == ["large_spectra"]
+    with pytest.raises(ValueError):
+        store.clear()
