@@ -4,8 +4,10 @@ A slot of the filter is a bit mask with one bit per language, in as many 64-bit
 returns all languages that contain it. Per language the returned bits are counted; the share that a
 filter of its fill would return by chance is taken out, and the language with the largest share decides.
 
-A language's filter holds the n-grams that make up at least SHARE of its training n-grams of that order. There are at
-most 1 / SHARE of those per order and language, whatever the corpus holds, which bounds the filter that is broadcast.
+Every n-gram of the training texts is in the filter. A language has a bit per level of SHARES: that of the first level for all
+its n-grams, that of another for those that make up at least this share of its n-grams of that order. Its share is
+the mean over its levels; with one level, an n-gram of a single mislabelled text would count like the commonest. The model, which is
+broadcast, is fitted on at most about LABELLED_CHARS code points of labelled texts per language.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from packetloom.llm.common import on_slices
 from packetloom.store import Store
 
 ORDERS = (1, 2, 3)
-SHARE = 1e-4
+SHARES = (0.0, 1e-4)
+LABELLED_CHARS = 20_000_000  # per language; of a language with more, this part of its texts, chosen by a hash of each row
 HASHES = 4
 SLOTS_PER_GRAM = 8  # slots per n-gram and language at least
 UNKNOWN = "und"
@@ -72,8 +75,17 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(lang, text) of the documents (doc_id, text, lang) to learn from: whole texts, LABELLED_CHARS per language expected at most."""
+    known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    size = known.groupBy(F.col("lang").alias("_l")).agg(F.sum(F.length("text")).alias("size"))  # one row per language
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    met = known.join(F.broadcast(size), F.col("lang") == F.col("_l"))
+    return met.where(place * F.col("size") < F.lit(float(LABELLED_CHARS << 30))).select("lang", "text")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, ord, gram, n) over documents (text, lang) that have both; added up per slice before the shuffle."""
+    """(lang, ord, gram, n) over the labelled documents; added up per slice before the shuffle."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         per: dict[tuple[str, int], list[np.ndarray]] = {}
@@ -93,8 +105,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(arrays, ["lang", "ord", "gram", "n"])
 
-    known = docs.where("text is not null and lang is not null").select("lang", "text")
-    counted = known.mapInArrow(on_slices("text", count), "lang string, ord int, gram long, n long")
+    counted = labelled(docs).mapInArrow(on_slices("text", count), "lang string, ord int, gram long, n long")
     return counted.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -102,8 +113,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 class LanguageFilter:
     languages: list[str]
     slots: np.ndarray  # one mask per slot, of one word or a row of words; their number is a power of two
-    chance: np.ndarray  # per language: the probability that its bit comes back for an n-gram it does not hold
+    chance: np.ndarray  # per bit: the probability that it comes back for an n-gram it does not stand for
     least: np.ndarray | None = None  # per language: the share below which a text is none of its texts
+    levels: int = 1  # bits of a language, one after the other
 
     def _slots_of(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         step = keys >> np.uint64(32) | np.uint64(1)
@@ -121,15 +133,15 @@ class LanguageFilter:
         return found
 
     def shares(self, text: str | None) -> np.ndarray | None:
-        """Per language the share of the n-grams it holds, less what comes back by chance; None without a letter."""
+        """Per language the share of the n-grams it holds, less what comes back by chance, as the mean of its levels; None without a letter."""
         if not text or not self.languages or not has_letter(text):
             return None
-        hits, total = np.zeros(len(self.languages)), 0
+        hits, total = np.zeros(len(self.chance)), 0
         for _, keys in grams(text):
             words = self.look_up(keys).reshape(len(keys), -1).T
             total += len(keys)
-            hits += [np.count_nonzero(words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(self.languages))]
-        return np.clip((hits / max(total, 1) - self.chance) / (1 - self.chance), 0, 1)
+            hits += [np.count_nonzero(words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(hits))]
+        return np.clip((hits / max(total, 1) - self.chance) / (1 - self.chance), 0, 1).reshape(-1, self.levels).mean(axis=1)
 
     def score(self, text: str | None) -> tuple[str, float]:
         share = self.shares(text)
@@ -146,28 +158,33 @@ class LanguageFilter:
 
 
 def fit(docs: DataFrame, store: Store) -> LanguageFilter:
-    """The filter of the languages of `docs` (text, lang), however many.
+    """The filter of the languages of `docs` (doc_id, text, lang), however many.
 
-    What is collected are the frequent n-grams, at most len(ORDERS) / SHARE per language.
+    What is collected are the distinct n-grams of the labelled texts, which LABELLED_CHARS bounds per language.
     """
     counts = store.save(gram_counts(docs), "gram-counts")
     total = counts.groupBy("lang", "ord").agg(F.sum("n").alias("of"))  # one row per language and order
     total = total.select(F.col("lang").alias("_l"), F.col("ord").alias("_o"), "of")
     rows = counts.join(F.broadcast(total), (F.col("lang") == F.col("_l")) & (F.col("ord") == F.col("_o")))
-    table = rows.where(F.col("n") >= F.col("of") * SHARE).select("lang", "gram").toArrow()
-    languages = sorted(set(table["lang"].to_pylist()))
-    position = {lang: i for i, lang in enumerate(languages)}
-    number = np.array([position[x] for x in table["lang"].to_pylist()], np.int64)
+    reached = sum((F.col("n") >= F.col("of") * share).cast("int") for share in SHARES)  # SHARES grow, so levels are nested
+    table = rows.select("lang", "gram", reached.alias("reached")).toArrow()
+    names = table["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    levels = len(SHARES)
+    position = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    number, reached = position[names.indices.to_numpy()], table["reached"].to_numpy()
     keys = table["gram"].to_numpy().astype(np.int64).view(np.uint64)
     most = int(np.bincount(number, minlength=1).max()) if len(number) else 1
-    slots = 1 << math.ceil(math.log2(max(64, SLOTS_PER_GRAM * most)))
+    slots, bits = 1 << math.ceil(math.log2(max(64, SLOTS_PER_GRAM * most))), len(languages) * levels
     # a word after the other stands together in memory
-    filters = LanguageFilter(languages, np.zeros((max(1, -(-len(languages) // 64)), slots), np.uint64).T, np.zeros(len(languages)))
-    for word in range(filters.slots.shape[1]):
-        mine = number // 64 == word
-        one = LanguageFilter(languages, filters.slots[:, word], filters.chance)
-        one.insert(keys[mine], np.uint64(1) << (number[mine] % 64).astype(np.uint64))
-    fill = [np.count_nonzero(filters.slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / slots for i in range(len(languages))]
+    filters = LanguageFilter(languages, np.zeros((max(1, -(-bits // 64)), slots), np.uint64).T, np.zeros(bits), levels=levels)
+    for level in range(levels):
+        bit = number * levels + level
+        for word in range(filters.slots.shape[1]):
+            mine = (bit // 64 == word) & (reached > level)
+            one = LanguageFilter(languages, filters.slots[:, word], filters.chance)
+            one.insert(keys[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
+    fill = [np.count_nonzero(filters.slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) / slots for i in range(bits)]
     return replace(filters, chance=np.array(fill) ** HASHES)
 
 

@@ -56,6 +56,49 @@ def test_identified_with_few_languages(make_docs, store, corpus, languages):
     assert kept >= {r[0] for r in clean + twins} | {100_002} and not kept & {100_000, 100_001}
 
 
+def plain_grams(text):
+    letters = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
+    return [letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1) if letters[i : i + n] != " "]
+
+
+def test_shares_like_sets_of_grams(make_docs, store, corpus, odd_rows):
+    """Against plain sets of n-grams; all n-grams are in the filter, also those that occur once."""
+    docs = make_docs(corpus + [(100_000 + i, prose(random.Random(i), "en", 2000), "en") for i in range(8)]
+                     + [(None if d is None else 200_000 + d, t) for d, t in odd_rows])
+    filters = langid.fit(docs, store)
+    counts, of = defaultdict(Counter), Counter()
+    for _, text, lang in docs.select("doc_id", "text", "lang").collect():
+        for gram in plain_grams(text or ""):
+            counts[lang][gram] += 1
+            of[lang, len(gram)] += 1
+    rare = sum(n < 1e-4 * of["en", len(g)] for g, n in counts["en"].items())
+    assert rare > 10
+
+    def share(text, lang):
+        grams = plain_grams(text)
+        return np.mean([[counts[lang][g] > 0, counts[lang][g] >= max(1, 1e-4 * of[lang, len(g)])] for g in grams])
+
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()}
+    texts = [(d, t) for d, t, _ in corpus] + [(None, "the xylophone of Zürich, 日本"), (None, "é"), (None, "q w x")]
+    for doc_id, text in texts:
+        want = np.array([share(text, lang) for lang in filters.languages])
+        assert np.abs(filters.shares(text) - want).max() < 0.03
+        first, second = np.sort(want)[[-1, -2]]
+        if doc_id is not None and first - second > 0.06:
+            assert found[doc_id] == filters.languages[int(want.argmax())]
+
+
+def test_labelled_texts_are_bounded_per_language(make_docs, corpus, monkeypatch):
+    docs = make_docs(corpus)
+    assert langid.labelled(docs).count() == len(corpus)
+    monkeypatch.setattr(langid, "LABELLED_CHARS", 20_000)
+    sizes = Counter()
+    for lang, text in langid.labelled(docs).collect():
+        sizes[lang] += len(text)
+    assert set(sizes) == set(SYLLABLES) and all(10_000 < n < 30_000 for n in sizes.values())
+    assert sum(len(t) for _, t, lang in corpus if lang == "en") > 30_000
+
+
 def test_filter_misses_nothing_and_invents_little():
     rng = np.random.default_rng(1)
     filters = langid.LanguageFilter(["a", "b"], np.zeros(1 << 14, np.uint64), np.zeros(2))
