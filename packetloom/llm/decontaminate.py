@@ -7,6 +7,9 @@ it is words. The words behind the placeholders are the slots: a window whose slo
 of the others along one alignment of a document with an item, equal slot words of the item must stand for equal words of
 the document. Characters of scripts written without spaces are tokens of their own.
 
+A hit of an item of fewer than LEAST_ITEM tokens is `whole` where it fills whole sentences or lines; texts are dropped for
+such an item only then, as its words alone may stand in any text.
+
 A filter of fixed size over the benchmark's windows is broadcast and decides which document windows are
 shuffled at all; the join that follows is exact, so a full filter costs time and no results.
 """
@@ -87,13 +90,18 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts in order: (which text, template code, hash of the word). A code below 16 is a placeholder."""
-    lines = [b" ".join(_spaced(t).split()) for t in texts]
-    line = np.frombuffer(b"\n".join(lines), np.uint8)
+def _joined(text: bytes) -> bytes:
+    """The words of a text, with a carriage return for a line break between them and a space for other white space."""
+    return b"\r".join(b" ".join(words) for words in map(bytes.split, _spaced(text).splitlines()) if words)
+
+
+def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts in order: (which text, template code, hash of the word, number of its sentence or line over all
+    texts). A code below 16 is a placeholder."""
+    line = np.frombuffer(b"\n".join(map(_joined, texts)), np.uint8)
     if not len(line):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    gaps = np.flatnonzero((line == 32) | (line == 10))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero((line == 32) | (line == 10) | (line == 13))
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(line)]))
     owner = np.concatenate(([0], np.cumsum(line[gaps] == 10)))
 
@@ -107,7 +115,9 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     real = first < ends
     closes = np.zeros(len(starts), bool)
     closes[filled] = _SENTENCE_END[line[ends[filled] - 1]]
-    opens = np.concatenate(([True], closes[:-1] | (owner[1:] != owner[:-1])))[real]
+    opens = np.concatenate(([True], closes[:-1] | (owner[1:] != owner[:-1])))
+    part = np.cumsum(opens | np.concatenate(([True], line[gaps] == 13)))[real]
+    opens = opens[real]
     first, owner = first[real], owner[real]
     last = last_core[ends[real] - 1] + 1
 
@@ -120,7 +130,7 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code[capital & opens] = START
     digit = (line[first] >= 48) & (line[first] <= 57)
     code[digit | _among(word, _NUMBER_HASHES)] = NUMBER
-    return owner, code, word
+    return owner, code, word, part
 
 
 def windows(owner: np.ndarray, code: np.ndarray, length: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +154,16 @@ def _filter_slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [(hashes >> np.uint64(s)) & np.uint64(FILTER_BITS - 1) for s in (0, 20, 40)]
 
 
-_WINDOW_ROWS = "at int, hash long, kinds array<long>, slots array<long>"
+def _whole(at: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows of `length` tokens begin and end with a sentence or line."""
+    new = np.concatenate(([True], part[1:] != part[:-1], [True]))[: len(part) + 1]
+    return new[at] & new[at + length]
+
 
+_WINDOW_ROWS = "at int, hash long, kinds array<long>, slots array<long>, whole boolean"
 
-def _window_columns(at, value, first_of, owner, code, word, length, literal):
+
+def _window_columns(at, value, first_of, owner, code, word, part, length, literal):
     """Of a literal window all is in the hash; it has no kinds and no slots."""
     kinds, slots = ([[]] * len(at), [[]] * len(at)) if literal else ([], [])
     for a in [] if literal else at.tolist():
@@ -160,13 +176,14 @@ def _window_columns(at, value, first_of, owner, code, word, length, literal):
         pa.array(value.view(np.int64)),
         pa.array(kinds, pa.list_(pa.int64())),
         pa.array(slots, pa.list_(pa.int64())),
+        pa.array(_whole(at, part, length)),
     )
 
 
 def _rows(batch: pa.RecordBatch, ids: list[str], lengths_of, passes) -> pa.RecordBatch:
     """Windows of the texts of a batch, of the lengths asked for, that pass."""
     texts = batch.column("text").cast(pa.binary()).to_pylist()
-    owner, code, word = template([t or b"" for t in texts])
+    owner, code, word, part = template([t or b"" for t in texts])
     sizes = np.bincount(owner, minlength=len(texts))
     first_of = np.cumsum(sizes) - sizes
     parts = []
@@ -175,8 +192,8 @@ def _rows(batch: pa.RecordBatch, ids: list[str], lengths_of, passes) -> pa.Recor
             at, value = windows(owner, word if literal else code, length, literal)
             keep = passes(owner[at], sizes, value, length)
             at, value = at[keep], value[keep]
-            parts.append((owner[at], _window_columns(at, value, first_of, owner, code, word, length, literal)))
-    names = [*ids, "tokens", "at", "hash", "kinds", "slots"]
+            parts.append((owner[at], _window_columns(at, value, first_of, owner, code, word, part, length, literal)))
+    names = [*ids, "tokens", "at", "hash", "kinds", "slots", "whole"]
     tables = [
         pa.RecordBatch.from_arrays(
             [*(batch.column(c).take(pa.array(rows)) for c in ids), pa.array(sizes[rows], pa.int32()), *columns], names
@@ -224,7 +241,7 @@ def _filter_of(found: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
     """One row per document and benchmark item that share a window of words, or a template window with consistent slots:
     doc_id, _key, item_id, n_windows (shared ones of the best alignment), item_windows, exact (all slots of the windows
-    counted in some alignment are the same words).
+    counted in some alignment are the same words), whole (a window begins and ends with a sentence or line of the document).
 
     Null and empty texts share nothing. An item of fewer than WINDOW tokens is one window, of fewer than LEAST_ITEM
     only by its words. Repeated rows each count. Other columns are not read.
@@ -255,31 +272,36 @@ def leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
     )
     # one row per place of an item; a passage many documents share is a hot key with few rows on this side
     pairs = found.join(item, (F.col("hash") == F.col("_hash")) & (F.col("kinds") == F.col("item_kinds"))).select(
-        "doc_id", "_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+        "doc_id", "_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "whole",
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"),
     )
     other = F.when(F.exists("pairs", lambda p: p["i"] != p["d"]), F.col("pairs"))
     aligned = pairs.withColumn("other", other).groupBy("doc_id", "_key", "item_id", "shift").agg(
         F.count_distinct("item_at").alias("n_all"), F.count_distinct(F.when(F.col("other").isNull(), F.col("item_at"))).alias("n_same"),
-        F.array_distinct(F.flatten(F.collect_set("other"))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set("other"))).alias("pairs"), F.bool_or("whole").alias("whole"),
     )
     # windows of the same words are hits whatever stands around them, the others only together
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
     hits = aligned.select(
         "doc_id", "_key", "item_id", F.when(consistent, F.col("n_all")).otherwise(F.col("n_same")).alias("n_windows"),
-        (~consistent | (F.size("pairs") == 0)).alias("exact"),
+        (~consistent | (F.size("pairs") == 0)).alias("exact"), "whole",
     ).where("n_windows > 0")
-    sizes = known.groupBy("item_id").agg(F.count_distinct("at").alias("item_windows")).withColumnRenamed("item_id", "_item")
+    sizes = known.groupBy("item_id").agg(F.count_distinct("at").alias("item_windows"), F.max("tokens").alias("item_tokens"))
+    sizes = sizes.withColumnRenamed("item_id", "_item")
     return (
         hits.groupBy("doc_id", "_key", "item_id")
-        .agg(F.max("n_windows").alias("n_windows"), F.bool_or("exact").alias("exact"))
+        .agg(F.max("n_windows").alias("n_windows"), F.bool_or("exact").alias("exact"), F.bool_or("whole").alias("whole"))
         .join(sizes, same(F.col("item_id"), F.col("_item")))
-        .select("doc_id", "_key", "item_id", "n_windows", "item_windows", "exact")
+        .select("doc_id", "_key", "item_id", "n_windows", "item_windows", "exact", "item_tokens", "whole")
     )
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, store: Store) -> DataFrame:
-    """`docs` without the rows that share a window with an item, all columns as they were."""
-    hit = store.save(leaks(docs, items, store).select("doc_id", "_key").distinct(), "leaking").toDF("_i", "_k")
+    """`docs` without the rows that share a window with an item, all columns as they were.
+
+    For an item of fewer than LEAST_ITEM tokens, rows go where it is whole sentences or lines of the text.
+    """
+    found = leaks(docs, items, store).where((F.col("item_tokens") >= LEAST_ITEM) | F.col("whole"))
+    hit = store.save(found.select("doc_id", "_key").distinct(), "leaking").toDF("_i", "_k")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d"), text_key().alias("_t"))
     return rows.join(hit, same(F.col("_d"), F.col("_i")) & (F.col("_t") == F.col("_k")), "left_anti").select("_row.*")

@@ -199,6 +199,93 @@ def test_same_words_leak_beside_an_edited_number(spark, make_docs, store):
     assert got == {1: (48, False), 2: (21, True), 3: (48, True)}
 
 
+def plain_template(text):
+    """(word, code) per token: the code is the word or its kind."""
+    out, opens = [], True
+    for raw in text.split():
+        word = re.sub("^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "", raw)
+        if word:
+            low = word.lower()
+            code = "<unit>" if low in decontaminate.UNITS else low
+            if word[0].isupper():
+                code = "<start>" if opens else "<name>"
+            if word[0].isdigit() or low in decontaminate.NUMBER_WORDS:
+                code = "<number>"
+            out.append((low, code))
+        opens = raw[-1] in ".!?:"
+    return out
+
+
+def plain_windows(tokens, length):
+    """(place, what must agree, slots) of the windows by words and by template."""
+    for at in range(len(tokens) - length + 1):
+        span = tokens[at : at + length]
+        yield at, ("words", *(w for w, _ in span)), []
+        slots = [w for w, c in span if c[0] == "<"]
+        if length >= decontaminate.LEAST_ITEM and 2 * (length - len(slots)) >= length:
+            yield at, ("template", *(c for _, c in span)), slots
+
+
+def brute_leaks(rows, items):
+    """All windows of all pairs of a document and an item."""
+    out = {}
+    for doc_id, text in rows:
+        for item_id, item in items:
+            doc, of = plain_template(text or ""), plain_template(item or "")
+            length = min(decontaminate.WINDOW, len(of))
+            shifts = {}
+            for at, same, slots in plain_windows(doc, length) if length else []:
+                for item_at, item_same, item_slots in plain_windows(of, length):
+                    if same == item_same:
+                        shifts.setdefault(at - item_at, []).append((item_at, list(zip(item_slots, slots))))
+            best, exact = 0, False
+            for found in shifts.values():
+                pairs = {p for _, zipped in found if any(a != b for a, b in zipped) for p in zipped}
+                fits = len(pairs) == len({a for a, _ in pairs})
+                n = len({at for at, zipped in found if fits or all(a == b for a, b in zipped)})
+                best, exact = max(best, n), exact or (n > 0 and (not fits or not pairs))
+            if best:
+                out[doc_id, item_id] = (best, exact)
+    return out
+
+
+def test_leaks_like_brute_force(spark, make_docs, store):
+    rng = random.Random(3)
+    words = "red blue apples buys sells from the market house Tom Ann Bob 3 5 7 two km kg days How has.".split()
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 3, 4, 5, 6, 8, 12, 13, 14, 20, 25, 40, 40])]
+    rows = [(1000, None), (1001, "")]
+    for i in range(160):
+        text = rng.choices(words, k=rng.randint(0, 30))
+        for _, item in rng.sample(items, 2):
+            item = item.split()
+            names = {w: rng.choice(["Tom", "Ann", "Bob"]) for w in ("Tom", "Ann", "Bob")} | {w: rng.choice("3579") for w in "357"}
+            kind = rng.random()
+            if kind < 0.5:  # other parameters
+                item = [names.get(w, w) for w in item]
+            if kind > 0.3:  # an edited word
+                item[rng.randrange(len(item))] = rng.choice(words)
+            text += item + rng.choices(words, k=3)
+        rows.append((i, rng.choice([" ", "\n", " - "]).join(text)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.exact) for r in decontaminate.leaks(make_docs(rows), table, store).collect()}
+    want = brute_leaks(rows, items)
+    assert len(want) > 200 and sum(not exact for _, exact in want.values()) >= 10
+    assert got == want
+
+
+def test_texts_go_for_a_short_item_only_where_it_stands_alone(spark, make_docs, store):
+    rows = [
+        (1, "is a short item in here"), (2, "First line.\n* short item\nlast"), (3, "So. Short item! Well"), (4, "short item"),
+        (5, "a short item\nnext"), (6, "short items"), (7, "one short\nitem two"), (8, "Short\nitem"), (9, "\n\n  short item  \n\nx"),
+        (10, "x.\r\n7 + 5 = ?\r\ny"), (11, "7 + 5 is asked"),
+    ]
+    items = spark.createDataFrame([(1, "short item"), (2, "7 + 5 = ?")], "item_id long, text string")
+    docs = make_docs(rows)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items, store).collect()} == {1, 5, 6, 7, 11}
+    hits = {r.doc_id for r in decontaminate.leaks(docs, items, store).collect()}
+    assert hits == {i for i, _ in rows} - {6}
+
+
 def test_leaks_of_empty_tables(spark, make_docs, store):
     assert leaks(spark, make_docs([]), store) == []
     assert leaks(spark, make_docs([(1, ITEMS[0][1])]), store, []) == []
