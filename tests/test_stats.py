@@ -120,3 +120,16 @@ def test_severity_assessment_skips_missing_values(spark):
     rows = [(0, *[1.0] * 5), (0, *[3.0] * 5), (1, 12.0, None, None, None, None), (1, *[None] * 5)]
     got = an.assess_severity(spark.createDataFrame(rows, f"label int, {columns}")).collect()
     assert [(r.max_z_score, r.severity) for r in got[2:]] == [(10.0, "critical"), (0.0, "low")]
+
+
+def test_class_weights_with_a_given_number_of_classes(spark):
+    """Only labels there are have a row, also where one is missing."""
+    for values, want in (([1, 1], {1: 0.5}), ([0, 1, 1, 1], {0: 2.0, 1: 4 / 6})):
+        got = {r.label: r.weight for r in stats.class_weights(labels(spark, values), classes=2).collect()}
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("values,want", [([1, 1], {1: 1.0}), ([0, 0], {0: 1.0}), ([0, 0, 0, 1], {0: 1.0, 1: 3.0})])
+def test_rows_of_one_class_keep_their_weight(spark, values, want):
+    rows = labels(spark, values)
+    assert dict(map(tuple, rows.select("label", stats.balanced_weight(rows)).distinct().collect())) == want
