@@ -32,7 +32,8 @@ class BatchResult:
 def ingest(
     packets: DataFrame, store: Store, size: float = 2.0, stride: float = 1.0, max_counterfactuals: int | None = None
 ) -> BatchResult:
-    """Everything is written once and read back by the steps after it."""
+    """Everything is written once and read back by the steps after it. Every malicious flow has a row among the
+    counterfactuals; without any normal flow it has no neighbour there."""
     clean = store.save(nonfinite_to_null(packets), "packets")
     ided = fl.with_flow_ids(fl.sliding_flows(clean, size, stride), store)
     path = write_by_window(ided, store.fresh_path("flows"))
@@ -45,7 +46,9 @@ def ingest(
         first = si.first_malicious(flows, max_counterfactuals).select("flow_id")
         asked = asked.join(first, "flow_id", "left_semi")
     found = si.nearest(asked, embeddings.where("label = 0"), store, 1)
-    cfs = store.save(si.counterfactuals(flows, found), "counterfactuals")
+    found = store.save(found, "neighbours")  # read for the flows with a neighbour and for those without
+    cfs = si.counterfactuals(flows, found)
+    cfs = store.save(cfs.unionByName(si.unmatched(asked, found, cfs)), "counterfactuals")
     return BatchResult(clean, flows, summaries, embeddings, cfs)
 
 
