@@ -50,3 +50,12 @@ def test_an_empty_index(spark, store):
     index = nb.NeighbourIndex(spark, store.fresh_path("ann")).fit(base)
     index.add(base, 0)
     assert index.search(vectors(spark, 3), 2).count() == 0
+
+
+def test_probes_are_raised_until_neighbours_without_clusters_are_found(spark, store):
+    """Vectors of 32 independent numbers have their neighbours all over the buckets."""
+    base = vectors(spark, 4000, width=32, clusters=1)
+    index = nb.NeighbourIndex(spark, store.fresh_path("ann"), tables=4, probes=1).fit(base)
+    index.add(base, 0)
+    row = nb.measured(index, base.where("flow_id like '%37'"), base, store, 10, exclude_self=True).first()
+    assert row.queries == 40 and row.share >= 0.9
