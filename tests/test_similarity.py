@@ -64,6 +64,18 @@ def test_no_base_rows(spark, store):
     assert si.nearest(v, v.limit(0), store, 2).count() == 0
 
 
+def test_vectors_without_cells_are_compared_in_a_grid(spark, store, monkeypatch):
+    """Random vectors are all about equally far apart, so bounds exclude next to nothing; no task may hold all of them."""
+    seen = []
+    monkeypatch.setattr(si, "_GRID_ROWS", (40, 80))
+    grid = si._grid_search
+    monkeypatch.setattr(si, "_grid_search", lambda *a: seen.append(a[3:]) or grid(*a))
+    q, b = data(5, 130, 32, 0), data(6, 300, 32, 0.1)
+    got = si.nearest(vectors(spark, range(130), q), vectors(spark, range(1000, 1300), b), store, 4, broadcast_values=0, cells=8, block_rows=4)
+    assert {(r["query"], r.neighbour, r["rank"]) for r in got.collect()} == {r[:2] + r[3:] for r in brute(range(130), q, range(1000, 1300), b, 4)}
+    assert len(seen) == 1
+
+
 def test_projection_has_unit_columns():
     assert np.allclose(np.linalg.norm(si.projection(), axis=0), 1)
 
