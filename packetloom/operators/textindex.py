@@ -28,7 +28,8 @@ from packetloom.operators.textsearch import B, K1, allowed_edits, pieces, query_
 SEGMENT = 4096
 BUCKETS = 16
 PREFIX = 7
-SPREAD = 1_000_000  # documents, or words of the vocabulary, per file of a bucket
+SPREAD = 1_000_000  # words of the vocabulary per file of a bucket
+SPREAD_DOCUMENTS = 50_000  # documents per file of a bucket of postings
 FIRST_SEGMENTS = 16
 MOST_EDITS = 2
 
@@ -129,10 +130,11 @@ class TextIndex:
         counted = docs.select("key", "segment", "_len", F.explode(term_counts(F.filter("_w", lambda w: w != ""))).alias("c"))
         # spread by bucket and segment: the rows of one (term, segment) meet, and those of a common term do not
         placed = counted.select("key", "segment", "_len", "c.term", "c.tf", _bucket(F.col("c.term")).alias("bucket"))
-        spread = max(1, sum(sizes.values()) // SPREAD)
+        spread = max(1, -(-sum(sizes.values()) // SPREAD_DOCUMENTS))
         placed = placed.withColumn("_spread", F.pmod(F.xxhash64("segment"), F.lit(spread)))
         postings = (
-            placed.repartition("bucket", "_spread")
+            # a number of its own, twice that of the keys: small partitions put together would leave a few tasks all the work
+            placed.repartition(2 * BUCKETS * spread, "bucket", "_spread")
             .groupBy("bucket", "_spread", "term", "segment")
             .agg(
                 F.sort_array(F.collect_list(F.struct("key", "tf", F.col("_len").alias("len")))).alias("p"),

@@ -101,3 +101,16 @@ def test_an_empty_index(spark, store):
     index = ti.TextIndex(spark, store.fresh_path("ix"), "doc_id")
     index.add(spark.createDataFrame([], "doc_id long, text string"), "text", 0)
     assert index.search("alpha beta").collect() == []
+
+
+def test_postings_of_a_common_term_are_spread_by_the_number_of_documents(spark, store, monkeypatch):
+    from packetloom.operators import textindex
+
+    monkeypatch.setattr(textindex, "SPREAD_DOCUMENTS", 10)
+    monkeypatch.setattr(textindex, "SEGMENT", 4)
+    docs = spark.createDataFrame([(i, "alpha " + "x " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    index = textindex.TextIndex(spark, store.fresh_path("spread"), "doc_id")
+    index.add(docs, "text", 0)
+    held = index._read("postings").where("term = 'alpha'")
+    assert held.selectExpr("input_file_name() AS f").distinct().count() > 1
+    assert held.selectExpr("explode(keys) AS k").distinct().count() == 60
