@@ -132,3 +132,25 @@ def test_progress_rows(spark, files, tmp_path):
     rows = {r.batch_id: r for r in log.read().collect()}
     assert sum(r.input_rows for r in rows.values()) == sum(r.observed_rows for r in rows.values()) == full.count()
     assert len(rows) >= 3 and all(r.milliseconds >= 0 for r in rows.values())
+
+
+def test_state_has_rows_of_fixed_width_and_flows_need_no_sort_aggregate(spark, files, tmp_path):
+    """Neither the state of a flow nor the newest rows grow into one large value."""
+    full, source = files
+    instants = st.flow_instants(st.with_event_time(full), 5.0, watermark=None)
+    wide = [f.name for f in instants.schema if f.dataType.typeName() in ("array", "map", "struct", "binary")]
+    plan = st.join_instants(st.newest_instants(instants.withColumn("batch_id", F.lit(0).cast("long"))))._jdf.queryExecution().toString()
+    assert not wide and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_flows_are_those_of_the_last_batch_of_their_window(spark, files, tmp_path):
+    full, source = files
+    out = st.StreamTables(str(tmp_path / "out"))
+    st.run_available(spark, st.packet_stream(spark, source), out, label_scores, 5.0)
+    assert spark.conf.get(st.STATE_PROVIDER, st.HEAP_STORE) == st.HEAP_STORE
+    batch = st.window_flows(st.with_event_time(full), 5.0)
+    got = st.newest_per_window(spark, out, "flows", batch.schema)
+    key = lambda df: sorted(map(tuple, df.select(*batch.columns[:9], "label", "flow_id").collect()))
+    assert key(got) == key(batch)
+    (metadata,) = {line for p in (tmp_path / "out" / "_progress" / "offsets").glob("0") for line in p.read_text().splitlines() if "providerClass" in line}
+    assert "RocksDB" in metadata
