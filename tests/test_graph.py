@@ -195,3 +195,13 @@ def test_spectral_iteration_leaves_only_its_result(make_flows, spark):
     assert [f.rsplit("-", 1)[0] for f in os.listdir(store.root)] == ["large_spectra"]
     with pytest.raises(ValueError):
         store.clear()
+
+
+def test_both_ends_of_an_edge_are_one_pass(spark):
+    """Edges that come from a join are worked out once, not once per end."""
+    left = spark.range(4).selectExpr("id AS k", "0 AS window_id", "'a' AS src_ip", "1 AS packet_count", "2 AS total_bytes", "1 AS label")
+    edges = left.join(spark.range(4).selectExpr("id AS k", "concat('b', id) AS dst_ip"), "k")
+    nodes = g.node_features(edges)
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r.ip: (r.bytes_sent, r.bytes_recv, r.out_degree, r.in_degree, r.malicious_out) for r in nodes.collect()}
+    assert got == {"a": (8, 0, 4, 0, 4), **{f"b{i}": (0, 2, 0, 1, 0) for i in range(4)}}
