@@ -205,3 +205,14 @@ def test_both_ends_of_an_edge_are_one_pass(spark):
     assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     got = {r.ip: (r.bytes_sent, r.bytes_recv, r.out_degree, r.in_degree, r.malicious_out) for r in nodes.collect()}
     assert got == {"a": (8, 0, 4, 0, 4), **{f"b{i}": (0, 2, 0, 1, 0) for i in range(4)}}
+
+
+def test_loops_meet_no_join_of_all_edges(spark):
+    """Edges of a node to itself add to its loop, and loops do not go through the joins of the edges."""
+    flows = spark.createDataFrame(
+        [(0, "a", "a"), (0, "a", "a"), (0, "a", "b"), (0, None, "b")], "window_id int, src_ip string, dst_ip string"
+    ).selectExpr("*", "1 AS packet_count", "1 AS total_bytes", "0 AS label")
+    out = g.normalised_edges(flows)
+    got = {(r.src_ip, r.dst_ip): (r.n, round(r.norm, 9)) for r in out.collect()}
+    assert got == {("a", "a"): (3, round(1 / 3, 9)), ("b", "b"): (1, round(1 / 3, 9)), ("a", "b"): (1, round(1 / 3, 9))}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
