@@ -4,6 +4,7 @@ A task takes its documents in blocks of BLOCK_BYTES, cuts them into words, and l
 has not met lately end to end. An inverted index leads from a merge to the positions of its token pair. The merges are
 applied in rank order, each at all its positions together, and only the neighbours of those positions get
 new entries. A word of the corpus is so merged once per block, however often it occurs, and no text is shuffled.
+The ids of a block stay in arrays; only those of one text at a time become Python objects.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import PieceCache, on_slices, per_process, space_pieces
+from packetloom.llm.common import PieceCache, distinct_pieces, gathered, on_slices, per_process, space_pieces, words_in
 
 BLOCK_BYTES = 6_000_000
-CACHED_PIECES = 400_000  # pieces whose ids a task remembers; it bounds memory and only saves work
+CACHED_WORDS = 400_000  # words whose ids a task remembers; it bounds memory and only saves work
 NONE = np.int32(2**31 - 1)
 
 
@@ -44,7 +45,7 @@ class MergeReplay:
         )
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], np.int32)
-        self.cache = PieceCache(CACHED_PIECES)
+        self.cache = PieceCache(CACHED_WORDS)
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -63,7 +64,7 @@ class MergeReplay:
         symbol[(np.cumsum(lengths) - lengths)[whole >= 0]] = whole[whole >= 0]
         n = len(symbol)
         owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        right, left = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(lengths)
         right[ends - 1], left[ends - lengths] = -1, -1
         alive = np.ones(n, bool)
@@ -127,40 +128,31 @@ class MergeReplay:
                     heapq.heappush(queue, r)
         return symbol[alive], np.add.reduceat(alive.astype(np.int64), ends - lengths)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as 32-bit integers. Each piece starts with a space that a non-space follows."""
-        words = self.words.findall("".join(pieces))
-        encoded = list(map(str.encode, words))
-        ids, counts = self.replay(encoded)
-        in_chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        last_word = np.searchsorted(in_chars, ends)
-        stops = (4 * np.cumsum(counts)[last_word]).tolist() if pieces else []
-        flat = ids.astype(np.int32).tobytes()
-        return [flat[a:b] for a, b in zip([0, *stops], stops)]
-
-    def encode(self, texts: list[str | None]):
-        """Per text: its ids as 32-bit integers in a list."""
-        new: set[str] = set()
-        heads: set[str] = set()
-        for text in texts:
-            first, rest = space_pieces(text or "")
-            new.update(rest)
-            heads.add(first)
-        fresh = self.cache.missing(new)
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each begin and end (one more than texts)."""
+        spaced, firsts, pieces, per_text = distinct_pieces(space_pieces(t or "") for t in texts)
+        words, word_stops = words_in(self.words, spaced, firsts)
+        del spaced, firsts
+        table = pa.array(words, pa.string()).dictionary_encode()
+        words = table.dictionary.to_pylist()
+        fresh = self.cache.missing(set(words))
+        ids, counts = self.replay(list(map(str.encode, fresh)))
+        flat, stops = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
         known = self.cache.young
-        known.update(zip(fresh, self._encode_pieces([" " + p for p in fresh])))
-        words = {head: list(map(str.encode, self.words.findall(head))) for head in heads}
-        ids, counts = self.replay([w for ws in words.values() for w in ws])
-        flat, at, first_ids = ids.astype(np.int32).tobytes(), 0, {}
-        stops = [0, *(4 * np.cumsum(counts)).tolist()]
-        for head, ws in words.items():
-            first_ids[head] = flat[stops[at] : stops[at + len(ws)]]
-            at += len(ws)
-        for text in texts:
-            first, rest = space_pieces(text or "")
-            yield np.frombuffer(b"".join([first_ids[first], *map(known.__getitem__, rest)]), np.int32).tolist()
+        known.update(zip(fresh, (flat[a:b] for a, b in zip([0, *stops], stops))))
+        del ids, counts, flat, stops
+        found = list(map(known.__getitem__, words))
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        flat, ends = gathered(np.frombuffer(b"".join(found), np.int32), stops, table.indices.to_numpy())
+        flat, ends = gathered(flat, ends[word_stops], pieces)
         self.cache.forget(fresh)
+        return flat, ends[np.concatenate(([0], np.cumsum(per_text)))]
+
+    def encode(self, texts: list[str | None]):
+        """Per text: its ids in a list."""
+        flat, bounds = self.encode_flat(texts)
+        for start, stop in zip(bounds.tolist(), bounds[1:].tolist()):
+            yield flat[start:stop].tolist()
 
     def decimal(self, ids: list[int]) -> bytes:
         return b",".join(map(self.digits.__getitem__, ids))
@@ -178,17 +170,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = per_process(("replay", path, pattern), lambda: MergeReplay(path, pattern))
-        columns: list[list] = [[], [], [], []]
-        for ids in codec.encode(batch.column("text").to_pylist()):
-            columns[0].append(len(ids))
-            columns[1].append(ids if keep_ids else None)
-            columns[2].append(hashlib.sha256(codec.decimal(ids)).hexdigest())
-            columns[3].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        types = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string())
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-        names = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
-        if not keep_ids:
-            del arrays[1], names[1]
+        flat, bounds = codec.encode_flat(batch.column("text").to_pylist())
+        digests: list[list[str]] = [[], []]
+        for start, stop in zip(bounds.tolist(), bounds[1:].tolist()):
+            ids = flat[start:stop].tolist()  # of one text at a time: as Python objects they take nine times the room
+            digests[0].append(hashlib.sha256(codec.decimal(ids)).hexdigest())
+            digests[1].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        arrays = [pa.array(np.diff(bounds), pa.int64()), *(pa.array(d, pa.string()) for d in digests)]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            arrays.insert(1, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)))
+            names.insert(1, "ids")
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
     middle = "ids array<int>, " if keep_ids else ""

@@ -134,3 +134,25 @@ def test_round_trip(make_docs, library, strange_rows):
 def test_round_trip_of_an_empty_table(make_docs):
     path = tokenizers_data.path("byte_bpe_multi_50k.tiktoken")
     assert bpe_replay.encode_documents(make_docs([]), path, tokenizers_data.PATTERN).count() == 0
+
+
+def test_a_block_of_ids_is_no_python_objects(spark, monkeypatch):
+    """What a task holds for a block: arrays of ids, and the pieces and ids of one text at a time as objects."""
+    import tracemalloc
+
+    class Rows:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, fn, _: fn
+
+    run = bpe_replay.encode_documents(Rows(), tokenizers_data.path("byte_bpe_multi_50k.tiktoken"), tokenizers_data.PATTERN)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfghkmnprst") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    list(run([batch.slice(0, 3)]))
+    tracemalloc.start()
+    out = list(run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = sum(sum(b.column("n_tokens").to_pylist()) for b in out)
+    assert n > 2_000_000 and peak < 18 * n  # 12 bytes an id; 26 with lists of ids
