@@ -21,17 +21,32 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import PieceCache, per_process, space_pieces
+from packetloom.llm.common import PieceCache, distinct_pieces, gathered, per_process, space_pieces, words_in
 from packetloom.store import Store
 
 LENGTH = 2048
 ROWS = 64
 END_ID = 0
 CACHED_PIECES = 800_000  # pieces whose ids a task remembers; it bounds memory and only saves work
-PENDING_BYTES = 2_000_000
+CACHED_WORDS = 400_000  # likewise, words
+PENDING_BYTES = 4_000_000
+LATIN = "\u0250"  # up to here letters, digits and white space are the same in every version of Unicode in use
+#: The usual pattern of byte-level vocabularies.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_level() -> dict[int, int]:
+    """The character by which a byte-level vocabulary writes each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -125,8 +140,9 @@ class SequenceReader:
 class PieceEncoder:
     """Encodes texts with a tokenizer of the `tokenizers` library whose pre-tokeniser is byte-level with its usual pattern.
 
-    The ids of space_pieces do not depend on their neighbours. Pieces not seen lately go to the library together. A text that
-    names an added token of the vocabulary goes there whole, as the token cuts it before the pattern does.
+    The ids of space_pieces do not depend on their neighbours. Pieces not seen lately are cut into words by that pattern, and words not
+    seen lately go to the library's model. A piece with letters beyond LATIN goes to the library uncut, so that its own
+    tables say what a letter is. A text that names an added token goes there whole, as the token cuts it before the pattern does.
     """
 
     def __init__(self, vocabulary: str):
@@ -134,27 +150,43 @@ class PieceEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         added = sorted({token.content for token in self.tokenizer.get_added_tokens_decoder().values()})
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.dtype = np.uint32 if self.tokenizer.get_vocab_size() > 65536 else np.uint16
-        self.cache = PieceCache(CACHED_PIECES)
+        self.kind = "H" if self.dtype is np.uint16 else "I"
+        self.cache, self.words = PieceCache(CACHED_PIECES), PieceCache(CACHED_WORDS)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t, []) if t and self.added.search(t) else space_pieces(t or "") for t in texts]
-        fresh = self.cache.missing(set().union(*(rest for _, rest in cut)))
-        known, kind = self.cache.young, "H" if self.dtype is np.uint16 else "I"
-        for piece, encoding in zip(fresh, self._library([" " + p for p in fresh])):
-            known[piece] = array(kind, encoding.ids).tobytes()
-        heads = self._library([first for first, _ in cut])
-        out = [
-            np.frombuffer(b"".join([array(kind, head.ids).tobytes(), *map(known.__getitem__, rest)]), self.dtype)
-            for head, (_, rest) in zip(heads, cut)
-        ]
+        spaced, firsts, index, per_text = distinct_pieces(
+            (t, []) if t and self.added.search(t) else space_pieces(t or "") for t in texts
+        )
+        fresh = self.cache.missing(set(spaced))
+        known = self.cache.young
+        others = [p for p in fresh if not p.isascii() and max(p) >= LATIN]
+        latin = list(set(fresh).difference(others))
+        known.update(zip(latin, self._by_words(latin)))
+        known.update(zip(others, self._library([" " + p for p in others])))
+        found = [*map(known.__getitem__, spaced), *self._library(firsts)]
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // np.dtype(self.dtype).itemsize
+        flat, ends = gathered(np.frombuffer(b"".join(found), self.dtype), stops, index)
         self.cache.forget(fresh)
-        return out
-
-    def _library(self, pieces: list[str]):
-        return self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return np.split(flat, ends[np.cumsum(per_text)][:-1]) if texts else []
+
+    def _by_words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that stand after a space."""
+        found, stops = words_in(_WORD, pieces, [])
+        fresh = self.words.missing(set(found))
+        known = self.words.young
+        for word in fresh:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))
+            known[word] = array(self.kind, [token.id for token in tokens]).tobytes()
+        ids = list(map(known.__getitem__, found))
+        self.words.forget(fresh)
+        return [b"".join(ids[a:b]) for a, b in zip([0, *stops.tolist()], stops.tolist())]
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 _INDEX = "doc_id long, file string, file_start long, n_tokens long"

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import PieceCache, distinct_pieces, gathered, on_slices, per_process, space_pieces, words_in
+from packetloom.llm.common import PieceCache, distinct_pieces, gathered, on_slices, per_process, space_pieces, strings, words_in
 
 BLOCK_BYTES = 6_000_000
 CACHED_WORDS = 400_000  # words whose ids a task remembers; it bounds memory and only saves work
@@ -134,7 +134,7 @@ class MergeReplay:
         words, word_stops = words_in(self.words, spaced, firsts)
         del spaced, firsts
         table = pa.array(words, pa.string()).dictionary_encode()
-        words = table.dictionary.to_pylist()
+        words = strings(table.dictionary)
         fresh = self.cache.missing(set(words))
         ids, counts = self.replay(list(map(str.encode, fresh)))
         flat, stops = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()

@@ -156,3 +156,22 @@ def test_a_block_of_ids_is_no_python_objects(spark, monkeypatch):
     tracemalloc.stop()
     n = sum(sum(b.column("n_tokens").to_pylist()) for b in out)
     assert n > 2_000_000 and peak < 18 * n  # 12 bytes an id; 26 with lists of ids
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Pieces that differ in signs alone share their words, and each word goes to the model once; the ids are the library's."""
+    path = tokenizers_data.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), arrow_tokens.PieceEncoder(path)
+    asked = []
+    monkeypatch.setattr(encoder, "_library", lambda pieces, whole=encoder._library: (asked.extend(pieces), whole(pieces))[1])
+    texts = [" ".join(f"{word}{sign}" for word in ("Haus", "tree", "arbre", "é", "12") for sign in (",", ".", "!", "?", "'s", "\n", "")) + "日本 日本."]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 10
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    path = tokenizers_data.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), arrow_tokens.PieceEncoder(path)
+    around = ["a{}b", "1{}{}2", "a {}{}c", ".{}'s", "x{} {} {}y", "x\n{}\n z"]
+    texts = ["q " + form.replace("{}", chr(c)) for c in range(ord(arrow_tokens.LATIN)) for form in around]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
