@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 class MergeReplay:
     """Encoder and decoder for the ranks of a vocabulary file: lines of a base64 token and its rank."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cached_words: int = CACHED_WORDS):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.digits = {rank: b"%d" % rank for rank in self.ranks.values()}
@@ -45,7 +45,7 @@ class MergeReplay:
         )
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], np.int32)
-        self.cache = PieceCache(CACHED_WORDS)
+        self.cache = PieceCache(cached_words)
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -161,15 +161,17 @@ class MergeReplay:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, block_bytes: int = BLOCK_BYTES, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids (unless keep_ids is false), ids_sha256, decoded_sha256.
 
     Each match of `pattern` is encoded by itself, without special tokens. A null text is empty. Other columns are not
-    read, rows stay in their partitions.
+    read, rows stay in their partitions. Smaller blocks and fewer remembered words take less memory and more time; the rows are the same.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = per_process(("replay", path, pattern), lambda: MergeReplay(path, pattern))
+        codec = per_process(("replay", path, pattern, cached_words), lambda: MergeReplay(path, pattern, cached_words))
         flat, bounds = codec.encode_flat(batch.column("text").to_pylist())
         digests: list[list[str]] = [[], []]
         for start, stop in zip(bounds.tolist(), bounds[1:].tolist()):
@@ -185,5 +187,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     middle = "ids array<int>, " if keep_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        on_slices("text", run, BLOCK_BYTES), f"doc_id long, n_tokens long, {middle}ids_sha256 string, decoded_sha256 string"
+        on_slices("text", run, block_bytes), f"doc_id long, n_tokens long, {middle}ids_sha256 string, decoded_sha256 string"
     )

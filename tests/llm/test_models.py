@@ -5,11 +5,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import langid, quality, word_quality
+from packetloom.llm import bpe_replay, common, langid, quality, word_quality
 from tests.llm.test_dedup import brute_copies, brute_groups
 
 SYLLABLES = {"en": "the of ing ed er on".split(), "fr": "é eau oi le que ment".split(), "de": "sch ung ü der ch ei".split()}
@@ -296,6 +297,32 @@ def test_pipeline(spark, make_docs, corpus, tmp_path):
     assert {1000, 1001, 1003, 0} & left_ids == set() and 1002 in left_ids
 
 
+def test_stages_bound_what_workers_hold(spark, make_docs, tmp_path):
+    """Batches are cut by bytes in every stage with Python, and the last stage's blocks are its own; its ids are those of any block size."""
+    import public_tokenizers
+
+    docs = make_docs([(i, f"{i} words go on " * 15_000) for i in range(24)]).coalesce(1)  # about 240 kB each
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "exact_dedup":  # no Python
+            continue
+        spark.conf.unset(common.BATCH_SETTING)
+        try:
+            out = stage(spark, docs, str(tmp_path))
+            held = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+            assert sum(held) > common.BATCH_BYTES and max(held) < 1.2 * common.BATCH_BYTES, name
+        finally:
+            spark.conf.unset(common.BATCH_SETTING)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    whole = bpe_replay.encode_documents(docs, path, public_tokenizers.PATTERN)
+    assert sorted(out.collect()) == sorted(whole.collect())
+
+
 def test_stages_keep_columns(spark, make_docs, corpus, tmp_path):
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = make_docs(corpus[:50])
