@@ -147,6 +147,8 @@ def links(nodes: DataFrame) -> DataFrame:
     of segments that both differ in at most one bit, where it meets exactly once.
     """
     filed, looked_up = _keyed(nodes, False, "a"), _keyed(nodes, True, "b")
+    # a fingerprint is looked up under some 85 keys, which Spark's estimate from its table does not know: it would broadcast them
+    filed = filed.hint("merge")
     d = [_differing("a", "b", s) <= 1 for s in range(3)]
     kind = F.shiftrightunsigned(filed["bucket"], 24)
     first = F.when(d[0] & d[1], 0).when(d[0] & d[2], 1).when(d[1] & d[2], 2)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from packetloom.llm import exact_dedup, simhash, substring
 from packetloom.llm.common import components
@@ -165,3 +166,10 @@ def test_repeated_windows(make_docs, store, odd_rows, monkeypatch, bucket):
 
 def test_repeated_windows_of_an_empty_table(make_docs, store):
     assert substring.remove_repeats(make_docs([]), store).count() == 0
+
+
+def test_keys_looked_up_are_never_broadcast(spark, store):
+    """Each of the fingerprints is looked up under many keys, which Spark's estimate does not know."""
+    nodes = store.save(spark.range(2_000).select(F.xxhash64("id").alias("fp")), "nodes")
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
