@@ -59,3 +59,13 @@ def test_probes_are_raised_until_neighbours_without_clusters_are_found(spark, st
     index.add(base, 0)
     row = nb.measured(index, base.where("flow_id like '%37'"), base, store, 10, exclude_self=True).first()
     assert row.queries == 40 and row.share >= 0.9
+
+
+def test_blocks_are_never_broadcast(spark, store):
+    """A row of arrays may hold a thousand vectors, which Spark's estimate does not know."""
+    base = vectors(spark, 300)
+    index = nb.NeighbourIndex(spark, store.fresh_path("ann")).fit(base)
+    index.add(base, 0)
+    plan = index.search(base, 4)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]  # the first one compares
+    assert "SortMergeJoin [tab" in below and "BroadcastHashJoin [tab" not in plan
