@@ -69,3 +69,12 @@ def test_blocks_are_never_broadcast(spark, store):
     plan = index.search(base, 4)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInPandas") :]  # the first one compares
     assert "SortMergeJoin [tab" in below and "BroadcastHashJoin [tab" not in plan
+
+
+def test_queries_without_neighbours_are_asked_and_miss_nothing(spark, store):
+    """As where every flow is malicious and none is normal."""
+    base = vectors(spark, 0)
+    index = nb.NeighbourIndex(spark, store.fresh_path("ann")).fit(base)
+    index.add(base, 0)
+    row = nb.measured(index, vectors(spark, 3), base, store, 2).first()
+    assert (row.queries, row.wanted, row.share) == (3, 0, 1.0)
