@@ -1,6 +1,7 @@
 """Language identification, quality, and the pipeline."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -341,3 +342,15 @@ def test_word_quality_scores_each_document_of_an_unstable_scan(spark, make_docs,
     got = {r.doc_id: round(r.perplexity, 9) for r in word_quality.classify(shuffled, labels, store).collect()}
     want = {r.doc_id: round(r.perplexity, 9) for r in word_quality.classify(docs, labels, store).collect()}
     assert len(got) == 400 and got == pytest.approx(want, rel=1e-5)
+
+
+def test_word_quality_leaves_only_its_result_stored(spark, make_docs, store, monkeypatch):
+    """Tables go once used, and nothing is counted for the model of all languages where no text asks it."""
+    monkeypatch.setattr(word_quality, "with_pooled", lambda counts: pytest.fail("not asked"))
+    docs = make_docs([(i, f"some words of text {i % 7}", "en") for i in range(30)])
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    inner = store.scratch("left-over")
+    assert word_quality.classify(docs, labels, inner).where("perplexity > 0").count() == 30
+    left = [name.rpartition("-")[0] for name in os.listdir(inner.root) if os.listdir(f"{inner.root}/{name}")]
+    assert left == ["word-likelihoods"]
+    assert spark.conf.get(common.REMOVE_SETTING, None) is None
